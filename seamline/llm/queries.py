@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import edit_fingerprint, html_text, language, pii, quality, warc
+from seamline.llm import edit_fingerprint, html_text, language, minhash, pii, quality, warc
 from seamline.session import table
 
 
@@ -20,6 +20,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,5 +36,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op3_html_text, op4_language, op7_quality, op9_warc, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op3_html_text, op4_language, op5_near_duplicates, op7_quality, op9_warc, op10_pii)}
 ORACLE: dict[str, str] = {}
