@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import edit_fingerprint, html_text, language, minhash, pii, quality, warc
+from seamline.llm import edit_fingerprint, html_text, language, minhash, mixing, pii, quality, warc
 from seamline.session import table
 
 
@@ -12,6 +12,10 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op2_rows(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -36,5 +40,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op3_html_text, op4_language, op5_near_duplicates, op7_quality, op9_warc, op10_pii)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mixing, op3_html_text, op4_language, op5_near_duplicates, op7_quality, op9_warc, op10_pii)}
+ORACLE: dict[str, str] = {"op2_mixing": mixing.oracle()}
