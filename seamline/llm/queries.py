@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import edit_fingerprint, html_text, language, minhash, mixing, pii, quality, warc
+from seamline.llm import edit_fingerprint, html_text, language, minhash, mixing, pii, quality, suffix_dedup, warc
 from seamline.session import table
 
 
@@ -32,6 +32,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -40,5 +44,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mixing, op3_html_text, op4_language, op5_near_duplicates, op7_quality, op9_warc, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mixing, op3_html_text, op4_language, op5_near_duplicates, op7_quality, op8_suffix_dedup, op9_warc, op10_pii)}
 ORACLE: dict[str, str] = {"op2_mixing": mixing.oracle()}
