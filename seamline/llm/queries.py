@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.llm import edit_fingerprint, html_text, language, minhash, mixing, pii, quality, suffix_dedup, warc
+from seamline.llm import edit_fingerprint, html_text, language, minhash, mixing, pieces, pii, quality, suffix_dedup, warc
 from seamline.session import table
 
+#: Path of the SentencePiece model file, in a store that Spark reads; it isn't part of the repository.
+MODEL = os.environ.get("PIECE_MODEL", "file:///opt/tokenizers/piece_bpe_32k.model")
+
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
@@ -28,6 +33,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.read_model(spark, MODEL))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,5 +53,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mixing, op3_html_text, op4_language, op5_near_duplicates, op7_quality, op8_suffix_dedup, op9_warc, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mixing, op3_html_text, op4_language, op5_near_duplicates, op6_pieces, op7_quality, op8_suffix_dedup, op9_warc, op10_pii)}
 ORACLE: dict[str, str] = {"op2_mixing": mixing.oracle()}
