@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from seamline.plans import colour_queries, stitch_queries  # noqa: F401
+from seamline.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
