@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,7 +216,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in OP1_SCHEMA.split(", ")]
     held: list[tuple] = []  # the last row waits for the one after it
     for b in batches:
-        texts = [t or "" for t in b.column("text").to_pylist()]
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = [unpack(z).decode("utf-8", "surrogatepass") if z else "" for z in b.column("packed").to_pylist()]
         rows = held + list(zip(b.column("bucket").to_pylist(), b.column("guest").to_pylist(), b.column("doc_id").to_pylist(), texts, embed(texts), strict=True))
         held = rows[-1:]
         own = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if not x[1] and x[0] == y[0]]
@@ -236,9 +238,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with the fingerprints of its text, of its edited text, and their likeness; see OP1_SCHEMA.
 
-    The next document is that of the next smaller doc_id; after the last comes the first. Equal ids are ordered by text, null
-    ids come last; a null text is empty; a table of one row follows itself; an empty one gives no rows; other columns are ignored.
-    Ranges of ids (bounds from approximate quantiles, eight a shuffle partition) are dealt out once and sorted; the first rows
+    The next document is that of the next smaller doc_id; after the last comes the first. Equal ids stand in a fixed order of
+    their contents, null ids come last; a null text is empty; a table of one row follows itself; an empty one gives no rows; other columns are ignored.
+    Texts travel compressed, once. Ranges of ids (bounds from approximate quantiles, eight a shuffle partition) are dealt out once and sorted; the first rows
     of each range also go, as guests, to the range before it, so no ordering ever passes through one task.
     """
     spark = docs.sparkSession
@@ -271,8 +273,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             at = np.concatenate([np.arange(len(bucket)), lead])
             to = np.concatenate([bucket, np.array([before[k] for k in bucket[lead].tolist()], np.int64)])
             guest = np.arange(len(at)) >= len(bucket)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), texts.take(pa.array(at)), pa.array(to), pa.array(guest)], names=["doc_id", "text", "bucket", "guest"])
+            pack = zstandard.ZstdCompressor(level=3).compress
+            packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) if t else b"" for t in texts.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), packed.take(pa.array(at)), pa.array(to), pa.array(guest)], names=["doc_id", "packed", "bucket", "guest"])
 
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, bucket long, guest boolean")
-    dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = rows.mapInArrow(deal, "doc_id long, packed binary, bucket long, guest boolean")
+    dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "packed")
     return dealt.mapInArrow(_compare, OP1_SCHEMA)
