@@ -151,6 +151,8 @@ def repeats(data: np.ndarray, start: np.ndarray, segment: np.ndarray, rank: np.n
 
 #: Rows of one anchor that are held to see how many contexts it has; of an anchor with more contexts than HOT each window is dealt out by itself.
 _HELD, HOT = 1 << 16, 20_000
+#: Distance in the place of a window that travels by itself: its context is the window.
+_ALONE = 127
 _ANCHOR = "anchor long, context long, doc long, place long"
 _MARK = "doc long, u int, first long, last long"
 
@@ -198,9 +200,9 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _FOUND = "anchor long, doc long, place long, kind int"
 
 
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sift(batches: Iterator[pa.RecordBatch], most: int, hold: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, context, doc, place: kind 0, repeats of a whole context; kind 1, the first of each context of an
-    anchor with several; kind 2, the same for an anchor of more than HOT contexts."""
+    anchor with several; kind 2, the same for an anchor of more than ``most`` contexts or ``hold`` rows."""
     held, giant = (np.zeros(0, np.int64),) * 4, None
 
     def told(h, c, d, p) -> pa.RecordBatch:
@@ -210,7 +212,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.cumsum(start) - 1
         contexts = np.bincount(run, new)[run] if len(h) else np.zeros(0)
         size = np.bincount(run)[run] if len(h) else np.zeros(0)
-        hot = (contexts > HOT) | (size > _HELD) | (h == giant if giant is not None else False)
+        hot = (contexts > most) | (size > hold) | (h == giant if giant is not None else False)
         keep = new & ((contexts > 1) | hot)
         kind = np.where(again, 0, np.where(hot, 2, 1)).astype(np.int32)
         out = again | keep
@@ -225,7 +227,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(h):
             continue
         begin = int(np.searchsorted(h, h[-1]))
-        if len(h) - begin > _HELD or h[-1] == giant and len(h) - begin > 1:
+        if len(h) - begin > hold or h[-1] == giant and len(h) - begin > 1:
             if begin:
                 yield told(h[:begin], c[:begin], d[:begin], p[:begin])
             giant = h[-1]
@@ -261,7 +263,7 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for d in range((p >> _LO) & 127, (p & 127) + 1):
                     w = text[off - d : off - d + LENGTH]
                     keys.append(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True))
-                    docs.append(doc), places.append(u << _U | (off - d) << _OFF), contexts.append(w)
+                    docs.append(doc), places.append(u << _U | (off - d) << _OFF | _ALONE << _LO | _ALONE), contexts.append(w)
             if sum(map(len, contexts[-1:])) and len(contexts) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(contexts, pa.binary())], names=["anchor", "doc", "place", "context"])
                 keys, docs, places, contexts = [], [], [], []
@@ -280,9 +282,9 @@ def _judge(key: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarray
     d = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + lo[i]
     order = np.argsort(group[i] * 128 + d, kind="stable")
     i, d = i[order], d[order]
-    start = at[:-1][i] + np.minimum(off[i], _LEFT) - d
+    start = at[:-1][i] + np.where(d == _ALONE, 0, np.minimum(off[i], _LEFT) - d)
     hit = repeats(data, start, group[i] * 128 + d, rank[i])
-    i, s = i[hit], off[i[hit]] - d[hit]
+    i, s = i[hit], off[i[hit]] - np.where(d[hit] == _ALONE, 0, d[hit])
     order = np.lexsort((s, i))
     i, s = i[order], s[order]
     new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1] + 1)])) if len(i) else np.zeros(0, np.int64)
@@ -341,12 +343,12 @@ def covered(marks: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFrame:
     """(doc, u, text, spans): every row of ``docs`` with the maximal runs of bytes to remove. See ``repeated_bytes``."""
     rows = _documents(docs)
     n = shuffle_partitions(docs.sparkSession)
     anchors = rows.mapInArrow(_find_anchors, _ANCHOR).repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc", "place")
-    found = cut(anchors.mapInArrow(_sift, _FOUND))
+    found = cut(anchors.mapInArrow(lambda batches: _sift(batches, hot, hold), _FOUND))
     dealt = rows.repartition(n, "doc")  # texts are dealt out once; both joins below read that exchange
     wanted = found.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "kind")).alias("found"))
     contexts = dealt.join(wanted, "doc").select("doc", "u", "text", "found").mapInArrow(_cut_contexts, _CONTEXT)
@@ -357,7 +359,7 @@ def removals(docs: DataFrame) -> DataFrame:
     return dealt.join(by_doc, "doc", "left")
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+def repeated_bytes(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text; others are ignored).
 
     A null text is empty; texts shorter than LENGTH lose nothing; an empty table gives no rows. Rows that repeat both id and
@@ -382,4 +384,4 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=[x.split()[0] for x in _RESULT.split(", ")])
 
-    return removals(docs).select("doc", "u", "text", "marks").mapInArrow(apply, _RESULT)
+    return removals(docs, hot, hold).select("doc", "u", "text", "marks").mapInArrow(apply, _RESULT)
