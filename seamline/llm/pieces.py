@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seamline.llm.bytesets import Powers, mix
 
@@ -29,7 +30,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: What an unknown character costs below the least score, in a Viterbi fold.
 UNKNOWN_PENALTY = 10.0
-_GROUP = 8 << 20
+_GROUP = 2 << 20
 _WIDE = 48  # longer words are folded one at a time
 
 
@@ -367,7 +368,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
                 names = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=[*names, "ids"])
 
-    return docs.mapInArrow(run, docs.drop("text").schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, docs.drop("text").schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
