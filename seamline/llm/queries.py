@@ -54,4 +54,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_mixing, op3_html_text, op4_language, op5_near_duplicates, op6_pieces, op7_quality, op8_suffix_dedup, op9_warc, op10_pii)}
-ORACLE: dict[str, str] = {"op2_mixing": mixing.oracle()}
+ORACLE: dict[str, str] = {
+    "op2_mixing": mixing.oracle(),
+    "op9_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+      o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+      SELECT page_id, payload_bytes, payload_digest, CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN original <> page_id THEN original END AS refers_to
+      FROM p LEFT JOIN o USING (payload_digest)""",
+}
