@@ -1,2 +1,6 @@
-"""Part of seamline."""
+"""Readers: stitch files and images as tables."""
 
+from seamline.operators.encoding import decode_pes, read_pes
+from seamline.operators.raster import read_images
+
+__all__ = ["decode_pes", "read_images", "read_pes"]

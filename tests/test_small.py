@@ -115,3 +115,18 @@ def test_files_on_disk(spark, tmp_path):
     one = designs.first()
     assert one["label"] == "rose" and list(one["colours"]) == [5, 9] and one["error"] is None
     assert [tuple(r)[2:] for r in rows.orderBy("seq").collect()] == [(0, 0, 0), (10, 5, 0), (40, 5, 3), (41, 6, 0)]
+
+
+def test_stream_of_files(spark, tmp_path):
+    from seamline.streaming import watch_designs
+
+    s = spark.createDataFrame([(1, 0, 0, 0, 0), (1, 1, 10, 5, 0), (1, 2, 40, 5, 3), (1, 3, 41, 6, 0)], STITCHES)
+    colours = spark.createDataFrame([(1, 0, 5), (1, 1, 9)], "design_id long, block int, machine_index int")
+    pes = encoding.write_pes(s, colours, spark.createDataFrame([(1, "rose")], "design_id long, label string")).first()["pes"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pes").write_bytes(pes)
+    (tmp_path / "in" / "b.pes").write_bytes(b"broken")
+    q = watch_designs(spark, f"file://{tmp_path}/in").writeStream.format("memory").queryName("designs").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["path"][-5:]: (r["label"], r["error"], r["stitches"], r["changes"]) for r in spark.table("designs").collect()}
+    assert got == {"a.pes": ("rose", None, 3, 1), "b.pes": (None, "not a PES file", None, None)}
