@@ -20,14 +20,14 @@ from seamline.operators.graph import components
 from seamline.session import cut, shuffle_partitions
 
 SHINGLE = 5
-#: A pair of similarity 0.75 shares no band with probability (1 - 0.75**ROWS)**BANDS = 3.6e-6.
+#: A pair of similarity 0.75 shares no band with probability (1 - 0.75**ROWS)**BANDS = 4e-6, one of 0.3 shares any with 0.05.
 REGISTERS, ROWS, BANDS, MANTISSA = 384, 6, 64, 10
 #: Candidates whose estimate is this many standard errors under the threshold are left out (probability 1e-9).
 MARGIN = 6.0
 #: Links ask for 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Buckets of up to GROUP documents are compared pair by pair; larger ones are linked to their first and previous member.
-GROUP = 12
+GROUP = 3
 _K = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64))
 _EMPTY = 0xFFFF
 
@@ -56,26 +56,46 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _orders() -> np.ndarray:
+    """Row i: the place of each bucket in the order in which an empty bucket i looks for one to borrow from."""
+    key = mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(0xB0 << 40)).reshape(REGISTERS, REGISTERS)
+    return np.argsort(np.argsort(key, axis=1), axis=1).astype(np.int16)
+
+
+_ORDERS = _orders()
+
+
 def registers(s: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of a sorted set: leading zeros (6 bits) above MANTISSA bits of the bucket's least hash; 0xFFFF if empty."""
+    """HyperMinHash registers of a sorted set: leading zeros (6 bits) above MANTISSA bits of the bucket's least hash.
+
+    A bucket that nothing fell into borrows the register of the first one that isn't empty in its own fixed random order, so
+    that registers of small sets agree with the probability of their similarity too; 0xFFFF only for the empty set.
+    """
     out = np.full(REGISTERS, _EMPTY, np.uint16)
-    bucket = ((s >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(s) else np.zeros(0, np.int64)
-    rest = mix(s) | np.uint64(1)
-    least = np.minimum.reduceat(rest, at) if len(at) else rest[:0]
+    if not len(s):
+        return out
+    bucket = (((s >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    least = np.minimum.reduceat(mix(s) | np.uint64(1), at)
     fraction, exponent = np.frexp(least.astype(np.float64))
     zeros = np.minimum(64 - np.minimum(exponent, 64), 62)
-    out[bucket[at].astype(np.int64)] = (zeros << MANTISSA) | ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
+    full = bucket[at]
+    out[full] = (zeros << MANTISSA) | ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
+    if len(full) < REGISTERS:
+        none = np.ones(REGISTERS, bool)
+        none[full] = False
+        none = np.flatnonzero(none)
+        out[none] = out[full[np.argmin(_ORDERS[none[:, None], full[None, :]], axis=1)]]
     return out
 
 
 def band_keys(reg: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band that isn't all empty."""
+    """A 64-bit key for each band; none for the empty set."""
     g = reg.reshape(BANDS, ROWS).astype(np.uint64)
     k = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(56)
     for c in range(ROWS):
         k = mix(k + g[:, c])
-    return k[(g != _EMPTY).any(axis=1)]
+    return k if reg[0] != _EMPTY else k[:0]
 
 
 def _collisions(n: np.ndarray) -> np.ndarray:
@@ -86,12 +106,12 @@ def _collisions(n: np.ndarray) -> np.ndarray:
 
 
 def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(Jaccard estimate with expected chance collisions taken out, registers in use) for rows of registers."""
-    used = (ra != _EMPTY) | (rb != _EMPTY)
-    m = np.maximum(used.sum(axis=1), 1)
-    share = ((ra == rb) & used).sum(axis=1) / m
+    """(Jaccard estimate with expected chance collisions taken out, its standard error at PERCENT) for rows of registers of sets of na and nb."""
+    share = (ra == rb).mean(axis=1)
     chance = (_collisions(na) * _collisions(nb)).sum(axis=1) / (1 << MANTISSA)
-    return (share - chance) / (1 - chance), m
+    filled = REGISTERS * -np.expm1(-np.minimum(na, nb) / REGISTERS)  # buckets with a hash of their own
+    j = PERCENT / 100
+    return (share - chance) / (1 - chance), np.sqrt(j * (1 - j) * (1 / np.maximum(filled, 1) + 1 / REGISTERS))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -218,8 +238,8 @@ def verified(pairs: DataFrame, prof: DataFrame) -> DataFrame:
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ra, rb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            j, m = estimate(ra, rb, b.column("na").to_numpy(), b.column("nb").to_numpy())
-            keep = j >= PERCENT / 100 - MARGIN * np.sqrt(0.1875 / m)
+            j, error = estimate(ra, rb, b.column("na").to_numpy(), b.column("nb").to_numpy())
+            keep = j >= PERCENT / 100 - MARGIN * error
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep)], names=["a", "b", "likely"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,48 +258,76 @@ def verified(pairs: DataFrame, prof: DataFrame) -> DataFrame:
     return sets.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long, linked boolean").unionByName(few.where("not likely").select("a", "b", F.lit(False).alias("linked")))
 
 
+def _bridges(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """(a, b): links between different components of a candidate group that join all of them that any link joins.
+
+    ``rows``: (g, doc, c, items), the members of groups with their components so far and full sets. A group of up to ``block``
+    members is compared in one task through its shingles' posting lists; a larger one in pairs of blocks, so that no task
+    holds more than two blocks. Only members outside the pair's largest component are looked up, and a link is given only if it joins two
+    components, so at most as many as there are members.
+    """
+    n = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = rows.join(n, "g").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))).alias("t")
+    dealt = own.select("g", "doc", "c", "items", pair).select("g", "t.p", "t.q", "doc", "c", "items").repartition(shuffle_partitions(rows.sparkSession), "g", "p", "q")
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, c = table.column("doc").to_numpy(), table.column("c").to_numpy().copy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, item = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(item, kind="stable")
+        posting, at = owner[order], np.searchsorted(item[order], np.arange(int(item.max(initial=-1)) + 2))
+        begin = np.concatenate([[0], np.cumsum(size)])
+        names, count = np.unique(c, return_counts=True)
+        a, b = [], []
+        for x in np.flatnonzero(c != names[np.argmax(count)]).tolist():
+            mine = item[begin[x] : begin[x + 1]]
+            length = at[mine + 1] - at[mine]
+            step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            both = np.bincount(posting[step + np.repeat(at[mine], length)], minlength=len(sets))
+            for y in np.flatnonzero((100 * both >= PERCENT * (size[x] + size - both)) & (c != c[x])).tolist():
+                if c[y] != c[x]:
+                    a.append(doc[x]), b.append(doc[y])
+                    c[c == c[y]] = c[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("g", "p", "q").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; others are ignored).
 
     Rows of one doc_id are one document whose links are those of all its texts; a null doc_id is linked with nothing
-    (component_id null, kept). A null or wordless text has an empty set and is linked with nothing. Equal sets are reduced to
-    the least doc_id first (an aggregate with map-side sums); pairs are then sought between representatives only. Buckets of
-    up to GROUP representatives give all their pairs; larger ones give links to their first and previous member, and wherever
-    one of those fails, a second round compares the bucket's members across the components found so far, so no link between
-    components is lost. No component, link or sketch is gathered in one place.
+    (component_id null, kept). A null or wordless text has an empty set and is linked with nothing. Equal sets are reduced to the least doc_id first (an aggregate
+    with map-side sums); pairs are then sought between representatives only. Buckets of up to GROUP representatives give all
+    their pairs. A larger bucket gives each member one pair, with the least first member of its buckets; groups that still fall
+    into several components are then compared whole, in blocks, so no link between components is lost.
+    No component, link or sketch is gathered in one place.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     s = cut(sketches(rows))
     reps = s.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     copies = s.where("doc_id is not null").join(reps, "digest").select("doc_id", "rep", "bands")
     heads = copies.where("doc_id = rep").select(F.col("doc_id").alias("doc"), "bands")
-    found = cut(candidates(heads).where("b is not null and a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}))
-    pairs = cut(found.select("a", "b").distinct())
+    found = cut(candidates(heads).where("b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("large").alias("large"), F.max("large").alias("any_large")))
+    anchor = found.where("large").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    pairs = cut(found.where("not large").select("a", "b").union(anchor))
     known = rows.where("doc_id is not null")
-    named = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    tested = cut(verified(pairs, cut(profiles(known, named(pairs)))).groupBy("a", "b").agg(F.max("linked").alias("linked")))
+    named = found.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    prof = cut(profiles(known, named))
+    links = cut(verified(pairs, prof).where("linked").select("a", "b").distinct())
+    label = components(links)
     same = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = tested.where("linked").select("a", "b")
-    label = cut(components(links))
-    failed = found.where("large").join(tested.where("not linked"), ["a", "b"], "left_semi").select("key").distinct()
-    failed = cut(failed)
-    if not failed.isEmpty():
-        more = _across(heads, failed, label).join(tested, ["a", "b"], "left_anti")
-        more = cut(more)
-        if not more.isEmpty():
-            second = cut(verified(more, cut(profiles(known, named(more)))).where("linked").select("a", "b").distinct())
-            links = links.union(second)
-            label = None
-    if label is None or not same.isEmpty():
-        label = cut(components(links.union(same)))
+    if not found.where("any_large").isEmpty():
+        group = components(found.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("g"))
+        group = group.join(label.select(F.col("node").alias("doc"), F.col("component").alias("c")), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
+        group = cut(group)
+        several = group.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("g")
+        wide = group.join(found.where("any_large").select(F.col("b").alias("doc")).distinct(), "doc", "left_semi").select("g").distinct()
+        open_ = group.join(several, "g", "left_semi").join(wide, "g", "left_semi")
+        links = links.union(_bridges(open_.join(prof.select("doc", "items"), "doc").select("g", "doc", "c", "items")))
+    label = components(links.union(same))
     out = s.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
-
-
-def _across(heads: DataFrame, failed: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of the failed buckets that lie in different components."""
-    member = heads.select("doc", F.explode("bands").alias("key")).join(failed, "key", "left_semi")
-    member = member.join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    member = cut(member)
-    other = member.select("key", F.col("doc").alias("doc2"), F.col("c").alias("c2"))
-    return member.join(other, "key").where("c <> c2 and doc < doc2").select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct()
