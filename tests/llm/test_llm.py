@@ -226,6 +226,20 @@ def test_quality(spark, frame, docs, empty):
     assert quality.quality(empty, labels.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [6, 40, 240])
+def test_quality_with_trusted_sets_of_any_size(spark, n):
+    rng = random.Random(2)
+    junk_words = ["".join(random.Random(9000 + i).choices("qrstuvwxyz", k=5)) for i in range(400)]
+    good = [(i, words_of(rng, 120)) for i in range(300)]
+    junk = [(1000 + i, " ".join(rng.choices(junk_words, k=120))) for i in range(30)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)] + [(i, 0, 0) for i, _ in junk[:5]], "doc_id long, quality int, toxic int")
+    rows = quality.quality(spark.createDataFrame(good + junk, "doc_id long, text string").repartition(3), labels).collect()
+    kept = {r["doc_id"] for r in rows if r["kept"]}
+    assert not any(r["base_failed"] for r in rows) and not kept & {i for i, _ in junk}
+    # an unseen good text lies under all n trusted ones with probability 1 / (n + 1)
+    assert len({i for i in range(n, 300)} - kept) <= (300 - n) * 3 / n and len({i for i in range(n)} - kept) <= 1
+
+
 def brute_repeats(docs):
     seen, out = {}, {}
     for i, t in sorted({(r[0], r[1] or "") for r in docs}):
