@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from seamline.functions.colour import lab_to_rgb, rgb_to_lab
 from seamline.operators import catalogue as K
 from seamline.operators import fill as L
+from seamline.operators import paths as P
 from seamline.operators import raster as R
 from seamline.operators import regions as G
 from seamline.operators import stitch as S
 from seamline.session import cut
 
 
-def plan_colours(small: DataFrame, grid: DataFrame, threads: DataFrame, range_id: str, colours: int = 8, min_cells: int = 4, rounds: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, clusters, choices) of pixel tables at two resolutions: palette from the small one, labels on the grid, cleaned twice, threads matched."""
+def plan_colours(small: DataFrame, grid: DataFrame, threads: DataFrame, range_id: str, colours: int = 8, cell_mm: float = 0.2, min_region_mm2: float = 1.5, rounds: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, clusters, choices) of pixel tables at two resolutions: palette from the small one, labels on the grid, filtered twice, specks and then slivers without a core absorbed, threads matched."""
     sample = R.opaque(small).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("weight")).withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
     centers = cut(R.kmeans_lloyd(sample, R.image_palette(sample, colours), rounds))
     px = grid.withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
     near = R.assign_cluster(px, centers).select("image_id", "x", "y", F.when(F.col("a") >= R.OPAQUE, F.col("cluster")).otherwise(-1).alias("label"))
     cells = cut(R.majority_filter(R.majority_filter(cut(near))))
-    cells = R.remove_small_regions(cells, min_cells)
+    least = G.min_cells(cell_mm, min_region_mm2)[0]
+    cells = R.remove_small_regions(R.remove_small_regions(cells, least), least, require_core=True)
     rgb = lab_to_rgb(F.col("lab.l"), F.col("lab.a"), F.col("lab.b"))
     share = R.coverage(cells).join(R.background(cells), "image_id", "left").withColumn("is_background", F.col("cluster").eqNullSafe(F.col("background")))
     clusters = cut(share.join(centers.withColumn("c", rgb), ["image_id", "cluster"]).select("image_id", "cluster", *[F.round(f"c.{x}").cast("int").alias(x) for x in "rgb"], "coverage", "is_background"))
@@ -29,37 +31,66 @@ def plan_colours(small: DataFrame, grid: DataFrame, threads: DataFrame, range_id
     return cells, clusters, choices.select("image_id", "cluster", "thread_id", "enabled", "place")
 
 
-def digitize(cells: DataFrame, choices: DataFrame, cell_mm: float = 0.2, spacing: float = 0.4, angle: float = 30.0, pull: float = 0.2) -> tuple[DataFrame, DataFrame]:
+def digitize(cells: DataFrame, choices: DataFrame, cell_mm: float = 0.2, spacing: float = 0.4, angle: float = 30.0, pull: float = 0.2, trim_mm: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """(stitches, design_threads): every layer's areas as tatami fills, in layered order, in 0.1 mm units.
 
-    Areas follow one another by nesting depth, layer and number; a new thread starts with COLOR, a new area with TRIM, both
-    followed by a STITCH at the same point. Specks are not sewn.
+    Areas follow one another by nesting depth and layer (what encloses another layer goes before it), those of one group by nearest anchor;
+    an area's fill is cut into cells around its holes, taken nearest first. A way to the next cell is sewn if it is short or stays in the area, else
+    trimmed; a new thread starts with COLOR, a cut with TRIM, both followed by a STITCH at the same point. Thread is tied in and off at every cut,
+    and long legs are divided. Specks are not sewn.
     """
     layers = R.layer_map(cells, choices).where("layer >= 0").select("image_id", "x", "y", F.col("layer").alias("label"))
     runs = cut(R.connected_components(layers, 8))
     stats = cut(G.drop_specks(G.component_stats(runs, cell_mm), cell_mm))
     parents = cut(G.enclosing(stats, runs))
-    area = stats.groupBy("image_id", "label").agg(F.sum("n_cells").alias("n"))
-    rank = area.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "label")) - 1).drop("n")
-    order = G.layered_order(stats, G.nesting_depth(parents), rank).select("image_id", "comp_id", "label", "place")
+    ranks = G.layer_order(stats, G.layer_weights(stats, parents, int(4 / cell_mm**2)))
+    groups = cut(G.sewing_groups(G.layered_order(stats, G.nesting_depth(parents), ranks)).select("image_id", "comp_id", "label", "group"))
+    anchors = groups.join(stats.select("image_id", "comp_id", "anchor_x", "anchor_y"), ["image_id", "comp_id"])
+    near = L.nearest_first(anchors.select(F.col("image_id").alias("design_id"), "group", F.col("comp_id").alias("item"), *[F.col(f"anchor_{c}").alias(f"{c}{i}") for i in (0, 1) for c in "xy"]))
+    areas = groups.join(near.select(F.col("design_id").alias("image_id"), F.col("item").alias("comp_id"), "place"), ["image_id", "comp_id"])
+    areas = cut(areas.select("image_id", "comp_id", "label", F.row_number().over(Window.partitionBy("image_id").orderBy("group", "place")).alias("area")))
+    # the points of every cell of the fill, in mm
     samples = L.scan_samples(L.fill_plan(stats.drop("label"), spacing, angle, pull), cell_mm)
-    fills = cut(L.fill_runs(L.points_in_mask(samples, runs, cell_mm), cell_mm))
-    points = L.row_stitches(fills).join(fills.select("image_id", "comp_id", "phase", "row", "run", "v"), ["image_id", "comp_id", "phase", "row", "run"])
+    fills = cut(L.fill_cells(cut(L.fill_runs(L.points_in_mask(samples, runs, cell_mm), cell_mm))))
+    key = ["image_id", "comp_id", "phase", "row", "run"]
+    points = L.row_stitches(fills).join(fills.select(*key, "cell", "v", "stitch"), key)
     turn = F.radians(F.when(F.col("phase") == 0, angle + 90).otherwise(angle))
-    mm = points.join(order, ["image_id", "comp_id"]).withColumns({"px": F.col("u") * F.cos(turn) - F.col("v") * F.sin(turn), "py": F.col("u") * F.sin(turn) + F.col("v") * F.cos(turn)})
-    w = Window.partitionBy("image_id").orderBy("place", "phase", "row", "run", "i")
-    old = F.lag(F.struct("label", "comp_id")).over(w)
-    k = F.when(old.isNull() | (old["comp_id"] == F.col("comp_id")), F.lit(S.STITCH)).when(old["label"] != F.col("label"), S.COLOR).otherwise(S.TRIM)
-    rows = mm.select("image_id", "place", "phase", "row", "run", "i", "label", F.round(F.col("px") * 10).cast("int").alias("x"), F.round(F.col("py") * 10).cast("int").alias("y"), k.alias("k"))
-    rows = rows.withColumn("k", F.explode(F.when(F.col("k") == S.STITCH, F.array("k")).otherwise(F.array(F.col("k"), F.lit(S.STITCH)))))
-    seq = F.row_number().over(Window.partitionBy("image_id").orderBy("place", "phase", "row", "run", "i", F.desc("k"))) - 1
-    log = rows.withColumn("seq", seq.cast("long"))
-    thread = choices.where("enabled").groupBy("image_id", "thread_id").agg(F.min("cluster").alias("f"))
-    thread = thread.withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy("f")) - 1).select("image_id", "label", "thread_id")
-    design = cut(log.withColumnRenamed("image_id", "design_id"))
-    blocks = S.with_block(design).groupBy("design_id", "block").agg(F.max("label").alias("label"))
-    named = blocks.join(thread.withColumnRenamed("image_id", "design_id"), ["design_id", "label"]).select("design_id", "block", "thread_id")
-    return S.dedupe_stitches(design.select("design_id", "seq", "x", "y", "k")), named
+    points = points.withColumns({"x": F.col("u") * F.cos(turn) - F.col("v") * F.sin(turn), "y": F.col("u") * F.sin(turn) + F.col("v") * F.cos(turn)})
+    points = cut(points.select("image_id", "comp_id", "phase", "cell", "row", "i", "stitch", "x", "y"))
+    at = F.struct("row", "i", "x", "y")
+    ends = points.groupBy("image_id", "comp_id", "phase", "cell").agg(F.min(at).alias("a"), F.max(at).alias("b")).join(areas, ["image_id", "comp_id"])
+    ends = cut(ends.select("image_id", "comp_id", "label", "area", "phase", "cell", *[F.col(f"{e}.{c}").alias(f"{c}{i}") for i, e in enumerate("ab") for c in "xy"]))
+    near = L.nearest_first(ends.select(F.col("image_id").alias("design_id"), (F.col("area") * 2 + F.col("phase")).alias("group"), F.col("cell").alias("item"), "x0", "y0", "x1", "y1"))
+    order = near.select(F.col("design_id").alias("image_id"), F.col("item").alias("cell"), "place")
+    first = choices.where("enabled").groupBy("image_id", "thread_id").agg(F.min("cluster").alias("f"))
+    thread = first.withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy("f")) - 1).select("image_id", "label", "thread_id")
+    w = Window.partitionBy("image_id").orderBy("area", "phase", "place")
+    pieces = cut(ends.join(order, ["image_id", "cell"]).join(thread, ["image_id", "label"]).withColumn("seq", F.row_number().over(w).cast("long")))
+    # the way to each piece
+    in_turn = Window.partitionBy("image_id").orderBy("seq")
+    ways = pieces.select("image_id", "comp_id", "seq", F.lag("comp_id").over(in_turn).alias("old"), F.lag("x1").over(in_turn).alias("wx"), F.lag("y1").over(in_turn).alias("wy"), "x0", "y0").where("old = comp_id")
+    held = L.segments_in_mask(ways.select(F.struct("image_id", "seq").alias("seg"), "image_id", "comp_id", F.col("wx").alias("x0"), F.col("wy").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1")), runs, cell_mm)
+    kinds = P.travel_kind(pieces.join(held.select("seg.*", "inside"), ["image_id", "seq"], "left").withColumnRenamed("image_id", "design_id"), trim_mm)
+    starts = F.col("kind").isin("start", "color", "trim")
+    kinds = cut(kinds.withColumn("path", F.sum(starts.cast("long")).over(Window.partitionBy("design_id").orderBy("seq"))).select(F.col("design_id").alias("image_id"), "cell", "seq", "thread_id", "kind", "path"))
+    # paths without a cut: legs divided, thread tied in and off
+    path_id = F.struct("image_id", "path").alias("path_id")
+    w = Window.partitionBy("image_id", "path").orderBy("seq", "row", "i")
+    old = lambda c: F.lag(c).over(w)
+    sewn = points.join(kinds.select("image_id", "cell", "seq", "path"), ["image_id", "cell"])
+    # within a cell a leg takes the fill's stitch, between cells 3 mm
+    sewn = cut(sewn.select(path_id, F.row_number().over(w).alias("n"), old("x").alias("x0"), old("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.when(old("seq") == F.col("seq"), F.col("stitch")).otherwise(3.0).alias("reach")))
+    legs = P.subdivide(sewn.where("n > 1").select(F.struct("path_id", "n").alias("leg"), "x0", "y0", "x1", "y1", "reach"), F.col("reach"))
+    whole = legs.select("leg.path_id", "leg.n", "i", "x", "y").unionByName(sewn.where("n = 1").select("path_id", "n", F.lit(0).alias("i"), F.col("x1").alias("x"), F.col("y1").alias("y")))
+    tied = P.add_ties(whole.select("path_id", F.struct("n", "i").alias("seq"), "x", "y"))
+    cuts = kinds.where(starts).select("image_id", "path", F.when(F.col("kind") == "color", S.COLOR).when(F.col("kind") == "trim", S.TRIM).alias("mark"))
+    rows = tied.select("path_id.*", F.col("seq").alias("n"), *[F.round(F.col(c) * 10).cast("int").alias(c) for c in "xy"]).join(cuts, ["image_id", "path"])
+    k = F.when((F.col("n") == 0) & F.col("mark").isNotNull(), F.array("mark", F.lit(S.STITCH))).otherwise(F.array(F.lit(S.STITCH)))
+    rows = rows.select("image_id", "path", "n", "x", "y", F.posexplode(k).alias("j", "k"))
+    seq = F.row_number().over(Window.partitionBy("image_id").orderBy("path", "n", "j")) - 1
+    design = cut(rows.select(F.col("image_id").alias("design_id"), seq.cast("long").alias("seq"), "x", "y", "k"))
+    named = S.thread_sequence(kinds.select(F.col("image_id").alias("design_id"), "seq", "thread_id")).select("design_id", "block", "thread_id").distinct()
+    return S.dedupe_stitches(design), named
 
 
 def design_report(stitches: DataFrame, design_threads: DataFrame, threads: DataFrame, hoop_w: float, hoop_h: float) -> tuple[DataFrame, DataFrame]:

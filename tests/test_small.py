@@ -1,5 +1,6 @@
 """Small frames with known answers."""
 
+import math
 import struct
 
 import numpy as np
@@ -130,3 +131,27 @@ def test_stream_of_files(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["path"][-5:]: (r["label"], r["error"], r["stitches"], r["changes"]) for r in spark.table("designs").collect()}
     assert got == {"a.pes": ("rose", None, 3, 1), "b.pes": (None, "not a PES file", None, None)}
+
+
+def test_digitize_goes_around_holes(spark):
+    from seamline.plans import jobs
+
+    # a ring of label 0 around a block of label 1, and a larger area of label 1 beside it
+    def label(x, y):
+        if x >= 44:
+            return 1
+        if x < 40 and y < 40 and not (8 <= x < 32 and 8 <= y < 32):
+            return 0
+        return 1 if 14 <= x < 26 and 14 <= y < 26 else -1
+
+    cells = spark.createDataFrame([(7, x, y, label(x, y)) for x in range(94) for y in range(40)], "image_id long, x int, y int, label int")
+    choices = spark.createDataFrame([(7, 0, "a", True), (7, 1, "b", True)], "image_id long, cluster int, thread_id string, enabled boolean")
+    stitches, named = jobs.digitize(cells, choices)
+    log = [(r["x"], r["y"], r["k"]) for r in stitches.orderBy("seq").collect()]
+    assert {(r["block"], r["thread_id"]) for r in named.collect()} == {(0, "a"), (1, "b")} and sum(k == 3 for *_, k in log) == 1
+    far = [math.dist(p[:2], q[:2]) for p, q in zip(log, log[1:]) if q[2] == 0]
+    assert max(far) <= 31
+    trims = [i for i, (*_, k) in enumerate(log) if k == 2]
+    assert trims
+    for i in trims:  # tied off before the cut: the last stitch is sewn, left by 0.6 mm and sewn again
+        assert log[i - 1][:2] == log[i - 3][:2] and 4 <= math.dist(log[i - 1][:2], log[i - 2][:2]) <= 8
