@@ -155,3 +155,13 @@ def test_digitize_goes_around_holes(spark):
     assert trims
     for i in trims:  # tied off before the cut: the last stitch is sewn, left by 0.6 mm and sewn again
         assert log[i - 1][:2] == log[i - 3][:2] and 4 <= math.dist(log[i - 1][:2], log[i - 2][:2]) <= 8
+
+
+def test_rings_cover_whole_images(spark):
+    from seamline.plans import adapters, region_queries
+
+    d = "/root/testdata/sf0.001"
+    rings = region_queries.ring_cells(spark, d)
+    assert rings.count() == adapters.cells(spark, d).count() and rings.agg(F.max("y")).first()[0] >= 23
+    top = rings.where("y = 23").select("image_id", "x", "label").join(rings.where("y = 0").select("image_id", "x", F.col("label").alias("first")), ["image_id", "x"])
+    assert top.where("x % 7 <> 3 and label <> first").isEmpty() and not top.isEmpty()
