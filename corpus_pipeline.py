@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece encoding of every text, checked by decoding it."""
-    return pieces.round_trip(docs, pieces.read_model(spark, MODEL))
+    """The piece ids of every text by SentencePiece encoding, checked by decoding them."""
+    return pieces.round_trip(docs, pieces.read_model(spark, MODEL), carry=True)
 
 
 STAGES = [

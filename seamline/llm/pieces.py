@@ -387,15 +387,15 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return rows.mapInArrow(run, rows.drop("ids").schema.add("text", "string"))
 
 
-def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
+def round_trip(docs: DataFrame, pieces: Pieces, carry: bool = False) -> DataFrame:
     """(doc_id, n_pieces, n_bytes_pieces, ids_sha256, decoded_sha256, same) of every row of ``docs`` (doc_id, text; others are ignored).
 
     ids_sha256 is of the ids as little-endian 32-bit numbers; same tells whether decoding gives the text's bytes back (it does
     unless the text holds U+2581, which the format uses for spaces). Null and empty texts have no pieces; repeated rows get
-    equal results; words and texts may be of any length.
+    equal results; words and texts may be of any length. With ``carry`` the ids themselves come last.
     """
     held = docs.sparkSession.sparkContext.broadcast(pieces)
-    schema = "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, same boolean"
+    schema = "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, same boolean" + (", ids array<int>" if carry else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
@@ -415,6 +415,8 @@ def round_trip(docs: DataFrame, pieces: Pieces) -> DataFrame:
                     pa.array([hashlib.sha256(x).hexdigest() for x in back]),
                     pa.array([x == t.encode("utf-8", "surrogatepass") for x, t in zip(back, texts[i:j], strict=True)]),
                 ]
+                if carry:
+                    cols.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

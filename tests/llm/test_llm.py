@@ -341,3 +341,12 @@ def test_pipeline(spark, tmp_path, docs):
     ids = {r["doc_id"] for r in d.collect()}
     assert not ids & {100, 101, 102, 103, 104, 400, 401, 402} and all("@" not in r["text"] and len(r["text"]) == r["n_chars"] for r in d.collect())
     assert all(r["same"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect())
+
+
+def test_pipeline_gives_the_ids(spark, frame, docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = corpus_pipeline.to_pieces(spark, frame, "").collect()
+    want = {r["doc_id"]: list(r["ids"]) for r in pieces.encode(frame.select("doc_id", "text"), pieces.read_model(spark, MODEL)).collect()}
+    assert len(rows) == len(docs) and all(list(r["ids"]) == want[r["doc_id"]] and len(r["ids"]) == r["n_pieces"] for r in rows)
+    digest = lambda ids: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+    assert all(digest(r["ids"]) == r["ids_sha256"] for r in rows)
