@@ -26,6 +26,8 @@ _PERIOD = 4096  # rows of the shared random table; each pass over it permutes th
 _random = mix(np.arange(_PERIOD * 256, dtype=np.uint64) + np.uint64(0x5EED << 32))
 _MOVE = (_random & np.uint64(1)).astype(np.uint8).reshape(_PERIOD, 256)
 _SHOW = ((_random >> np.uint64(1)) & np.uint64(1)).astype(np.uint8).reshape(_PERIOD, 256)
+#: Members of a band bucket that are compared with as many others in one row.
+BLOCK = 64
 #: Texts are walked together up to so many characters at a time.
 _TOGETHER = 8 << 20
 
@@ -168,7 +170,9 @@ def near_pairs(prints: DataFrame, least: float = 0.75, bands: int = 24, width: i
     ``prints`` has doc_id and fingerprint. Rows of equal fingerprint are first reduced to the least doc_id (pairs are between
     representatives). A band is ``width`` bits sampled from the two octaves that hold most steps at the text's length class, so that a pair meets
     if all of one band's bits agree; lengths within a factor of two share a class or the next. Candidates are then verified on
-    whole fingerprints. Each band bucket links its members to its least one and each to the one before it, never all pairs.
+    whole fingerprints. Every two members of a band bucket are compared: buckets are cut into blocks of BLOCK members and each pair of blocks is
+    a row, so that a large bucket spreads over many tasks; its cost grows with the square of its distinct fingerprints. Two texts that
+    never share a band are missed; see the README for how often.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +193,12 @@ def near_pairs(prints: DataFrame, least: float = 0.75, bands: int = 24, width: i
 
     one = cut(prints.where("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
     band = one.mapInArrow(keys, "band string, doc_id long")
-    w = Window.partitionBy("band").orderBy("doc_id")
-    links = band.select("doc_id", F.first("doc_id").over(w).alias("least"), F.lag("doc_id").over(w).alias("before"))
-    pairs = links.select(F.explode(F.array("least", "before")).alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
+    w = Window.partitionBy("band")
+    block = band.withColumn("n", F.count("*").over(w)).where("n > 1").withColumn("block", F.floor((F.row_number().over(w.orderBy("doc_id")) - 1) / BLOCK).cast("int"))
+    members = cut(block.groupBy("band", "block").agg(F.collect_list("doc_id").alias("ids")))
+    other = members.select("band", F.col("block").alias("block_2"), F.col("ids").alias("ids_2"))
+    pairs = members.join(other, "band").where("block <= block_2").select(F.explode("ids").alias("a"), "ids_2").select("a", F.explode("ids_2").alias("b"))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = pairs.join(one.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(one.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("fb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

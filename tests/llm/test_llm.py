@@ -350,3 +350,23 @@ def test_pipeline_gives_the_ids(spark, frame, docs):
     assert len(rows) == len(docs) and all(list(r["ids"]) == want[r["doc_id"]] and len(r["ids"]) == r["n_pieces"] for r in rows)
     digest = lambda ids: hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
     assert all(digest(r["ids"]) == r["ids_sha256"] for r in rows)
+
+
+def test_near_pairs_of_large_buckets(spark):
+    """One band of one bit: large buckets whose members must all be compared; brute force over those that share a bucket."""
+    rng = random.Random(8)
+    bases = [words_of(rng, 60) for _ in range(3)]
+    texts = []
+    for i in range(150):
+        w = bases[i % 3].split()
+        for _ in range(1 + i % 4):
+            w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+        texts.append(" ".join(w))
+    prints = edit_fingerprint.fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    p = {}
+    for r in prints.collect():
+        p.setdefault(r["fingerprint"], r["doc_id"])
+    p = {i: f for f, i in p.items()}
+    want = {(a, b) for a in p for b in p if a < b and edit_fingerprint.likeness(p[a], p[b]) >= 0.75}
+    got = {(r["a"], r["b"]) for r in edit_fingerprint.near_pairs(prints, bands=40, width=4).collect()}
+    assert len(want) > 1000 and got <= want and len(want - got) <= 1e-3 * len(want)
