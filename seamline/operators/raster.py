@@ -81,8 +81,10 @@ def label_runs(cells: DataFrame) -> DataFrame:
 
 
 def run_node(image: str = "image_id", y: str = "y", x0: str = "x0"):
-    """A number for a run: image, then raster order (grids of up to 16,384 cells a side)."""
-    return F.shiftleft(F.col(image).cast("long"), 28) + F.shiftleft(F.col(y).cast("long"), 14) + F.col(x0)
+    """A number for a run: image, then raster order. Grids of over 16,384 cells a side raise an error, as their numbers would run into the next image's."""
+    fits = F.col(y).between(0, 16383) & F.col(x0).between(0, 16383) & F.col(image).between(-(1 << 35), (1 << 35) - 1)
+    node = F.shiftleft(F.col(image).cast("long"), 28) + F.shiftleft(F.col(y).cast("long"), 14) + F.col(x0)
+    return F.when(fits, node).otherwise(F.raise_error(F.concat(F.lit("run_node: no room for image, y, x "), F.concat_ws(", ", image, y, x0))).cast("long"))
 
 
 def run_overlaps(runs: DataFrame, conn: int = 8) -> DataFrame:

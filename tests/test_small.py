@@ -165,3 +165,9 @@ def test_rings_cover_whole_images(spark):
     assert rings.count() == adapters.cells(spark, d).count() and rings.agg(F.max("y")).first()[0] >= 23
     top = rings.where("y = 23").select("image_id", "x", "label").join(rings.where("y = 0").select("image_id", "x", F.col("label").alias("first")), ["image_id", "x"])
     assert top.where("x % 7 <> 3 and label <> first").isEmpty() and not top.isEmpty()
+
+
+def test_grids_too_high_for_node_numbers_raise(spark):
+    cells = spark.createDataFrame([(1, 0, 16384, 1), (2, 0, 0, 1)], "image_id long, x int, y int, label int")
+    with pytest.raises(Exception, match="no room"):
+        raster.connected_components(cells).collect()
