@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamline.session import table
@@ -116,6 +116,12 @@ CHOICES = f"""choices AS (SELECT image_id, cluster, 't-' || ((image_id * 5 + CAS
   (image_id + cluster) % 7 <> 0 AS enabled FROM (SELECT DISTINCT image_id, label AS cluster FROM cells WHERE label >= 0))"""
 
 
+def packed(design: str, place: str) -> Column:
+    """design * 100000 + place; a place that would run into the next design's numbers raises an error."""
+    fits = F.col(place).between(0, 99_999)
+    return F.when(fits, F.col(design) * 100000 + F.col(place)).otherwise(F.raise_error(F.concat(F.lit("packed: no room for design, place "), F.concat_ws(", ", design, place))).cast("long"))
+
+
 def path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path_id, seq, x, y): the sewn runs of two points or more, in mm; path_id is design_id * 100000 + run."""
     from seamline.operators.stitch import with_runs
@@ -124,7 +130,7 @@ def path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.count("*").over(Window.partitionBy("design_id", "run"))
     place = F.row_number().over(Window.partitionBy("design_id", "run").orderBy("seq")) - 1
     runs = runs.withColumn("n", size).where("n > 1")
-    return runs.select((F.col("design_id") * 100000 + F.col("run")).alias("path_id"), place.cast("int").alias("seq"), (F.col("x") / 10.0).alias("x"), (F.col("y") / 10.0).alias("y"))
+    return runs.select(packed("design_id", "run").alias("path_id"), place.cast("int").alias("seq"), (F.col("x") / 10.0).alias("x"), (F.col("y") / 10.0).alias("y"))
 
 
 PATH_POINTS = """runs AS (SELECT *, CAST(sum(CASE WHEN k <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY design_id ORDER BY seq) AS BIGINT) AS run FROM stitches),

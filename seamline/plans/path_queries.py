@@ -9,7 +9,7 @@ from seamline.operators import fill as L
 from seamline.operators import paths as P
 from seamline.operators import raster as R
 from seamline.operators import regions as G
-from seamline.plans.adapters import CELL_MM, CELLS, PATH_POINTS, STITCHES, cells, path_points, stitches
+from seamline.plans.adapters import CELL_MM, CELLS, PATH_POINTS, STITCHES, cells, packed, path_points, stitches
 from seamline.plans.base import query
 from seamline.plans.raster_queries import REGIONS
 from seamline.session import cut
@@ -91,7 +91,7 @@ CHAINS = f"""WITH RECURSIVE {STITCHES}, e AS (SELECT design_id * 100000 + seq AS
 @query(f"""{CHAINS} SELECT edge, edge % 100000 % 9 AS seq, (edge // 100000) % 2 = 0 AND (edge % 100000) // 9 * 9 + 8 <= top AS closed FROM e JOIN (SELECT design_id, max(seq) AS top FROM stitches GROUP BY 1) t ON t.design_id = edge // 100000""")
 def rank_chains(spark, d):
     s = stitches(spark, d).withColumn("top", F.max("seq").over(Window.partitionBy("design_id")))
-    edge = F.col("design_id") * 100000 + F.col("seq")
+    edge = packed("design_id", "seq")
     last = F.col("seq") % 9 == 8
     e = s.select(edge.alias("edge"), F.when(last & (F.col("design_id") % 2 == 0), edge - 8).when(last | (F.col("seq") == F.col("top")), None).otherwise(edge + 1).alias("next"))
     return P.rank_chains(e).select("edge", F.col("seq").cast("long").alias("seq"), "closed")

@@ -171,3 +171,12 @@ def test_grids_too_high_for_node_numbers_raise(spark):
     cells = spark.createDataFrame([(1, 0, 16384, 1), (2, 0, 0, 1)], "image_id long, x int, y int, label int")
     with pytest.raises(Exception, match="no room"):
         raster.connected_components(cells).collect()
+
+
+def test_packed_keys_raise(spark):
+    from seamline.plans.adapters import packed
+
+    df = spark.createDataFrame([(1, 99_999), (1, 100_000)], "design_id long, seq long")
+    assert df.where("seq < 100000").select(packed("design_id", "seq").alias("k")).first()[0] == 199_999
+    with pytest.raises(Exception, match="no room"):
+        df.select(packed("design_id", "seq")).collect()
