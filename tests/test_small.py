@@ -180,3 +180,14 @@ def test_packed_keys_raise(spark):
     assert df.where("seq < 100000").select(packed("design_id", "seq").alias("k")).first()[0] == 199_999
     with pytest.raises(Exception, match="no room"):
         df.select(packed("design_id", "seq")).collect()
+
+
+def test_plan_colours_absorbs_slivers(spark):
+    from seamline.plans import jobs
+
+    # a stripe of two cells' width and 40 cells stands both filters and the size limit of 37, but has no core
+    rgb = lambda x: (200, 20, 20) if x < 10 else (20, 200, 20) if x < 12 else (20, 20, 200)
+    px = spark.createDataFrame([(1, x, y, *rgb(x), 255) for x in range(24) for y in range(20)], "image_id long, x int, y int, r int, g int, b int, a int")
+    threads = spark.createDataFrame([("t", "range", "m", "b", "1", "red", 200, 20, 20, 1, True, 1)], "thread_id string, range_id string, maker string, brand string, code string, name string, r int, g int, b int, ord int, matchable boolean, machine_index int")
+    cells = jobs.plan_colours(px, px, threads, "range", colours=3)[0]
+    assert cells.count() == 480 and cells.select("label").distinct().count() == 2
