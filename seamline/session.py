@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,12 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one beside the warehouse if unset."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
+
+    Where it is unset, a folder beside the warehouse serves in local mode; on a cluster that is an error, as every executor
+    would write to a disk of its own.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if sc.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,5 +35,37 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Parquet tables of one job in the shared folder, read back with only the columns asked for.
+
+    ``drop`` deletes a table once nothing reads it any more; what is left goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._folder = f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
+        self._paths: dict[int, str] = {}
+        self._marked = False
+
+    def _on_disk(self, path: str) -> tuple:
+        p = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self._spark._jsc.hadoopConfiguration()), p
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{len(self._paths)}"
+        df.write.parquet(path)
+        if not self._marked:
+            fs, p = self._on_disk(self._folder)
+            self._marked = fs.deleteOnExit(p)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            fs, p = self._on_disk(self._paths[id(t)])
+            fs.delete(p, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
