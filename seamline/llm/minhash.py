@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from seamline.llm.bytesets import chunks, lower, mix, prefix_hashes, range_hash, utf8, words
 from seamline.operators.graph import components
-from seamline.session import cut, shuffle_partitions
+from seamline.session import Scratch, shuffle_partitions
 
 SHINGLE = 5
 #: A pair of similarity 0.75 shares no band with probability (1 - 0.75**ROWS)**BANDS = 4e-6, one of 0.3 shares any with 0.05.
@@ -232,15 +232,15 @@ def profiles(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc long, n long, regs binary, items binary")
 
 
-def verified(pairs: DataFrame, prof: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``: estimate first, then 100 * intersection >= PERCENT * union on the full sets."""
+def verified(pairs: DataFrame, prof: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ``pairs`` (a, b) that are links: estimate first, then 100 * intersection >= PERCENT * union on the full sets."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ra, rb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             j, error = estimate(ra, rb, b.column("na").to_numpy(), b.column("nb").to_numpy())
-            keep = j >= PERCENT / 100 - MARGIN * error
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(keep)], names=["a", "b", "likely"])
+            keep = pa.array(j >= PERCENT / 100 - MARGIN * error)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -249,40 +249,56 @@ def verified(pairs: DataFrame, prof: DataFrame) -> DataFrame:
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(p) + len(q) - len(np.union1d(p, q))
                 ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
     side = lambda one, cols: prof.select(F.col("doc").alias(one), *(F.col(c).alias(d) for c, d in cols))
     few = pairs.join(side("a", [("regs", "ra"), ("n", "na")]), "a").join(side("b", [("regs", "rb"), ("n", "nb")]), "b")
-    few = cut(few.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(likely, "a long, b long, likely boolean"))
-    sets = few.where("likely").select("a", "b").join(side("a", [("items", "sa")]), "a").join(side("b", [("items", "sb")]), "b")
-    return sets.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long, linked boolean").unionByName(few.where("not likely").select("a", "b", F.lit(False).alias("linked")))
+    few = scratch.keep(few.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(likely, "a long, b long"))
+    sets = few.join(side("a", [("items", "sa")]), "a").join(side("b", [("items", "sb")]), "b")
+    return sets.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
-def _bridges(rows: DataFrame, block: int = 4096) -> DataFrame:
+#: Shingles of a cell's side in ``bridges`` (8 bytes each), and the copies of each group's row that a hot group's members are spread over.
+CELL_ITEMS, SALT = 1 << 21, 32
+
+
+def bridges(members: DataFrame, prof: DataFrame) -> DataFrame:
     """(a, b): links between different components of a candidate group that join all of them that any link joins.
 
-    ``rows``: (g, doc, c, items), the members of groups with their components so far and full sets. A group of up to ``block``
-    members is compared in one task through its shingles' posting lists; a larger one in pairs of blocks, so that no task
-    holds more than two blocks. Only members outside the pair's largest component are looked up, and a link is given only if it joins two
-    components, so at most as many as there are members.
+    ``members``: (g, doc, c), the members of groups with their components so far; ``prof``: (doc, n, items). Within a group
+    the members outside its largest component are probes: each is compared with all members through their shingles' posting lists. A
+    group is a grid of cells (blocks of probes by slices of members) of bounded size; a cell gives a link only if it
+    joins two components, so at most as many as it has members. Bytes grow with probes times members over CELL_ITEMS.
     """
-    n = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    own = rows.join(n, "g").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q")))).alias("t")
-    dealt = own.select("g", "doc", "c", "items", pair).select("g", "t.p", "t.q", "doc", "c", "items").repartition(shuffle_partitions(rows.sparkSession), "g", "p", "q")
+    sized = members.join(prof.select("doc", "n"), "doc")
+    part = sized.groupBy("g", "c").agg(F.count("*").alias("k"), F.sum("n").alias("items"))
+    whole = part.groupBy("g").agg(F.max(F.struct("k", "c", "items")).alias("top"), F.sum("k").alias("all"), F.sum("items").alias("items"))
+    cells = lambda x: F.ceil(x / CELL_ITEMS).cast("int")
+    grid = whole.where(F.col("all") > F.col("top.k")).select("g", F.col("top.c").alias("big"), cells(F.col("items") - F.col("top.items")).alias("blocks"), cells(F.col("items")).alias("slices"))
+    grid = grid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = members.withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALT))).join(grid, ["g", "salt"])
+    own = own.withColumn("i", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("j", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("slices")).cast("int"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j")))
+    as_probe = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.struct(F.col("i").alias("i"), j.alias("j")))
+    own = own.withColumn("probe", F.col("c") != F.col("big"))
+    own = own.withColumn("t", F.explode(F.when(F.col("probe"), F.array_union(as_member, as_probe)).otherwise(as_member)))
+    own = own.select("g", "t.i", "t.j", "doc", "c", (F.col("probe") & (F.col("i") == F.col("t.i"))).alias("probe"), (F.col("j") == F.col("t.j")).alias("member"))
+    dealt = own.join(prof.select("doc", "items"), "doc").repartition(shuffle_partitions(members.sparkSession), "g", "i", "j")
 
     def compare(table: pa.Table) -> pa.Table:
         doc, c = table.column("doc").to_numpy(), table.column("c").to_numpy().copy()
+        probe, member = (table.column(x).to_numpy() for x in ("probe", "member"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         size = np.array([len(x) for x in sets])
         _, item = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)])
         owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(item, kind="stable")
+        listed = np.flatnonzero(member[owner])
+        order = listed[np.argsort(item[listed], kind="stable")]
         posting, at = owner[order], np.searchsorted(item[order], np.arange(int(item.max(initial=-1)) + 2))
-        begin = np.concatenate([[0], np.cumsum(size)])
-        names, count = np.unique(c, return_counts=True)
         a, b = [], []
-        for x in np.flatnonzero(c != names[np.argmax(count)]).tolist():
+        for x in np.flatnonzero(probe).tolist():
             mine = item[begin[x] : begin[x + 1]]
             length = at[mine + 1] - at[mine]
             step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
@@ -293,7 +309,7 @@ def _bridges(rows: DataFrame, block: int = 4096) -> DataFrame:
                     c[c == c[y]] = c[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("g", "p", "q").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -301,33 +317,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows of one doc_id are one document whose links are those of all its texts; a null doc_id is linked with nothing
     (component_id null, kept). A null or wordless text has an empty set and is linked with nothing. Equal sets are reduced to the least doc_id first (an aggregate
-    with map-side sums); pairs are then sought between representatives only. Buckets of up to GROUP representatives give all
-    their pairs. A larger bucket gives each member one pair, with the least first member of its buckets; groups that still fall
-    into several components are then compared whole, in blocks, so no link between components is lost.
+    with map-side sums) and get its label at the end; pairs are sought between these representatives only. Buckets of up to GROUP representatives give all
+    their pairs. A larger bucket gives each member one pair, with the least first member of its buckets; what such buckets hold
+    is a group, and members outside their group's largest component are then compared with the whole group, so no link between components is lost.
     No component, link or sketch is gathered in one place.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    s = cut(sketches(rows))
-    reps = s.where("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = s.where("doc_id is not null").join(reps, "digest").select("doc_id", "rep", "bands")
-    heads = copies.where("doc_id = rep").select(F.col("doc_id").alias("doc"), "bands")
-    found = cut(candidates(heads).where("b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("large").alias("large"), F.max("large").alias("any_large")))
+    s = scratch.keep(sketches(rows))
+    known = s.where("doc_id is not null")
+    reps = scratch.keep(known.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
+    found = candidates(reps.select(F.col("rep").alias("doc"), "bands")).where("b is not null and a <> b")
+    found = scratch.keep(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("large").alias("large"), F.max("large").alias("any_large")))
     anchor = found.where("large").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    pairs = cut(found.where("not large").select("a", "b").union(anchor))
-    known = rows.where("doc_id is not null")
+    pairs = found.where("not large").select("a", "b").union(anchor)
     named = found.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    prof = cut(profiles(known, named))
-    links = cut(verified(pairs, prof).where("linked").select("a", "b").distinct())
-    label = components(links)
-    same = copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    if not found.where("any_large").isEmpty():
-        group = components(found.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("g"))
+    prof = scratch.keep(profiles(rows.where("doc_id is not null"), named))
+    label = components(verified(pairs, prof, scratch))
+    wide = found.where("any_large").select("a", "b")
+    if not wide.isEmpty():
+        group = components(wide).select(F.col("node").alias("doc"), F.col("component").alias("g"))
         group = group.join(label.select(F.col("node").alias("doc"), F.col("component").alias("c")), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-        group = cut(group)
-        several = group.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("g")
-        wide = group.join(found.where("any_large").select(F.col("b").alias("doc")).distinct(), "doc", "left_semi").select("g").distinct()
-        open_ = group.join(several, "g", "left_semi").join(wide, "g", "left_semi")
-        links = links.union(_bridges(open_.join(prof.select("doc", "items"), "doc").select("g", "doc", "c", "items")))
-    label = components(links.union(same))
-    out = s.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+        label = components(label.toDF("a", "b").union(bridges(scratch.keep(group), prof)))
+    texts = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.bool_or(F.col("digest").isNull()).alias("empty"))
+    several = scratch.keep(texts.where("lo <> hi or (lo is not null and empty)").select(F.col("doc_id").alias("_several"), "lo"))
+    s = s.select("doc_id", "n_shingles", "digest")
+    if not several.isEmpty():  # all texts of one doc_id hang together
+        s = s.join(several, F.col("doc_id") == F.col("_several"), "left").withColumn("digest", F.coalesce("digest", "lo"))
+        ties = s.where("digest <> lo").select("lo", "digest").distinct().join(reps.select("digest", F.col("rep").alias("a")), "digest")
+        ties = ties.join(reps.select(F.col("digest").alias("lo"), F.col("rep").alias("b")), "lo").select("a", "b")
+        label = components(label.toDF("a", "b").union(ties))
+        s = s.select("doc_id", "n_shingles", "digest")
+    scratch.drop(found, prof)
+    named = reps.select("digest", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    single = F.col("digest").isNull() | F.col("doc_id").isNull()
+    out = s.where(~single).join(named, "digest").select("doc_id", "n_shingles", "component_id")
+    out = out.union(s.where(single).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
