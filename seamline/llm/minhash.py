@@ -228,12 +228,12 @@ def profiles(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 items += [s.tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([len(x) // 8 for x in items], pa.int64()), pa.array(regs, pa.binary()), pa.array(items, pa.binary())], names=["doc", "n", "regs", "items"])
 
-    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(ids, "doc", "left_semi")
+    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(ids.hint("merge"), "doc", "left_semi")
     return rows.mapInArrow(run, "doc long, n long, regs binary, items binary")
 
 
 def verified(pairs: DataFrame, prof: DataFrame, scratch: Scratch) -> DataFrame:
-    """The ``pairs`` (a, b) that are links: estimate first, then 100 * intersection >= PERCENT * union on the full sets."""
+    """The ``pairs`` (a, b) that are links: estimate first, then 100 * intersection >= PERCENT * union on the full sets. Ids and pairs grow with the corpus and are never broadcast."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -253,9 +253,9 @@ def verified(pairs: DataFrame, prof: DataFrame, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
     side = lambda one, cols: prof.select(F.col("doc").alias(one), *(F.col(c).alias(d) for c, d in cols))
-    few = pairs.join(side("a", [("regs", "ra"), ("n", "na")]), "a").join(side("b", [("regs", "rb"), ("n", "nb")]), "b")
+    few = pairs.hint("merge").join(side("a", [("regs", "ra"), ("n", "na")]), "a").join(side("b", [("regs", "rb"), ("n", "nb")]), "b")
     few = scratch.keep(few.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(likely, "a long, b long"))
-    sets = few.join(side("a", [("items", "sa")]), "a").join(side("b", [("items", "sb")]), "b")
+    sets = few.hint("merge").join(side("a", [("items", "sa")]), "a").join(side("b", [("items", "sb")]), "b")
     return sets.select("a", "b", "sa", "sb").mapInArrow(confirm, "a long, b long")
 
 
