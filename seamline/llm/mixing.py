@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.session import cut
+from seamline.session import Scratch, cut
 
 LEVELS = ("domain", "lang", "source")
 #: Rows of an order bucket on average: prefix sums run in buckets of the order, so that no leaf is ordered in one task.
@@ -25,9 +25,15 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def place(seed: int, epoch: Column, doc_id: Column) -> Column:
-    """Seeded place of a document in an epoch's order, 0 to 2**32 - 1."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("long")
+def tie(text: Column) -> Column:
+    """Orders the texts of one doc_id: half of an MD5, as hex."""
+    return F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 16)
+
+
+def place(seed: int, epoch: Column, doc_id: Column, tie: Column) -> Column:
+    """Seeded place of a document in an epoch's order, 0 to 2**32 - 1; that of a null doc_id goes by its text."""
+    key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), tie))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def _fill(nodes: DataFrame, parent: list[str], key: list[str]) -> DataFrame:
@@ -75,30 +81,31 @@ def _join_leaves(rows: DataFrame, leaves: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, domain: Column, weights: dict[str, Column], budget: float, max_epochs: int, seed: int) -> DataFrame:
     """One row per leaf: its key columns, n_docs, n_tokens, share, full (whole epochs), and where its last epoch ends.
 
-    The last epoch takes documents in order while their first token lies within the rest of the share: ``last_place`` and
-    ``last_id`` name the final one, ``last_start`` its first token's position. Prefix sums are taken over order buckets
-    first, then inside the one bucket of each leaf in which its share ends, so no leaf is sorted in one task.
+    The last epoch takes documents in order while their first token lies within the rest of the share: ``last_place``,
+    ``last_id`` and ``last_tie`` name the final one, ``last_start`` its first token's position, ``last_rows`` how many rows are
+    equal to it. Prefix sums are taken over order buckets
+    first, then inside the one bucket of each leaf in which its share ends, so no leaf is sorted in one task. Texts are read once.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), domain.alias("domain"), F.col("lang").cast("string"), F.col("source").cast("string"), tokens(F.col("text")).alias("tokens"))
-    rows = rows.withColumn("leaf", F.xxhash64(*LEVELS))
+    rows = docs.select(F.col("doc_id").cast("long"), domain.alias("domain"), F.col("lang").cast("string"), F.col("source").cast("string"), tokens(F.col("text").cast("string")).alias("tokens"), tie(F.col("text").cast("string")).alias("tie"))
+    rows = Scratch(docs.sparkSession).keep(rows.withColumn("leaf", F.xxhash64(*LEVELS)))
     leaves = rows.groupBy("leaf", *LEVELS).agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
     leaves = cut(leaves)
     total = int(budget * (leaves.agg(F.sum("n_tokens")).first()[0] or 0))
     shared = budgets(leaves, total, weights, max_epochs)
     shared = shared.withColumn("full", F.coalesce(F.floor(F.try_divide(F.col("share"), F.col("n_tokens"))), F.lit(0)).cast("long"))
     shared = cut(shared.withColumn("rest", F.col("share") - F.col("full") * F.col("n_tokens")).withColumn("n_buckets", F.ceil(F.col("n_docs") / BUCKET_ROWS).cast("long")))
-    part = _join_leaves(rows.select("leaf", "doc_id", "tokens"), shared.where("rest > 0").select("leaf", "full", "rest", "n_buckets"))
-    part = part.withColumn("place", place(seed, F.col("full"), F.col("doc_id")))
+    part = _join_leaves(rows.select("leaf", "doc_id", "tokens", "tie"), shared.where("rest > 0").select("leaf", "full", "rest", "n_buckets"))
+    part = part.withColumn("place", place(seed, F.col("full"), F.col("doc_id"), F.col("tie")))
     part = part.withColumn("bucket", F.floor(F.col("place") * F.col("n_buckets") / F.lit(1 << 32)).cast("long"))
     sums = part.groupBy("leaf", "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
     w = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = sums.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).where("start < rest and start + n >= rest").select(F.col("leaf").alias("l"), F.col("bucket").alias("k"), "start")
     inside = part.join(ends, (F.col("leaf") == F.col("l")) & (F.col("bucket") == F.col("k")))
-    inside = inside.groupBy("leaf", "place", "doc_id").agg(F.sum("tokens").alias("tokens"), F.first("start").alias("start"), F.first("rest").alias("rest"))
-    v = Window.partitionBy("leaf").orderBy("place", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.groupBy("leaf", "place", "doc_id", "tie").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows"), F.first("start").alias("start"), F.first("rest").alias("rest"))
+    v = Window.partitionBy("leaf").orderBy("place", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("at", F.col("start") + F.coalesce(F.sum("tokens").over(v), F.lit(0))).where("at < rest")
-    last = inside.groupBy(F.col("leaf").alias("l")).agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "at")).alias("m"))
-    last = last.select("l", F.col("m.place").alias("last_place"), F.col("m.id").alias("last_id"), F.col("m.at").alias("last_start"))
+    last = inside.groupBy(F.col("leaf").alias("l")).agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "tie", "at", "n_rows")).alias("m"))
+    last = last.select("l", F.col("m.place").alias("last_place"), F.col("m.id").alias("last_id"), F.col("m.tie").alias("last_tie"), F.col("m.at").alias("last_start"), F.col("m.n_rows").alias("last_rows"))
     return cut(shared.join(last, F.col("leaf") == F.col("l"), "left").drop("l"))
 
 
@@ -107,21 +114,25 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], budget: flo
 
     ``domain`` maps a row to the tree's first level, ``weights`` a level to whole positive weights, ``budget`` is the share
     of the corpus' tokens to give out. n_taken is the document's tokens, fewer where its leaf's budget ends inside it. Null
-    lang or source make leaves of their own; texts without tokens are taken with epochs that are taken whole; rows that
-    share doc_id and leaf stand at one place in the order and are taken together; a null doc_id stands first among equals.
+    lang or source make leaves of their own; texts without tokens are taken with epochs that are taken whole. Rows of
+    one doc_id and leaf are ordered by a hash of the text; rows equal in that too stand at one place, and where the budget
+    ends there they share what is left evenly, in whole tokens. A null doc_id has its place by its text.
     Texts are only read where they are: leaves, not documents, are shuffled and joined. Columns named epoch or n_taken are an error.
     """
     if clash := {"epoch", "n_taken"} & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
     leaves = plan(docs, domain, weights, budget, max_epochs, seed)
     rows = docs.withColumn("_tokens", tokens(F.col("text").cast("string"))).withColumn("leaf", F.xxhash64(domain, F.col("lang").cast("string"), F.col("source").cast("string")))
-    got = _join_leaves(rows, leaves.select("leaf", F.col("full").alias("_full"), F.col("rest").alias("_rest"), "last_place", "last_id", "last_start"))
-    spot = place(seed, F.col("_full"), F.col("doc_id"))
+    got = _join_leaves(rows, leaves.select("leaf", F.col("full").alias("_full"), F.col("rest").alias("_rest"), "last_place", "last_id", "last_tie", "last_start", "last_rows"))
+    got = got.withColumn("_tie", tie(F.col("text").cast("string")))
+    spot = place(seed, F.col("_full"), F.col("doc_id"), F.col("_tie"))
     number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    got = got.withColumn("_spot", spot).withColumn("_is_last", (F.col("_spot") == F.col("last_place")) & (number == F.col("last_id")))
-    takes = (F.col("_rest") > 0) & F.coalesce((F.col("_spot") < F.col("last_place")) | ((F.col("_spot") == F.col("last_place")) & (number <= F.col("last_id"))), F.lit(False))
+    got = got.withColumn("_spot", spot)
+    here, end = F.struct(F.col("_spot").alias("last_place"), number.alias("last_id"), F.col("_tie").alias("last_tie")), F.struct("last_place", "last_id", "last_tie")
+    got = got.withColumn("_is_last", here == end)
+    takes = (F.col("_rest") > 0) & F.col("last_place").isNotNull() & (here <= end)
     whole = F.when(F.col("_full") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("_full") - 1), lambda e: F.struct(e.alias("epoch"), F.col("_tokens").alias("n_taken"))))
-    some = F.when(takes, F.array(F.struct(F.col("_full").alias("epoch"), F.when(F.col("_is_last"), F.least("_tokens", F.col("_rest") - F.col("last_start"))).otherwise(F.col("_tokens")).alias("n_taken"))))
+    some = F.when(takes, F.array(F.struct(F.col("_full").alias("epoch"), F.when(F.col("_is_last"), F.least(F.col("_tokens"), F.floor((F.col("_rest") - F.col("last_start")) / F.col("last_rows")))).otherwise(F.col("_tokens")).alias("n_taken"))))
     none = F.array().cast("array<struct<epoch:bigint,n_taken:bigint>>")
     got = got.withColumn("_t", F.explode(F.concat(F.coalesce(whole, none), F.coalesce(some, none))))
     return got.select(*[F.col(c) for c in docs.columns], F.col("_t.epoch").alias("epoch"), F.col("_t.n_taken").alias("n_taken"))
@@ -166,15 +177,18 @@ def oracle() -> str:
         source, share = f"{level}_t", f"share_{level}"
     return f"""
 WITH docs AS (SELECT doc_id, lang, source, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '^src[1-9]$') THEN 'reference' ELSE 'community' END AS domain,
-  CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens FROM documents),
+  CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS tokens, substr(md5(coalesce(text, '')), 1, 16) AS tie FROM documents),
 sized AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS n_tokens FROM docs GROUP BY ALL),
 leaves AS (SELECT *, 2 * n_tokens AS capacity, (SELECT CAST(sum(n_tokens) AS BIGINT) FROM sized) AS total FROM sized),
 {",".join(parts)},
 parts AS (SELECT *, CASE WHEN n_tokens = 0 THEN 0 ELSE share_source // n_tokens END AS full_epochs FROM source_t),
 rows_ AS (SELECT d.*, p.full_epochs, p.share_source - p.full_epochs * p.n_tokens AS rest,
-  CAST(('0x' || substr(md5('1:' || p.full_epochs || ':' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8)) AS BIGINT) AS place
+  CAST(('0x' || substr(md5('1:' || p.full_epochs || ':' || coalesce(CAST(d.doc_id AS VARCHAR), d.tie)), 1, 8)) AS BIGINT) AS place
   FROM docs d JOIN parts p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source),
-ordered AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM rows_)
+equal_rows AS (SELECT domain, lang, source, place, doc_id, tie, sum(tokens) AS n, count(*) AS n_rows FROM rows_ GROUP BY ALL),
+begun AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id NULLS FIRST, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM equal_rows),
+ordered AS (SELECT r.*, b.begins, b.n_rows FROM rows_ r JOIN begun b ON r.domain = b.domain AND r.lang IS NOT DISTINCT FROM b.lang AND r.source IS NOT DISTINCT FROM b.source
+  AND r.place = b.place AND r.doc_id IS NOT DISTINCT FROM b.doc_id AND r.tie = b.tie)
 SELECT doc_id, lang, source, CAST(e.epoch AS BIGINT) AS epoch, tokens AS n_taken FROM rows_, (SELECT unnest(range(0, 2)) AS epoch) e WHERE e.epoch < full_epochs
 UNION ALL
-SELECT doc_id, lang, source, CAST(full_epochs AS BIGINT), CAST(least(tokens, rest - begins) AS BIGINT) FROM ordered WHERE rest > 0 AND begins < rest"""
+SELECT doc_id, lang, source, CAST(full_epochs AS BIGINT), CAST(least(tokens, (rest - begins) // n_rows) AS BIGINT) FROM ordered WHERE rest > 0 AND begins < rest"""

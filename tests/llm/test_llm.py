@@ -331,15 +331,16 @@ def test_pii(spark, empty):
 
 def test_pipeline(spark, tmp_path, docs):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    rows = [(i, t if t is None else f"{t} mail me at someone@example.org", a, b, n) for i, t, a, b, n in docs if i != 406]
+    rows = [(i, t if t is None else f"{t} mail me at someone@example.org", a, b, n) for i, t, a, b, n in docs]
     spark.createDataFrame(rows, DOC).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     d = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, f"file://{tmp_path}").cache()
         assert d.columns == corpus_pipeline.COLUMNS
-    ids = {r["doc_id"] for r in d.collect()}
-    assert not ids & {100, 101, 102, 103, 104, 400, 401, 402} and all("@" not in r["text"] and len(r["text"]) == r["n_chars"] for r in d.collect())
+    epochs = Counter(r["doc_id"] for r in d.collect())
+    ids = set(epochs)
+    assert max(epochs.values()) <= 2 and not ids & {100, 101, 102, 103, 104, 400, 401, 402, 406} and all("@" not in r["text"] and len(r["text"]) == r["n_chars"] for r in d.collect())
     assert all(r["same"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect())
 
 
