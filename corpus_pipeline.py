@@ -24,9 +24,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group of near-duplicates the document of the least doc_id stays."""
+    """MinHash near-dedup: of each group of near-duplicates the document of the least doc_id stays, once if its rows repeat."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    rest = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return rest
+    one = rest.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return rest.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(one.select(COLUMNS))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
