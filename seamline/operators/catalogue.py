@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.functions.colour import describe_color, rgb_to_lab, with_delta_e2000
+from seamline.functions.colour import describe_color, lab_dist2, rgb_to_lab, with_delta_e2000
+from seamline.session import shuffle_partitions
 
 MAX_SHADES = 50_000
+_COLOUR = ["range_id", "r", "g", "b"]
+#: CIEDE2000 is at least the lightness difference over 1 + 0.015 * 50**2 / sqrt(20 + 50**2), its weight's largest value.
+LIGHTNESS_SPAN = 1.7471
 
 
 def small(df: DataFrame, most: int = MAX_SHADES) -> DataFrame:
@@ -24,17 +28,34 @@ def matchable(threads: DataFrame) -> DataFrame:
     return threads.where("matchable")
 
 
+def _shades(threads: DataFrame) -> DataFrame:
+    return small(matchable(threads).select("range_id", "ord", "thread_id", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("_q")))
+
+
+def _distinct_colours(colours: DataFrame) -> DataFrame:
+    """Distinct (range_id, r, g, b) with ``_p``, their Lab; dealt out by number once made, as a few MB of them become very many pairs."""
+    own = colours.select(*_COLOUR).distinct().withColumn("_p", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
+    return own.repartition(shuffle_partitions(colours.sparkSession))
+
+
 def distances(colours: DataFrame, threads: DataFrame) -> DataFrame:
     """Every distinct colour of ``colours`` (range_id, r, g, b) with the matchable shades of its range: d, ord, thread_id."""
-    shade = small(matchable(threads).select("range_id", "ord", "thread_id", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("_q")))
-    own = colours.select("range_id", "r", "g", "b").distinct().withColumn("_p", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
-    return with_delta_e2000(own.join(shade, "range_id"), "_p", "_q", "d").drop("_p", "_q")
+    return with_delta_e2000(_distinct_colours(colours).join(_shades(threads), "range_id"), "_p", "_q", "d").drop("_p", "_q")
 
 
 def nearest_thread(colours: DataFrame, threads: DataFrame) -> DataFrame:
-    """``colours`` with the nearest ``thread_id`` of their range by CIEDE2000; the earlier in the list of equals; null if the range is unknown."""
-    best = distances(colours, threads).groupBy("range_id", "r", "g", "b").agg(F.min(F.struct("d", "ord", "thread_id")).alias("_m"))
-    return colours.join(best.select("range_id", "r", "g", "b", F.col("_m.thread_id").alias("thread_id"), F.col("_m.d").alias("delta_e")), ["range_id", "r", "g", "b"], "left")
+    """``colours`` with the nearest ``thread_id`` of their range by CIEDE2000; the earlier in the list of equals; null if the range is unknown.
+
+    The shade nearest in Lab gives a bound: a shade whose lightness alone is further off (LIGHTNESS_SPAN) isn't looked at.
+    """
+    shades = _shades(threads)
+    far, own = lab_dist2(F.col("_p"), F.col("_q")), _distinct_colours(colours)
+    least = own.join(shades, "range_id").groupBy(*_COLOUR, "_p").agg(F.min(far).alias("_least")).repartition(shuffle_partitions(colours.sparkSession))
+    like = least.join(shades, "range_id").where(far == F.col("_least"))
+    guess = with_delta_e2000(like, "_p", "_q", "_d").groupBy(*_COLOUR, "_p").agg(F.min("_d").alias("_bound")).repartition(shuffle_partitions(colours.sparkSession))
+    near = guess.join(shades, "range_id").where(F.abs(F.col("_p.l") - F.col("_q.l")) <= F.col("_bound") * LIGHTNESS_SPAN + 1e-6)
+    best = with_delta_e2000(near, "_p", "_q", "d").groupBy(*_COLOUR).agg(F.min(F.struct("d", "ord", "thread_id")).alias("_m"))
+    return colours.join(best.select(*_COLOUR, F.col("_m.thread_id").alias("thread_id"), F.col("_m.d").alias("delta_e")), _COLOUR, "left")
 
 
 def top_threads(colours: DataFrame, threads: DataFrame, n: int) -> DataFrame:

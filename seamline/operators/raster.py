@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.functions.colour import lab_dist2, rgb_to_lab
+from seamline.functions.colour import lab_dist2, let, rgb_to_lab
 from seamline.operators.graph import components
 from seamline.session import cut
 
@@ -67,11 +67,39 @@ def background(cells: DataFrame) -> DataFrame:
     return one.select("image_id", F.when((F.col("some") * 2 > F.col("all")) & (F.col("m.n") >= F.col("all") * 0.4), -F.col("m.l")).alias("background"))
 
 
+def _three_rows(cells: DataFrame) -> DataFrame:
+    """(image_id, y, x0, up, mid, down): each row of an image with the rows above and below as arrays of labels from column x0 on,
+    null where there is no cell. Arrays, not cells, meet: three copies of a row, dealt by (image_id, y)."""
+    row = cells.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "label"))).alias("_c"))
+    low, high = F.col("_c")[0]["x"], F.element_at("_c", -1)["x"]
+    full = F.transform("_c", lambda c: c["label"])
+    gaps = F.transform(F.sequence(low, high), lambda x: F.get(F.filter("_c", lambda c: c["x"] == x), F.lit(0))["label"])
+    row = row.select("image_id", "y", low.alias("x0"), F.when(F.size("_c") == high - low + 1, full).otherwise(gaps).alias("labels"))
+    near = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("d")
+    met = row.select("image_id", "y", "x0", "labels", near).groupBy("image_id", (F.col("y") + F.col("d")).alias("y"))
+    own = [F.max(F.when(F.col("d") == d, F.struct("x0", "labels"))).alias(n) for n, d in (("up", 1), ("mid", 0), ("down", -1))]
+    return met.agg(*own).where("mid is not null").select("image_id", "y", F.col("mid.x0").alias("x0"), "up", "mid", "down")
+
+
+def _around(i) -> list:
+    """The nine labels around the i-th cell of a row of ``_three_rows``."""
+    at = lambda r, d: F.when(i + F.col("x0") + d >= F.col(f"{r}.x0"), F.get(F.col(f"{r}.labels"), i + F.col("x0") + d - F.col(f"{r}.x0")))
+    return [at(r, d) for r in ("up", "mid", "down") for d in (-1, 0, 1)]
+
+
 def majority_filter(cells: DataFrame) -> DataFrame:
-    """Each cell takes the label that five or more of its 3 x 3 neighbourhood (inside the image, itself included) have, else keeps its own."""
-    around = cells.select("image_id", "label", F.explode(F.expr("flatten(transform(array(-1, 0, 1), dy -> transform(array(-1, 0, 1), dx -> struct(x + dx as x, y + dy as y))))")).alias("p"))
-    votes = around.groupBy("image_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "label").agg(F.count("*").alias("n")).where("n >= 5").select("image_id", "x", "y", F.col("label").alias("_best"))
-    return cells.join(votes, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("_best", "label").alias("label"))
+    """Each cell takes the label that five or more of its 3 x 3 neighbourhood (inside the image, itself included) have, else keeps its own.
+
+    Of up to nine sorted labels the fifth is the only one that can occur five times.
+    """
+
+    def filtered(own, i):
+        fifth = lambda s: F.get(s, F.lit(4))
+        voted = let(F.array_sort(F.array_compact(F.array(*_around(i)))), lambda s: F.when(F.size(F.filter(s, lambda v: v == fifth(s))) >= 5, fifth(s)))
+        return F.when(own.isNotNull(), F.struct((F.col("x0") + i).alias("x"), F.coalesce(voted, own).alias("label")))
+
+    new = _three_rows(cells).select("image_id", "y", F.explode(F.transform(F.col("mid.labels"), filtered)).alias("c"))
+    return new.where("c is not null").select("image_id", "c.x", "y", "c.label")
 
 
 def label_runs(cells: DataFrame) -> DataFrame:
@@ -127,8 +155,9 @@ def remove_small_regions(cells: DataFrame, min_cells: int, require_core: bool =
         size = regions.groupBy("image_id", "comp_id").agg(F.count("*").alias("n"), F.first("label").alias("l"))
         doomed = size.where(F.col("n") < min_cells)
         if require_core:
-            mid = regions.select("image_id", "comp_id", "label", F.explode(F.expr("flatten(transform(array(-1, 0, 1), dy -> transform(array(-1, 0, 1), dx -> struct(x + dx as x, y + dy as y))))")).alias("p"))
-            core = mid.groupBy("image_id", "label", "p.x", "p.y").agg(F.count("*").alias("k")).where("k = 9").join(regions, ["image_id", "label", "x", "y"]).select("image_id", "comp_id").distinct()
+            alone = lambda own, i: F.when(F.size(F.array_compact(F.array(*[F.when(v == own, 1) for v in _around(i)]))) == 9, F.col("x0") + i)
+            mid = _three_rows(regions).select("image_id", "y", F.explode(F.array_compact(F.transform(F.col("mid.labels"), alone))).alias("x"))
+            core = mid.join(regions, ["image_id", "x", "y"]).select("image_id", "comp_id").distinct()
             doomed = doomed.unionByName(size.where((F.col("n") >= min_cells) & (F.col("l") >= 0)).join(core, ["image_id", "comp_id"], "left_anti"))
         target = cut(doomed.join(region_target(regions), ["image_id", "comp_id"]).select("image_id", "comp_id", "target"))
         if target.isEmpty():

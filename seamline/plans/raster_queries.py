@@ -69,10 +69,12 @@ def background(spark, d):
     return R.background(cells(spark, d))
 
 
-VOTES = "SELECT c.image_id, c.x + dx AS x, c.y + dy AS y, label, count(*) AS n FROM cells c, (SELECT unnest([-1, 0, 1]) AS dx) p, (SELECT unnest([-1, 0, 1]) AS dy) q GROUP BY 1, 2, 3, 4"
+VOTES = """wide AS MATERIALIZED (SELECT image_id, x, y, label, lag(label) OVER r AS before, lead(label) OVER r AS after FROM cells WINDOW r AS (PARTITION BY image_id, y ORDER BY x)),
+three AS (SELECT image_id, x, unnest([y - 1, y, y + 1]) AS y, before, label, after FROM wide), nine AS (SELECT image_id, x, y, unnest([before, label, after]) AS label FROM three),
+votes AS (SELECT image_id, x, y, label FROM nine WHERE label IS NOT NULL GROUP BY ALL HAVING count(*) >= 5)"""
 
 
-@query(f"WITH {CELLS}, votes AS ({VOTES}) SELECT c.image_id, c.x, c.y, coalesce(v.label, c.label) AS label FROM cells c LEFT JOIN votes v ON v.image_id = c.image_id AND v.x = c.x AND v.y = c.y AND v.n >= 5")
+@query(f"WITH {CELLS}, {VOTES} SELECT c.image_id, c.x, c.y, coalesce(v.label, c.label) AS label FROM wide c LEFT JOIN votes v ON v.image_id = c.image_id AND v.x = c.x AND v.y = c.y")
 def majority_filter(spark, d):
     return R.majority_filter(cells(spark, d))
 
