@@ -4,7 +4,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier. Ever
 K-byte string in it whose hash is least, so equal windows have equal anchors in equal places: only windows whose anchors occur
 twice need a comparison. Those are dealt out by anchor and sorted in a mergesort that compares suffixes through prefix
 polynomial hashes: binary search finds the common extension of two suffixes, the byte after it their order. Neighbours that
-share LENGTH bytes form a class, confirmed byte by byte; all but the first member are repeats.
+share LENGTH bytes form a class, confirmed byte by byte; all but the first member are repeats. Anchors whose whole contexts
+have one hash need no sort: their bytes are compared with those of the first.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.bytesets import chunks, mix, prefix_hashes, range_hash, utf8
-from seamline.session import cut, shuffle_partitions
+from seamline.session import Scratch, shuffle_partitions
 
 LENGTH, K = 100, 24
 _W = LENGTH - K + 1  # anchors to choose from in a window
 _POS = np.uint64((1 << 30) - 1)
 #: A context of an anchor: what all windows that have it lie in.
 _LEFT = LENGTH - K
-#: Packed place of an anchor: 13 bits that tell texts of one doc_id apart, 36 of offset, 7 each of the least and largest distance to a window's start.
-_U, _OFF, _LO = 50, 14, 7
+#: Packed place of an anchor: 36 bits of offset, 7 each of the least and largest distance to a window's start; above them the mark of a known repeat.
+_KNOWN, _OFF, _LO = 50, 14, 7
+_WIDTH = _LEFT + LENGTH
 _NULL = -(1 << 63)
 
 
@@ -153,22 +155,44 @@ def repeats(data: np.ndarray, start: np.ndarray, segment: np.ndarray, rank: np.n
 _HELD, HOT = 1 << 16, 20_000
 #: Distance in the place of a window that travels by itself: its context is the window.
 _ALONE = 127
-_ANCHOR = "anchor long, context long, doc long, place long"
-_MARK = "doc long, u int, first long, last long"
+_ANCHOR = "anchor long, context long, doc long, u long, place long"
+_MARK = "doc long, u long, first long, last long"
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """(doc, u, text): null ids as the least number, u tells different texts of one id apart."""
+    """(doc, u, text): null ids as the least number; u, a hash of the text, tells texts of one id apart (0 where an id is one row's own)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 13)).cast("int").alias("u"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+    again = rows.where("id is not null").groupBy("id").count().where("count > 1")
+    u = F.xxhash64("text") if not again.isEmpty() else F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return rows.select(F.coalesce("id", F.lit(_NULL)).alias("doc"), u.alias("u"), "text")
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where rows sorted by ``keys`` begin a new value."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
 
-def _firsts(key: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    if other is not None:
-        new[1:] |= other[1:] != other[:-1]
-    return new
+def _begins(new: np.ndarray) -> np.ndarray:
+    """For each row the place of the last row marked ``new``."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether data[a:a_end] equals data[b:b_end], row by row, for ranges of up to _WIDTH bytes."""
+    out = (a_end - a) == (b_end - b)
+    step = np.arange(_WIDTH)
+    for i in range(0, len(a), 1 << 14):
+        s = slice(i, i + (1 << 14))
+        x, y = a[s, None] + step, b[s, None] + step
+        inside = step < (a_end[s] - a[s])[:, None]
+        last = len(data) - 1
+        out[s] &= ((data[np.minimum(x, last)] == data[np.minimum(y, last)]) | ~inside).all(axis=1)
+    return out
 
 
 def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -176,138 +200,172 @@ def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors by _ANCHOR. Of equal contexts in a batch only the first goes on; the others are known repeats (context 0, place as a mark)."""
+    """Anchors by _ANCHOR. Of equal contexts in a batch (equal in hash and bytes) only the first goes on; the others are known repeats (place has _KNOWN set)."""
     for b in batches:
         data, offsets = utf8(b.column("text"))
-        doc, u = b.column("doc").to_numpy(), b.column("u").to_numpy().astype(np.int64)
+        doc, u = b.column("doc").to_numpy(), b.column("u").to_numpy()
         parts = []
         for i, j in chunks(offsets):
             o = offsets[i : j + 1] - offsets[i]
             row, anchor, first, last, h, c = window_anchors(data[offsets[i] : offsets[j]], o)
-            place = u[row + i] << _U | (anchor - o[row]) << _OFF | (anchor - last) << _LO | (anchor - first)
-            parts.append((h.astype(np.int64), c.astype(np.int64), doc[row + i], place))
-        h, c, d, p = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
-        order = np.lexsort((p, d, c, h))
-        h, c, d, p = h[order], c[order], d[order], p[order]
-        again = ~_firsts(h, c)
-        begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
-        again &= (d != d[begin]) | (p != p[begin])
-        h[again] = (mix(d[again].astype(np.uint64) + mix(p[again].astype(np.uint64)))).astype(np.int64)
-        c[again] = 0
-        yield _batch(_ANCHOR, h, c, d, p)
-
-
-_FOUND = "anchor long, doc long, place long, kind int"
+            place = (anchor - o[row]) << _OFF | (anchor - last) << _LO | (anchor - first)
+            parts.append((h.astype(np.int64), c.astype(np.int64), row + i, place))
+        h, c, r, p = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+        order = np.lexsort((p, u[r], doc[r], c, h))
+        h, c, r, p = h[order], c[order], r[order], p[order]
+        d, v = doc[r], u[r]
+        new = _firsts(h, c)
+        begin = _begins(new)
+        at = np.flatnonzero(~new & ((d != d[begin]) | (v != v[begin]) | (p != p[begin])))
+        anchor = offsets[r] + (p >> _OFF)
+        lo, hi = np.maximum(anchor - _LEFT, offsets[r]), np.minimum(anchor + LENGTH, offsets[r + 1])
+        at = at[_same_bytes(data, lo[at], hi[at], lo[begin[at]], hi[begin[at]])]
+        h[at] = (mix(d[at].astype(np.uint64) + mix(p[at].astype(np.uint64)))).astype(np.int64)
+        p[at] |= 1 << _KNOWN
+        yield _batch(_ANCHOR, h, c, d, v, p)
+
+
+_FOUND = "anchor long, context long, doc long, u long, place long, kind int"
+#: Kinds of found anchors: a known repeat; the first of a context; the same of a hot anchor, window by window; one whose context
+#: has the hash of an earlier one; the first of such a class under a hot anchor, for comparison only.
+REPEAT, FIRST, HOT_FIRST, AGAIN, MODEL = range(5)
 
 
 def _sift(batches: Iterator[pa.RecordBatch], most: int, hold: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, context, doc, place: kind 0, repeats of a whole context; kind 1, the first of each context of an
-    anchor with several; kind 2, the same for an anchor of more than ``most`` contexts or ``hold`` rows."""
-    held, giant = (np.zeros(0, np.int64),) * 4, None
+    """Of rows sorted by anchor, context, doc, u, place: those that can take part in a repeat, by kind. An anchor of more than
+    ``most`` contexts or ``hold`` rows is hot."""
+    held, giant = (np.zeros(0, np.int64),) * 5, None
 
-    def told(h, c, d, p) -> pa.RecordBatch:
+    def told(h, c, d, u, p, going_on: bool = False) -> pa.RecordBatch:
         new, start = _firsts(h, c), _firsts(h)
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        again = ~new & ((d != d[begin]) | (p != p[begin]))
+        begin = _begins(new)
+        again = ~new & ((d != d[begin]) | (u != u[begin]) | (p != p[begin]))
         run = np.cumsum(start) - 1
-        contexts = np.bincount(run, new)[run] if len(h) else np.zeros(0)
-        size = np.bincount(run)[run] if len(h) else np.zeros(0)
+        contexts, size = np.bincount(run, new)[run], np.bincount(run)[run]
         hot = (contexts > most) | (size > hold) | (h == giant if giant is not None else False)
-        keep = new & ((contexts > 1) | hot)
-        kind = np.where(again, 0, np.where(hot, 2, 1)).astype(np.int32)
-        out = again | keep
-        return _batch(_FOUND, h[out], d[out], p[out], kind[out])
+        shared = np.zeros(len(h), bool)
+        shared[begin[again]] = True
+        if going_on:  # more rows of the last context may follow
+            shared[begin[-1]] = True
+        first = new & ((contexts > 1) | hot | shared)
+        rows = np.concatenate([np.flatnonzero(first), np.flatnonzero(again), np.flatnonzero(new & hot & shared)])
+        kind = np.concatenate([np.where(hot[first], HOT_FIRST, FIRST), np.full(again.sum(), AGAIN), np.full((new & hot & shared).sum(), MODEL)]).astype(np.int32)
+        return _batch(_FOUND, h[rows], c[rows], d[rows], u[rows], p[rows], kind)
 
     for b in batches:
-        new = [b.column(x).to_numpy(zero_copy_only=False) for x in ("anchor", "context", "doc", "place")]
-        known = new[1] == 0
+        new = [b.column(x.split()[0]).to_numpy(zero_copy_only=False) for x in _ANCHOR.split(", ")]
+        known = (new[4] >> _KNOWN) == 1
         if known.any():
-            yield _batch(_FOUND, new[0][known], new[2][known], new[3][known], np.zeros(known.sum(), np.int32))
-        h, c, d, p = (np.concatenate([x, y[~known]]) for x, y in zip(held, new, strict=True))
+            place = new[4][known] & ((1 << _KNOWN) - 1)
+            yield _batch(_FOUND, *(x[known] for x in new[:4]), place, np.full(len(place), REPEAT, np.int32))
+        h, c, d, u, p = (np.concatenate([x, y[~known]]) for x, y in zip(held, new, strict=True))
         if not len(h):
             continue
         begin = int(np.searchsorted(h, h[-1]))
+        if begin:
+            yield told(h[:begin], c[:begin], d[:begin], u[:begin], p[:begin])
         if len(h) - begin > hold or h[-1] == giant and len(h) - begin > 1:
-            if begin:
-                yield told(h[:begin], c[:begin], d[:begin], p[:begin])
             giant = h[-1]
-            yield told(h[begin:], c[begin:], d[begin:], p[begin:])
-            k = begin + int(np.searchsorted(c[begin:], c[-1]))  # its first row stands for its context from here on
-            held = (h[k : k + 1], c[k : k + 1], d[k : k + 1], p[k : k + 1])
+            yield told(h[begin:], c[begin:], d[begin:], u[begin:], p[begin:], going_on=True)
+            begin += int(np.searchsorted(c[begin:], c[-1]))  # its first row stands for its context from here on
+            held = tuple(x[begin : begin + 1] for x in (h, c, d, u, p))
         else:
-            if begin:
-                yield told(h[:begin], c[:begin], d[:begin], p[:begin])
-            held = (h[begin:], c[begin:], d[begin:], p[begin:])
+            held = (h[begin:], c[begin:], d[begin:], u[begin:], p[begin:])
     if len(held[0]):
         yield told(*held)
 
 
-_CONTEXT = "anchor long, doc long, place long, context binary"
+_CONTEXT = "anchor long, class long, doc long, u long, place long, kind int, context binary"
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes around each anchor; of a hot anchor each window by itself, under a key of its own bytes."""
+    """Bytes around each anchor; of a hot anchor's first contexts each window by itself, under a key of its own bytes."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        columns = zip(*rows, strict=True) if rows else [[]] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=[x.split()[0] for x in _CONTEXT.split(", ")])
+
     for b in batches:
         data, offsets = utf8(b.column("text"))
-        keys, docs, places, contexts = [], [], [], []
+        rows: list[tuple] = []
         for r, (doc, u, found) in enumerate(zip(b.column("doc").to_pylist(), b.column("u").to_pylist(), b.column("found").to_pylist(), strict=True)):
             text = data[offsets[r] : offsets[r + 1]].tobytes()
             for x in found:
-                p = x["place"]
-                if p >> _U != u:
-                    continue
-                off = (p >> _OFF) & ((1 << 36) - 1)
-                if x["kind"] == 1:
-                    keys.append(x["anchor"]), docs.append(doc), places.append(p), contexts.append(text[max(0, off - _LEFT) : off + LENGTH])
+                p, kind = x["place"], x["kind"]
+                off = p >> _OFF
+                if kind != HOT_FIRST:
+                    rows.append((x["anchor"], x["context"], doc, u, p, kind, text[max(0, off - _LEFT) : off + LENGTH]))
                     continue
                 for d in range((p >> _LO) & 127, (p & 127) + 1):
                     w = text[off - d : off - d + LENGTH]
-                    keys.append(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True))
-                    docs.append(doc), places.append(u << _U | (off - d) << _OFF | _ALONE << _LO | _ALONE), contexts.append(w)
-            if sum(map(len, contexts[-1:])) and len(contexts) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(contexts, pa.binary())], names=["anchor", "doc", "place", "context"])
-                keys, docs, places, contexts = [], [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(contexts, pa.binary())], names=["anchor", "doc", "place", "context"])
+                    key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
+                    rows.append((key, 0, doc, u, (off - d) << _OFF | _ALONE << _LO | _ALONE, HOT_FIRST, w))
+            if len(rows) > 50_000:
+                yield out(rows)
+                rows = []
+        yield out(rows)
 
 
-def _judge(key: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Marks of repeated windows among contexts sorted by key, doc, place."""
-    u, off, lo, hi = place >> _U, (place >> _OFF) & ((1 << 36) - 1), (place >> _LO) & 127, place & 127
+def _judge(key: np.ndarray, doc: np.ndarray, u: np.ndarray, place: np.ndarray, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Marks of repeated windows among contexts, data[at:], sorted by key, doc, u, place."""
+    off, lo, hi = place >> _OFF, (place >> _LO) & 127, place & 127
     count = hi - lo + 1
     run = _firsts(key)
-    changed = run | _firsts(doc, place)
-    rank = np.cumsum(changed)
+    rank = np.cumsum(_firsts(key, doc, u, place))
     group = np.cumsum(run)
     i = np.repeat(np.arange(len(key)), count)
     d = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + lo[i]
     order = np.argsort(group[i] * 128 + d, kind="stable")
     i, d = i[order], d[order]
-    start = at[:-1][i] + np.where(d == _ALONE, 0, np.minimum(off[i], _LEFT) - d)
+    start = at[i] + np.where(d == _ALONE, 0, np.minimum(off[i], _LEFT) - d)
     hit = repeats(data, start, group[i] * 128 + d, rank[i])
     i, s = i[hit], off[i[hit]] - np.where(d[hit] == _ALONE, 0, d[hit])
     order = np.lexsort((s, i))
     i, s = i[order], s[order]
     new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1] + 1)])) if len(i) else np.zeros(0, np.int64)
     last = s[np.append(new[1:], len(s)) - 1] if len(i) else s
-    return _batch(_MARK, doc[i[new]], u[i[new]].astype(np.int32), s[new], last)
+    return _batch(_MARK, doc[i[new]], u[i[new]], s[new], last)
 
 
 def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by anchor, doc, place, a few thousand at a time, whole anchors together."""
+    """Marks from contexts sorted by anchor, again, doc, u, place, a few thousand at a time, whole anchors together.
+
+    Contexts with the hash of an earlier one are compared with it byte by byte; those that aren't equal are sorted with the firsts.
+    """
     held: pa.Table | None = None
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, doc, place = (t.column(c).to_numpy() for c in ("anchor", "doc", "place"))
+        key, cls, doc, u, place, kind = (t.column(c).to_numpy() for c in ("anchor", "class", "doc", "u", "place", "kind"))
         column = t.column("context").combine_chunks().cast(pa.large_binary())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        edges = np.append(np.flatnonzero(_firsts(key)), len(key))
+        again = kind == AGAIN
+        order = np.lexsort((place, u, doc, again, cls, key))
+        begin = _begins(_firsts(key[order], cls[order]))
+        at = np.flatnonzero(again[order])
+        x, y = order[at], order[begin[at]]
+        equal = _same_bytes(data, offsets[x], offsets[x + 1], offsets[y], offsets[y + 1]) & ~again[y]
+        x = x[equal]
+        off = place[x] >> _OFF
+        yield _batch(_MARK, doc[x], u[x], off - (place[x] & 127), off - ((place[x] >> _LO) & 127))
+        rest = np.ones(len(key), bool)
+        rest[x] = False
+        lone = again & rest  # of one hash with another context but not of its bytes: sorted like any other, and so is its class
+        if not lone.any():
+            rest &= kind != MODEL
+        order = np.lexsort((place, u, doc, key))
+        order = order[rest[order]]
+        t_key, key = key, key[order]
+        edges = np.append(np.flatnonzero(_firsts(key)), len(key)) if len(key) else np.zeros(1, np.int64)
+        size = np.bincount(np.cumsum(_firsts(key)) - 1) if len(key) else np.zeros(0, np.int64)
         i = 0
         while i < len(edges) - 1:
             j = max(i + 1, int(np.searchsorted(edges, edges[i] + 4000, side="right")) - 1)
-            a, b = edges[i], edges[j]
-            yield _judge(key[a:b], doc[a:b], place[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            one = order[edges[i] : edges[j]][np.repeat(size[i:j] > 1, size[i:j])]  # nothing to sort where one context is left
+            if len(one):
+                yield _judge(t_key[one], doc[one], u[one], place[one], data, offsets[one])
             i = j
 
     for b in batches:
@@ -317,9 +375,12 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             continue
         key = t.column("anchor").to_numpy()
         begin = int(np.searchsorted(key, key[-1]))
-        if len(key) - begin > 4 * HOT:  # a window that very many texts hold: its first row stands for all from here on
+        if len(key) - begin > 4 * HOT:  # what very many texts hold: the first rows of its classes stand for all from here on
             yield from done(t)
-            held = t.slice(begin, 1)
+            kind = t.column("kind").to_numpy()[begin:]
+            stay = (kind != AGAIN) & (kind != HOT_FIRST)
+            stay[:1] = True
+            held = t.slice(begin).filter(pa.array(stay))
             continue
         if begin:
             yield from done(t.slice(0, begin))
@@ -344,26 +405,28 @@ def covered(marks: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def removals(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFrame:
-    """(doc, u, text, spans): every row of ``docs`` with the maximal runs of bytes to remove. See ``repeated_bytes``."""
+    """(doc, u, text, marks): every row of ``docs`` with its repeated windows. See ``repeated_bytes``."""
     rows = _documents(docs)
     n = shuffle_partitions(docs.sparkSession)
-    anchors = rows.mapInArrow(_find_anchors, _ANCHOR).repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc", "place")
-    found = cut(anchors.mapInArrow(lambda batches: _sift(batches, hot, hold), _FOUND))
-    dealt = rows.repartition(n, "doc")  # texts are dealt out once; both joins below read that exchange
-    wanted = found.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("anchor", "place", "kind")).alias("found"))
-    contexts = dealt.join(wanted, "doc").select("doc", "u", "text", "found").mapInArrow(_cut_contexts, _CONTEXT)
-    marks = contexts.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "place").mapInArrow(_sort_contexts, _MARK)
-    off, lo, hi = (F.shiftright("place", _OFF).bitwiseAND(F.lit((1 << 36) - 1)), F.shiftright("place", _LO).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(127)))
-    whole = found.where("kind = 0").select("doc", F.shiftright("place", _U).cast("int").alias("u"), (off - hi).alias("first"), (off - lo).alias("last"))
-    by_doc = marks.unionByName(whole).groupBy("doc").agg(F.collect_set(F.struct("u", "first", "last")).alias("marks"))
-    return dealt.join(by_doc, "doc", "left")
+    anchors = rows.mapInArrow(_find_anchors, _ANCHOR).repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc", "u", "place")
+    found = Scratch(docs.sparkSession).keep(anchors.mapInArrow(lambda batches: _sift(batches, hot, hold), _FOUND))
+    dealt = rows.repartition(n, "doc", "u")  # texts are dealt out once; both joins below read that exchange
+    wanted = found.where(F.col("kind") != REPEAT).groupBy("doc", "u").agg(F.collect_list(F.struct("anchor", "context", "place", "kind")).alias("found"))
+    contexts = dealt.join(wanted, ["doc", "u"]).select("doc", "u", "text", "found").mapInArrow(_cut_contexts, _CONTEXT)
+    order = ["anchor", (F.col("kind") == AGAIN).alias("again"), "doc", "u", "place"]
+    marks = contexts.repartition(n, "anchor").sortWithinPartitions(*order).mapInArrow(_sort_contexts, _MARK)
+    off, lo, hi = (F.shiftright("place", _OFF), F.shiftright("place", _LO).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(127)))
+    whole = found.where(F.col("kind") == REPEAT).select("doc", "u", (off - hi).alias("first"), (off - lo).alias("last"))
+    by_doc = marks.unionByName(whole).groupBy("doc", "u").agg(F.collect_set(F.struct("first", "last")).alias("marks"))
+    return dealt.join(by_doc, ["doc", "u"], "left")
 
 
 def repeated_bytes(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text; others are ignored).
 
     A null text is empty; texts shorter than LENGTH lose nothing; an empty table gives no rows. Rows that repeat both id and
-    text are one document and get one result each; different texts under one id are ordered by a hash; null ids come first.
+    text are one document and get one result each; different texts under one id, null ids too, are told apart and ordered by a
+    hash; null ids come first.
     Anchors travel as four numbers; repeats in one batch are settled before the shuffle, so a text that a third of all rows
     hold reaches it a few times a task. Contexts of an anchor meet in one task up to HOT; beyond that each window goes its own way.
     """
@@ -372,9 +435,9 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFr
         for b in batches:
             data, offsets = utf8(b.column("text"))
             cols: list[list] = [[], [], [], [], []]
-            for r, (doc, u, marks) in enumerate(zip(b.column("doc").to_pylist(), b.column("u").to_pylist(), b.column("marks").to_pylist(), strict=True)):
+            for r, (doc, marks) in enumerate(zip(b.column("doc").to_pylist(), b.column("marks").to_pylist(), strict=True)):
                 text = data[offsets[r] : offsets[r + 1]].tobytes()
-                spans = covered([(m["first"], m["last"]) for m in marks or () if m["u"] == u], len(text))
+                spans = covered([(m["first"], m["last"]) for m in marks or ()], len(text))
                 kept, at = hashlib.sha256(), 0
                 for s, e in spans:
                     kept.update(text[at:s])
@@ -384,4 +447,4 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFr
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=[x.split()[0] for x in _RESULT.split(", ")])
 
-    return removals(docs, hot, hold).select("doc", "u", "text", "marks").mapInArrow(apply, _RESULT)
+    return removals(docs, hot, hold).select("doc", "text", "marks").mapInArrow(apply, _RESULT)

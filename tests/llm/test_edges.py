@@ -65,3 +65,69 @@ def test_near_duplicates_of_repeated_ids(spark):
     rows = [(5, a), (5, b), (5, None), (3, a), (4, b), (6, c), (None, a), (None, a), (7, c), (8, "")]
     got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter({(5, 3, False): 3, (3, 3, True): 1, (4, 3, False): 1, (6, 6, True): 1, (7, 6, False): 1, (8, 8, True): 1, (None, None, True): 2})
+
+
+def brute_repeats(rows):
+    """(id, n_bytes, n_removed, n_spans, sha) of each row; texts of one id are told apart and ordered as the operator does it."""
+    seen, out = {}, Counter()
+    for i, _, t in sorted({(-(1 << 63) if i is None else i, u, t or "") for i, u, t in rows}):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            w = b[k : k + 100]
+            if w in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen[w] = 1
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out[(i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("limits", [(suffix_dedup.HOT, 1 << 16), (2, 5)])
+def test_repeated_bytes_of_null_and_repeated_ids(spark, limits):
+    """2,000 null ids and an id of 200 texts: no span of one text is cut from another."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    passages = [words_of(rng, 30) for _ in range(5)]
+    rows = []
+    for i in range(2400):
+        t = f"{words_of(rng, 6)} {rng.choice(passages) if i % 3 == 0 else ''} {words_of(rng, rng.randint(1, 40))}"
+        rows.append((None if i < 2000 else 7 if i < 2200 else i, "ab" * rng.randint(50, 400) if i % 40 == 0 else t))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    told = [(r[0], r[1], r[2]) for r in df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "text").collect()]
+    got = suffix_dedup.repeated_bytes(df, *limits).distinct().collect()
+    assert Counter((-(1 << 63) if r[0] is None else r[0], *r[1:]) for r in got) == Counter(set(brute_repeats(told)))
+
+
+def test_contexts_of_one_hash_are_compared_by_bytes(monkeypatch):
+    """With every context hash made equal, texts that only share an anchor must not be taken for repeats."""
+    import numpy as np
+    import pyarrow as pa
+
+    plain = suffix_dedup.window_anchors
+    monkeypatch.setattr(suffix_dedup, "window_anchors", lambda *a: (*plain(*a)[:5], np.full(len(plain(*a)[0]), 5, np.uint64)))
+    rng = random.Random(2)
+    shared = words_of(rng, 9)[:60]
+    texts = sorted(f"{words_of(rng, 20)} {shared} {words_of(rng, 20)}" for _ in range(9)) + ["q " * 100]
+    texts += [texts[0], texts[3]]
+    b = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "u": [0] * len(texts), "text": texts})
+    found = pa.Table.from_batches(list(suffix_dedup._sift(iter([pa.Table.from_batches(suffix_dedup._find_anchors(iter([b.slice(k, 1) for k in range(len(b))]))).sort_by([(c, "ascending") for c in ("anchor", "context", "doc", "u", "place")]).combine_chunks().to_batches()[0]]), 100, 1000)))
+    marks = {}
+    for r in found.to_pylist():
+        marks.setdefault(r["doc"], []).append({k: r[k] for k in ("anchor", "context", "place", "kind")})
+    docs = sorted(marks)
+    cut = pa.RecordBatch.from_pydict({"doc": docs, "u": [0] * len(docs), "text": [texts[d] for d in docs], "found": [marks[d] for d in docs]})
+    t = pa.Table.from_batches(suffix_dedup._cut_contexts(iter([cut])))
+    t = t.append_column("again", pa.array([k == suffix_dedup.AGAIN for k in t.column("kind").to_pylist()]))
+    t = t.sort_by([(c, "ascending") for c in ("anchor", "again", "doc", "u", "place")]).drop_columns("again").combine_chunks()
+    got = {}
+    for r in pa.Table.from_batches(suffix_dedup._sort_contexts(iter(t.to_batches()))).to_pylist():
+        got.setdefault(r["doc"], set()).update(range(r["first"], r["last"] + 1))
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        for k in range(len(text) - 99):
+            if (w := text[k : k + 100]) in seen:
+                want.setdefault(d, set()).add(k)
+            seen.add(w)
+    assert want and got == want
