@@ -1,8 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node of a page belongs to one root-to-leaf tag path. Per path the text length and the punctuation are summed and
-divided by the number of its nodes; both ratios are smoothed along page order, fused, and nodes whose fused ratio reaches a
-share of the page's spread are content. Paths through boilerplate elements (navigation, footers, adverts, forms, ...) are out.
+divided by the number of its nodes; both ratios are smoothed along page order and fused, and paths whose fused ratio reaches a
+share of the page's largest are content. Elements that never hold an article (navigation, footers, forms, scripts, ...) are out;
+class names, roles and article or main elements only weigh a path's fused ratio.
 """
 
 from __future__ import annotations
@@ -36,17 +37,19 @@ MARKS = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？¿¡]")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?[A-Za-z][^<>]*\Z)", re.S)
+#: A tag; one whose quotes don't close ends at its first ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*'|(?:\"[^\"]*\"|'[^']*')(?=[\s/>]))*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<(/?[A-Za-z][^<>]*\Z)", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Half width of the smoothing over neighbouring nodes, and the share of the spread that content reaches.
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 KERNEL /= KERNEL.sum()
-LAMBDA = 0.35
+#: A path is content from this share of the largest fused ratio on; what a telltale name takes from a ratio (at most MOST_MARKS of
+#: them count), and what standing in an article or main element adds to it.
+LAMBDA, MARKED, MOST_MARKS, IN_MAIN = 0.45, 0.1, 3, 4.0
 
 
-def _vetoed(tag: str, attrs: str) -> bool:
-    if tag in NEVER:
-        return True
+def _marked(tag: str, attrs: str) -> bool:
+    """Whether a class, id or role hints at boilerplate."""
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
@@ -56,18 +59,57 @@ def _vetoed(tag: str, attrs: str) -> bool:
     return False
 
 
-def text_nodes(page: str) -> list[tuple[str, bool, int, bool, str]]:
-    """(tag path, below a veto, block number, below article or main, raw text) of each text node in page order; unclosed elements end as HTML implies."""
-    out: list[tuple[str, bool, int, bool, str]] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, veto, in article, path
+class _Open:
+    """The open elements of a page: their paths as numbers, and where each kind of tag was opened last."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, int, bool, int, int]] = []  # tag, path, never, marks, in main, last barrier, last barrier but cells
+        self.at: dict[str, list[int]] = {}
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def top(self) -> tuple[str, int, bool, int, bool, int, int]:
+        return self.stack[-1] if self.stack else ("", 0, False, 0, False, -1, -1)
+
+    def push(self, tag: str, attrs: str) -> None:
+        _, path, never, marks, main, wall, wide = self.top()
+        n = len(self.stack)
+        marked = not never and bool(attrs) and _marked(tag, attrs)
+        label = f"{tag}.marked" if marked else tag
+        path = self.paths.setdefault((path, label), len(self.paths) + 1)
+        if tag in BARRIER:
+            wall, wide = n, n if tag not in ("td", "th") else wide
+        self.stack.append((tag, path, never or tag in NEVER, min(marks + marked, MOST_MARKS), main or tag in ("article", "main"), wall, wide))
+        self.at.setdefault(tag, []).append(n)
+
+    def cut(self, n: int) -> None:
+        while len(self.stack) > n:
+            self.at[self.stack.pop()[0]].pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag closes its element, but not across a barrier unless it is one."""
+        if (open_ := self.at.get(tag)) and (tag in BARRIER or self.top()[5] <= open_[-1]):
+            self.cut(open_[-1])
+
+    def imply(self, ends: set[str]) -> None:
+        """Ends the last open element of ``ends`` that no barrier hides."""
+        last = max((self.at[x][-1] for x in ends if self.at.get(x)), default=-1)
+        if last >= 0 and last >= self.top()[6]:
+            self.cut(last)
+
+
+def text_nodes(page: str) -> list[tuple[int, bool, int, bool, int, str]]:
+    """(path number, in an element that never holds an article, telltale names above, below article or main, block number, raw text)
+    of each text node in page order; unclosed elements end as HTML implies. Time and memory grow with the page, however deep it nests."""
+    out: list[tuple[int, bool, int, bool, int, str]] = []
+    open_ = _Open()
     at, block, size = 0, 0, len(page)
 
     def text(chunk: str) -> None:
         if chunk and not chunk.isspace():
-            _, veto, main, path = stack[-1] if stack else ("", False, False, "")
-            out.append((path, veto, block, main, chunk))
+            _, path, never, marks, main, _, _ = open_.top()
+            out.append((path, never, marks, main, block, chunk))
         elif chunk:
-            out.append(("", True, block, False, " "))
+            out.append((0, True, 0, False, block, " "))
 
     while at < size:
         m = TOKEN.search(page, at)
@@ -76,67 +118,51 @@ def text_nodes(page: str) -> list[tuple[str, bool, int, bool, str]]:
             break
         text(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        slash, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
         if not tag:
             continue
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None and not (tag not in BARRIER and any(x[0] in BARRIER for x in stack[depth + 1 :])):
-                del stack[depth:]
+        if slash:
+            open_.close(tag)
             block += tag in BLOCK
             continue
         if ends := CLOSES.get(tag):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BARRIER and stack[i][0] not in ("td", "th"):
-                    break
+            open_.imply(ends)
         block += tag in BLOCK
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
-        _, veto, main, path = stack[-1] if stack else ("", False, False, "")
-        stack.append((tag, veto or _vetoed(tag, m[3]), main or tag in ("article", "main"), f"{path}/{tag}"))
         if tag in RAW:
             end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            if tag in ("title",):
-                text(page[at : end.start() if end else size])
             at = end.end() if end else size
-            stack.pop()
+            continue
+        open_.push(tag, attrs)
     return out
 
 
-def main_text(page: str | None) -> str:
-    """Content blocks of one page, joined by a space; empty for null, empty or text-less pages."""
+def main_text(page: str | None, share: float = LAMBDA) -> str:
+    """Content blocks of one page, joined by a space; empty for null, empty or text-less pages. ``share`` 0 keeps every path."""
     nodes = text_nodes(page or "")
-    open_ = [i for i, (_, veto, *_) in enumerate(nodes) if not veto]
+    open_ = [i for i, n in enumerate(nodes) if not n[1]]
     if not open_:
         return ""
-    clean = {i: html.unescape(nodes[i][4]) for i in open_}
-    paths: dict[str, list[float]] = {}
-    for i in open_:
-        p = paths.setdefault(nodes[i][0], [0.0, 0.0, 0.0])
-        t = clean[i]
-        p[0] += 1
-        p[1] += len(" ".join(t.split()))
-        p[2] += len(PUNCTUATION.findall(t))
-    ratio = np.array([[paths[nodes[i][0]][1] / paths[nodes[i][0]][0], paths[nodes[i][0]][2] / paths[nodes[i][0]][0]] for i in open_])
+    clean = {i: html.unescape(nodes[i][5]) for i in open_}
+    path = np.unique([nodes[i][0] for i in open_], return_inverse=True)[1]
+    count = np.bincount(path)
+    size = np.bincount(path, [len(" ".join(clean[i].split())) for i in open_]) / count
+    marks = np.bincount(path, [len(PUNCTUATION.findall(clean[i])) for i in open_]) / count
+    ratio = np.stack([size[path], marks[path]], axis=1)
     ratio = np.concatenate([ratio[:1], ratio[:1], ratio, ratio[-1:], ratio[-1:]])
     smooth = sum(k * ratio[d : d + len(open_)] for d, k in enumerate(KERNEL))
-    fused = np.log1p(smooth[:, 0]) * (1 + np.log1p(smooth[:, 1]))
-    in_main = np.array([nodes[i][3] for i in open_])
-    if in_main.any() and fused[in_main].sum() >= 0.5 * fused.sum():
-        keep = in_main  # the page says where its article is, and most of the weight lies there
-    else:
-        inverse = np.unique([nodes[i][0] for i in open_], return_inverse=True)[1]
-        of_path = np.bincount(inverse, fused) / np.bincount(inverse)
-        keep = (of_path >= LAMBDA * of_path.max())[inverse]
+    fused = np.log1p(smooth[:, 0]) * (1 + np.log1p(smooth[:, 1])) * MARKED ** np.array([nodes[i][2] for i in open_])
+    of_path = np.bincount(path, fused) / count
+    raised = of_path * np.where(np.bincount(path, [nodes[i][3] for i in open_]) > 0, IN_MAIN, 1.0)
+    keep = (raised >= share * of_path.max())[path]
     chosen = {i for i, k in zip(open_, keep, strict=True) if k}
     blocks: dict[int, list[str]] = {}
-    for i, (_, _, block, _, _) in enumerate(nodes):
+    for i, (_, _, _, _, block, raw) in enumerate(nodes):
         if i in chosen:
             blocks.setdefault(block, []).append(clean[i])
-        elif block in blocks and nodes[i][4] == " ":
+        elif block in blocks and raw == " ":
             blocks[block].append(" ")
     return " ".join(t for b in blocks.values() if (t := " ".join("".join(b).split())))
 

@@ -131,3 +131,34 @@ def test_contexts_of_one_hash_are_compared_by_bytes(monkeypatch):
                 want.setdefault(d, set()).add(k)
             seen.add(w)
     assert want and got == want
+
+
+LONG = "A long paragraph, with commas, and more words in it than any menu has."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="content has-sidebar"><article><p>Some text, here.</p></article></div>', "Some text, here."),
+        ('<div id="page" class="no-comments"><article><p>Some text, here.</p><p>More, there.</p></article><div class="comments"><p>I like it, really.</p></div></div>', "Some text, here. More, there."),
+        ('<p>a <a title="x>b</a> c', "a b c"),
+        (f'<div class="a1"><a href="/">Home</a> <a href="/x">News</a> <a href="/y">About</a></div><div><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div>', f"Title {LONG} {LONG}"),
+        (f"<article><h1>Head</h1><p>{LONG}</p><ul><li>First of a list</li><li>Second of it</li></ul><p>{LONG}</p></article><p>Ad.</p>", f"Head {LONG} First of a list Second of it {LONG}"),
+    ],
+)
+def test_tag_path_ratios_decide(page, want):
+    from seamline.llm import html_text
+
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<font>" * 100_000 + "x", "<font>" * 100_000 + "<p>x" * 50_000, "<font><div>" * 50_000 + "</font>" * 50_000 + "x", '<div class="">' * 100_000 + "x" + "</div>" * 100_000])
+def test_deeply_nested_pages(page):
+    import tracemalloc
+
+    from seamline.llm import html_text
+
+    tracemalloc.start()
+    assert html_text.main_text(page).startswith("x")
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
