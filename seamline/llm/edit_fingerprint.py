@@ -246,7 +246,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) with the fingerprints of its text, of its edited text, and their likeness; see OP1_SCHEMA.
 
     The next document is that of the next smaller doc_id; after the last comes the first. Equal ids stand in a fixed order of
-    their contents, null ids come last; a null text is empty; a table of one row follows itself; an empty one gives no rows; other columns are ignored.
+    their contents; null ids come last, by a hash of their texts; a null text is empty; a table of one row follows itself; an empty one gives no rows; other columns are ignored.
     Texts travel compressed, once. Ranges of ids (bounds from approximate quantiles, eight a shuffle partition) are dealt out once and sorted; the first rows
     of each range also go, as guests, to the range before it, so no ordering ever passes through one task.
     """
@@ -255,18 +255,21 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     n = 8 * shuffle_partitions(spark)
     bounds = sorted(set(rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))))
     cuts = np.array(bounds, np.int64)
+    null_cuts = np.array([i * ((1 << 64) // n) - (1 << 63) for i in range(1, n)], np.int64)
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
 
-    def ranges(column: pa.Array) -> np.ndarray:
-        """Numbered from the largest ids down; null ids form the last one."""
-        known = np.array(column.is_valid().to_pylist(), bool)
-        ids = column.fill_null(0).to_numpy(zero_copy_only=False)
-        return np.where(known, len(cuts) - np.searchsorted(cuts, ids, side="left"), len(cuts) + 1).astype(np.int64)
+    def ranges(ids: pa.Array, key: pa.Array) -> np.ndarray:
+        """Numbered from the largest keys down: those of the ids, then those of null ids, whose keys are hashes."""
+        known, key = np.array(ids.is_valid().to_pylist(), bool), key.to_numpy(zero_copy_only=False)
+        own, other = len(cuts) - np.searchsorted(cuts, key, side="left"), len(null_cuts) - np.searchsorted(null_cuts, key, side="left")
+        return np.where(known, own, len(cuts) + 1 + other).astype(np.int64)
 
-    def top_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def top_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(ranges(b.column(0))), b.column(0)], names=["bucket", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges(b.column(0), b.column(1)), pa.int64()), b.column(1)], names=["bucket", "key"])
 
-    tops = rows.select("doc_id").mapInArrow(top_ids, "bucket long, doc_id long").groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
+    keys = rows.where("doc_id is not null").select("doc_id", F.col("doc_id").alias("key")).union(rows.where("doc_id is null").select("doc_id", hashed.alias("key")))
+    tops = keys.mapInArrow(top_keys, "bucket long, key long").groupBy("bucket").agg(F.max("key").alias("top")).collect()
     if not tops:
         return spark.createDataFrame([], OP1_SCHEMA)
     first = {r["bucket"]: r["top"] for r in tops}
@@ -275,15 +278,16 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts, bucket = b.column("doc_id"), b.column("text"), ranges(b.column("doc_id"))
-            lead = np.array([i for i, (d, k) in enumerate(zip(ids.to_pylist(), bucket.tolist(), strict=True)) if d == first[k]], np.int64)
+            ids, texts, key = b.column("doc_id"), b.column("text"), b.column("key")
+            bucket = ranges(ids, key)
+            lead = np.array([i for i, (d, k) in enumerate(zip(key.to_pylist(), bucket.tolist(), strict=True)) if d == first[k]], np.int64)
             at = np.concatenate([np.arange(len(bucket)), lead])
             to = np.concatenate([bucket, np.array([before[k] for k in bucket[lead].tolist()], np.int64)])
             guest = np.arange(len(at)) >= len(bucket)
             pack = zstandard.ZstdCompressor(level=3).compress
             packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) if t else b"" for t in texts.to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), packed.take(pa.array(at)), pa.array(to), pa.array(guest)], names=["doc_id", "packed", "bucket", "guest"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), key.take(pa.array(at)), packed.take(pa.array(at)), pa.array(to), pa.array(guest)], names=["doc_id", "key", "packed", "bucket", "guest"])
 
-    dealt = rows.mapInArrow(deal, "doc_id long, packed binary, bucket long, guest boolean")
-    dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "packed")
+    dealt = rows.withColumn("key", F.coalesce("doc_id", hashed)).mapInArrow(deal, "doc_id long, key long, packed binary, bucket long, guest boolean")
+    dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.col("key").desc(), "packed").drop("key")
     return dealt.mapInArrow(_compare, OP1_SCHEMA)
