@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,7 +20,16 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ A-Z0-9])")
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+# The lengths of account numbers by country (ISO 13616).
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 SSN = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[A-Za-z0-9_\-]{24,128})(?![A-Za-z0-9])")
 CONTEXT = {
@@ -83,20 +94,40 @@ def _score(kind: str, text: str, start: int) -> float:
     return PRIOR[kind] + CONTEXT_GAIN * any(w in near for w in CONTEXT[kind])
 
 
+def _iban(text: str, start: int) -> int | None:
+    """End of the account number at ``start``: as many letters and digits as its country has, single spaces between them, checked by mod-97."""
+    left, at, found = IBAN_LENGTH.get(text[start : start + 2], 0), start, []
+    while left and at < len(text):
+        if text[at] in ALNUM:
+            found.append(text[at])
+            left -= 1
+        elif text[at] != " " or text[at - 1] == " ":
+            return None
+        at += 1
+    whole = bool(found) and not left and not (at < len(text) and text[at].isalnum())
+    return at if whole and mod97("".join(found)) else None
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further kinds that score THRESHOLD or more and overlap no base span; of two that overlap the one listed first stays."""
-    taken, out = [(s, e) for _, s, e in base], []
-    free = lambda s, e: all(e <= a or b <= s for a, b in taken)
+    taken, out = sorted((s, e) for _, s, e in base), []
+    reach = list(itertools.accumulate((e for _, e in taken), max))  # base kinds may overlap one another
+    mine: list[tuple[int, int]] = []  # these never do
+
+    def free(s: int, e: int) -> bool:
+        k, m = bisect.bisect_left(taken, (e,)), bisect.bisect_left(mine, (e,))
+        return not (k and reach[k - 1] > s) and not (m and mine[m - 1][1] > s)
+
     for kind, rule in (("iban", IBAN), ("ssn", SSN), ("secret", SECRET)):
         for m in rule.finditer(text):
-            found = m[0]
-            if kind == "iban" and not (15 <= len(found.replace(" ", "")) <= 34 and mod97(found.replace(" ", ""))):
+            found, start, end = m[0], m.start(), m.end()
+            if kind == "iban" and (end := _iban(text, start)) is None:
                 continue
             if kind == "secret" and not (re.search("[0-9]", found) and re.search("[A-Za-z]", found)):
                 continue
-            if _score(kind, text, m.start()) >= THRESHOLD and free(*m.span()):
-                out.append((kind, *m.span()))
-                taken.append(m.span())
+            if _score(kind, text, start) >= THRESHOLD and free(start, end):
+                out.append((kind, start, end))
+                bisect.insort(mine, (start, end))
     return out
 
 
