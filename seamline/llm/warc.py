@@ -8,6 +8,7 @@ Files are reached through pyarrow's file systems, so a path may lie in any store
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -62,14 +63,103 @@ def _wanted(headers: dict, tests: list[tuple[str, frozenset | None]]) -> bool:
     return all((headers[c] is not None) if values is None else headers[c] in values for c, values in tests)
 
 
-def decode_records(f, tests: list[tuple[str, frozenset | None]], payload: bool) -> Iterator[tuple[dict, bytes | None, int]]:
-    """(headers by column, payload or None, payload length) of each record that passes ``tests``; ``f`` is a seekable file."""
+def _parsed(head: bytes) -> tuple[dict, int]:
+    """(headers by column, block length) of a record's header lines; names are matched in any case, folded lines are joined."""
+    lines: dict[str, str] = {}
+    for x in re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).splitlines()[1:]:
+        name, _, value = x.partition(":")
+        lines.setdefault(name.strip().lower(), value.strip())
+    row = {c: (_plain(lines[h.lower()]) if h.lower() in lines else None) for c, h in HEADERS.items()}
+    row["payload_digest"] = row["payload_digest"] and row["payload_digest"].removeprefix("sha1:")
+    return row, int(lines.get("content-length") or 0)
+
+
+class _Bytes:
+    """What a plain file holds from ``at`` on, or its gzip members inflated one after another; only what is asked for stays in memory."""
+
+    def __init__(self, f, at: int, packed: bool):
+        f.seek(at)
+        self.f, self.packed, self.held, self.z, self.raw = f, packed, b"", None, b""
+
+    def _more(self) -> bool:
+        if not self.packed:
+            piece = self.f.read(1 << 16)
+        else:
+            self.raw = self.raw or self.f.read(1 << 16)
+            self.z = self.z or zlib.decompressobj(31)
+            piece = self.z.decompress(self.raw, 1 << 18) if self.raw else b""
+            used, self.raw = self.raw, self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            self.z = None if self.z.eof else self.z
+            if used and not piece:
+                return True
+        self.held += piece
+        return bool(piece)
+
+    def until(self, mark: re.Pattern) -> bytes | None:
+        """The bytes before ``mark``, which is passed; None at the end."""
+        start = 0
+        while not (m := mark.search(self.held, start)):
+            start = max(0, len(self.held) - 4)
+            if not self._more():
+                return None
+        out, self.held = self.held[: m.start()], self.held[m.end() :]
+        return out
+
+    def take(self, n: int, keep: bool) -> bytes:
+        """The next n bytes; without ``keep`` they are passed over, in a plain file without reading them."""
+        out = bytearray()
+        while n:
+            if not self.held:
+                if not keep and not self.packed:
+                    self.f.seek(self.f.tell() + n)
+                    break
+                if not self._more():
+                    raise ValueError("archive ends inside a record")
+                continue
+            piece, self.held = self.held[:n], self.held[n:]
+            n -= len(piece)
+            if keep:
+                out += piece
+        return bytes(out)
+
+
+_BLANK = re.compile(rb"\r?\n\r?\n")
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)")
+
+
+def _any_records(f, at: int, packed: bool, tests: list, payload: bool) -> Iterator[tuple[dict, bytes | None, int | None]]:
+    """As ``decode_records``, of an archive by any writer, record after record: the block of an unwanted one is passed over."""
+    stream = _Bytes(f, at, packed)
+    while (head := stream.until(_BLANK)) is not None:
+        if not head.strip():
+            continue
+        row, size = _parsed(head.lstrip())
+        if not _wanted(row, tests):
+            stream.take(size, keep=False)
+            continue
+        block = stream.take(size, keep=payload or row["record_type"] == "revisit" or size < 1 << 16)
+        http = _BLANK.search(block) if block.startswith(b"HTTP/") else None
+        body = block[http.end() :] if http else block
+        n = len(body) if block or not size else None
+        if row["record_type"] == "revisit":
+            told = _LENGTH.search(block)
+            n = int(told[1]) if told else None
+        yield row, body if payload and row["record_type"] != "revisit" else None, n
+
+
+def decode_records(f, tests: list[tuple[str, frozenset | None]], payload: bool, packed: bool = True) -> Iterator[tuple[dict, bytes | None, int | None]]:
+    """(headers by column, payload or None, payload length) of each record that passes ``tests``; ``f`` is a seekable file.
+
+    Members with a length field are stepped over unread; from the first one without it on, and in plain files, records follow one
+    another. There the payload's length is that of the block after its HTTP headers, null if the block was passed over.
+    """
     at, size = 0, f.size()
     while at < size:
         f.seek(at)
         start = f.read(24)
-        if start[:4] != _GZIP[:4] or start[12:14] != b"sl":
-            raise ValueError(f"no record with a length field at byte {at}")
+        if not packed or start[:4] != _GZIP[:4] or start[12:14] != b"sl":
+            yield from _any_records(f, at, packed, tests, payload)
+            return
         length = struct.unpack("<I", start[16:20])[0]
         z, raw, left = zlib.decompressobj(-15), b"", length - 24
         while raw.count(b"\r\n\r\n") < 2 and left > 0:  # WARC headers and HTTP headers only
@@ -77,12 +167,10 @@ def decode_records(f, tests: list[tuple[str, frozenset | None]], payload: bool)
             left -= len(piece)
             raw += z.decompress(piece)
         head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        row = {c: (_plain(lines[h]) if h in lines else None) for c, h in HEADERS.items()}
-        row["payload_digest"] = row["payload_digest"] and row["payload_digest"].removeprefix("sha1:")
+        row, _ = _parsed(head)
         if _wanted(row, tests):
             http = rest.partition(b"\r\n\r\n")[0]
-            n = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
+            n = int(_LENGTH.search(http)[1])
             body = None
             if payload and row["record_type"] != "revisit":
                 if left:
@@ -117,7 +205,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Whole files, gathered up to ``per_task`` bytes."""
         system, path = fs.FileSystem.from_uri(self.path)
-        files = sorted((x for x in system.get_file_info(fs.FileSelector(path, recursive=True)) if x.is_file and x.path.endswith(".warc.gz")), key=lambda x: x.path)
+        files = sorted((x for x in system.get_file_info(fs.FileSelector(path, recursive=True)) if x.is_file and x.path.endswith((".warc.gz", ".warc"))), key=lambda x: x.path)
         out, now, total = [], [], 0
         for x in files:
             if now and total + x.size > self.per_task:
@@ -134,7 +222,7 @@ class _Reader(DataSourceReader):
         rows, held = [], 0
         for path in partition.paths:
             with system.open_input_file(path) as f:
-                for row, body, n in decode_records(f, self.tests, self.payload):
+                for row, body, n in decode_records(f, self.tests, self.payload, path.endswith(".gz")):
                     rows.append((*(row[c] for c in HEADERS), n, body))
                     held += len(body or b"")
                     if len(rows) == 1000 or held > 8 << 20:
@@ -187,7 +275,7 @@ class _Writer(DataSourceWriter):
 
 
 class WarcDataSource(DataSource):
-    """Options: path (a URI); payload ("false": headers only, payload stays null); taskbytes (compressed bytes of files per task)."""
+    """Archives by any writer, .warc.gz or .warc. Options: path (a URI); payload ("false": headers only, payload stays null); taskbytes (compressed bytes of files per task)."""
 
     @classmethod
     def name(cls) -> str:
@@ -219,7 +307,9 @@ def capture_plan(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")})
     light = pages.select(F.col("page_id").cast("long"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("p"))
     first = light.where(F.octet_length("p") >= REVISIT_FROM).select("page_id", F.sha1("p").alias("payload_digest")).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    joined = rows.join(first.where("n > 1"), "payload_digest", "left")
+    large = F.col("payload_length") >= REVISIT_FROM  # smaller payloads, which may all be equal, don't join
+    alone = rows.where(~large).withColumn("original", F.lit(None).cast("long"))
+    joined = rows.where(large).join(first.where("n > 1").drop("n"), "payload_digest", "left").unionByName(alone)
     revisit = F.coalesce(F.col("original").isNotNull() & ~F.col("original").eqNullSafe(F.col("page_id")), F.lit(False))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     return joined.select(
@@ -233,15 +323,22 @@ def capture_plan(pages: DataFrame) -> DataFrame:
     )
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI in the store that Spark takes it to be in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def write_warc(records: DataFrame, path: str) -> None:
     register(records.sparkSession)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode("append").save(_qualified(records.sparkSession, path))
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records of all archives under ``path``; filters on header columns are pushed down to the reader."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(_qualified(spark, path))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -252,8 +349,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_warc(capture_plan(pages), path if "://" in path or path.startswith("file:") else f"file://{path}")
-    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    write_warc(capture_plan(pages), path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     number = lambda c: F.nullif(page(c), F.lit("")).cast("long")
     full = read_warc(spark, path).where("record_type = 'response'").select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))

@@ -193,3 +193,34 @@ def test_account_numbers_have_their_countrys_length(text, want):
     from seamline.llm import pii
 
     assert [s for s in pii.find(text)[1] if s[0] == "iban"] == want
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Plain files, one member a record without length fields, all records in one member, headers in any case."""
+    import gzip
+
+    from seamline.llm import warc
+
+    def record(kind, uri, block, **more):
+        extra = "".join(f"{k}: {v}\r\n" for k, v in more.items())
+        return f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:{uri}-{kind}>\r\nWARC-Target-URI: http://{uri}/\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    def http(n):
+        return b"HTTP/1.1 200 OK\r\ncontent-length: 7\r\n\r\n" + bytes([65 + n % 26]) * (n * 70_000)
+
+    for k, name in enumerate(("plain.warc", "members.warc.gz", "whole.warc.gz")):
+        parts = [record("warcinfo", f"i{k}", b"software: x")]
+        for n in range(3):
+            parts += [record("request", f"h{k}{n}", b"GET / HTTP/1.1\r\n\r\n"), record("response", f"h{k}{n}", http(n), **{"WARC-Payload-Digest": "sha1:ABC"})]
+        parts.append(record("revisit", f"v{k}", b"HTTP/1.1 200 OK\r\nContent-Length: 55\r\n\r\n", **{"WARC-Refers-To": "<urn:h>"}))
+        data = b"".join(parts) if name != "members.warc.gz" else b"".join(map(gzip.compress, parts))
+        (tmp_path / name).write_bytes(gzip.compress(data) if name == "whole.warc.gz" else data)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert Counter(r["record_type"] for r in rows) == {"warcinfo": 3, "request": 9, "response": 9, "revisit": 3}
+    assert all(r["payload_length"] == 55 and r["payload"] is None and r["refers_to"] == "<urn:h>" for r in rows if r["record_type"] == "revisit")
+    for r in rows:
+        if r["record_type"] == "response":
+            n = int(r["target_uri"][9])
+            assert bytes(r["payload"]) == http(n)[38:] and r["payload_length"] == n * 70_000 and r["payload_digest"] == "ABC"
+    only = warc.read_warc(spark, str(tmp_path), payload=False).where("record_type = 'response'").collect()
+    assert len(only) == 9 and all(r["payload"] is None for r in only)
