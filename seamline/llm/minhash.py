@@ -333,12 +333,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = found.where("not large").select("a", "b").union(anchor)
     named = found.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     prof = scratch.keep(profiles(rows.where("doc_id is not null"), named))
-    label = components(verified(pairs, prof, scratch))
+    label = components(scratch.keep(verified(pairs, prof, scratch)))
     wide = found.where("any_large").select("a", "b")
     if not wide.isEmpty():
         group = components(wide).select(F.col("node").alias("doc"), F.col("component").alias("g"))
         group = group.join(label.select(F.col("node").alias("doc"), F.col("component").alias("c")), "doc", "left").withColumn("c", F.coalesce("c", "doc"))
-        label = components(label.toDF("a", "b").union(bridges(scratch.keep(group), prof)))
+        label = components(label.toDF("a", "b").union(scratch.keep(bridges(scratch.keep(group), prof))))
     texts = known.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.bool_or(F.col("digest").isNull()).alias("empty"))
     several = scratch.keep(texts.where("lo <> hi or (lo is not null and empty)").select(F.col("doc_id").alias("_several"), "lo"))
     s = s.select("doc_id", "n_shingles", "digest")
