@@ -4,8 +4,8 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier. Ever
 K-byte string in it whose hash is least, so equal windows have equal anchors in equal places: only windows whose anchors occur
 twice need a comparison. Those are dealt out by anchor and sorted in a mergesort that compares suffixes through prefix
 polynomial hashes: binary search finds the common extension of two suffixes, the byte after it their order. Neighbours that
-share LENGTH bytes form a class, confirmed byte by byte; all but the first member are repeats. Anchors whose whole contexts
-have one hash need no sort: their bytes are compared with those of the first.
+share LENGTH bytes form a class, confirmed byte by byte; all but the first member are repeats. Anchors that agree in the hash
+of their whole context, too, need no sort: those that meet in one batch are compared byte by byte, others only on demand.
 """
 
 from __future__ import annotations
@@ -231,9 +231,9 @@ _FOUND = "anchor long, context long, doc long, u long, place long, kind int"
 REPEAT, FIRST, HOT_FIRST, AGAIN, MODEL = range(5)
 
 
-def _sift(batches: Iterator[pa.RecordBatch], most: int, hold: int) -> Iterator[pa.RecordBatch]:
+def _sift(batches: Iterator[pa.RecordBatch], most: int, hold: int, by_bytes: bool) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor, context, doc, u, place: those that can take part in a repeat, by kind. An anchor of more than
-    ``most`` contexts or ``hold`` rows is hot."""
+    ``most`` contexts or ``hold`` rows is hot. Columns that nothing needs any more are 0."""
     held, giant = (np.zeros(0, np.int64),) * 5, None
 
     def told(h, c, d, u, p, going_on: bool = False) -> pa.RecordBatch:
@@ -244,20 +244,21 @@ def _sift(batches: Iterator[pa.RecordBatch], most: int, hold: int) -> Iterator[p
         contexts, size = np.bincount(run, new)[run], np.bincount(run)[run]
         hot = (contexts > most) | (size > hold) | (h == giant if giant is not None else False)
         shared = np.zeros(len(h), bool)
-        shared[begin[again]] = True
-        if going_on:  # more rows of the last context may follow
-            shared[begin[-1]] = True
+        if by_bytes:
+            shared[begin[again]] = True
+            shared[begin[-1]] |= going_on  # more rows of the last context may follow
         first = new & ((contexts > 1) | hot | shared)
         rows = np.concatenate([np.flatnonzero(first), np.flatnonzero(again), np.flatnonzero(new & hot & shared)])
-        kind = np.concatenate([np.where(hot[first], HOT_FIRST, FIRST), np.full(again.sum(), AGAIN), np.full((new & hot & shared).sum(), MODEL)]).astype(np.int32)
-        return _batch(_FOUND, h[rows], c[rows], d[rows], u[rows], p[rows], kind)
+        kind = np.concatenate([np.where(hot[first], HOT_FIRST, FIRST), np.full(again.sum(), AGAIN if by_bytes else REPEAT), np.full((new & hot & shared).sum(), MODEL)]).astype(np.int32)
+        return _batch(_FOUND, np.where(kind == REPEAT, 0, h[rows]), c[rows] if by_bytes else np.zeros(len(rows), np.int64), d[rows], u[rows], p[rows], kind)
 
     for b in batches:
         new = [b.column(x.split()[0]).to_numpy(zero_copy_only=False) for x in _ANCHOR.split(", ")]
         known = (new[4] >> _KNOWN) == 1
         if known.any():
             place = new[4][known] & ((1 << _KNOWN) - 1)
-            yield _batch(_FOUND, *(x[known] for x in new[:4]), place, np.full(len(place), REPEAT, np.int32))
+            none = np.zeros(len(place), np.int64)
+            yield _batch(_FOUND, none, none, *(x[known] for x in new[2:4]), place, np.full(len(place), REPEAT, np.int32))
         h, c, d, u, p = (np.concatenate([x, y[~known]]) for x, y in zip(held, new, strict=True))
         if not len(h):
             continue
@@ -404,12 +405,12 @@ def covered(marks: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def removals(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFrame:
+def removals(docs: DataFrame, hot: int = HOT, hold: int = _HELD, by_bytes: bool = False) -> DataFrame:
     """(doc, u, text, marks): every row of ``docs`` with its repeated windows. See ``repeated_bytes``."""
     rows = _documents(docs)
     n = shuffle_partitions(docs.sparkSession)
     anchors = rows.mapInArrow(_find_anchors, _ANCHOR).repartition(n, "anchor").sortWithinPartitions("anchor", "context", "doc", "u", "place")
-    found = Scratch(docs.sparkSession).keep(anchors.mapInArrow(lambda batches: _sift(batches, hot, hold), _FOUND))
+    found = Scratch(docs.sparkSession).keep(anchors.mapInArrow(lambda batches: _sift(batches, hot, hold, by_bytes), _FOUND))
     dealt = rows.repartition(n, "doc", "u")  # texts are dealt out once; both joins below read that exchange
     wanted = found.where(F.col("kind") != REPEAT).groupBy("doc", "u").agg(F.collect_list(F.struct("anchor", "context", "place", "kind")).alias("found"))
     contexts = dealt.join(wanted, ["doc", "u"]).select("doc", "u", "text", "found").mapInArrow(_cut_contexts, _CONTEXT)
@@ -421,7 +422,7 @@ def removals(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFrame:
     return dealt.join(by_doc, ["doc", "u"], "left")
 
 
-def repeated_bytes(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFrame:
+def repeated_bytes(docs: DataFrame, hot: int = HOT, hold: int = _HELD, by_bytes: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text; others are ignored).
 
     A null text is empty; texts shorter than LENGTH lose nothing; an empty table gives no rows. Rows that repeat both id and
@@ -429,6 +430,8 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFr
     hash; null ids come first.
     Anchors travel as four numbers; repeats in one batch are settled before the shuffle, so a text that a third of all rows
     hold reaches it a few times a task. Contexts of an anchor meet in one task up to HOT; beyond that each window goes its own way.
+    Anchors in different batches that agree in two 64-bit hashes, of the anchor and of its context, count as repeats;
+    ``by_bytes`` compares their bytes, too, which writes up to twice the corpus more.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,4 +450,4 @@ def repeated_bytes(docs: DataFrame, hot: int = HOT, hold: int = _HELD) -> DataFr
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=[x.split()[0] for x in _RESULT.split(", ")])
 
-    return removals(docs, hot, hold).select("doc", "text", "marks").mapInArrow(apply, _RESULT)
+    return removals(docs, hot, hold, by_bytes).select("doc", "text", "marks").mapInArrow(apply, _RESULT)

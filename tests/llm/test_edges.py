@@ -83,7 +83,7 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("limits", [(suffix_dedup.HOT, 1 << 16), (2, 5)])
+@pytest.mark.parametrize("limits", [(suffix_dedup.HOT, 1 << 16, False), (suffix_dedup.HOT, 1 << 16, True), (2, 5, False), (2, 5, True)])
 def test_repeated_bytes_of_null_and_repeated_ids(spark, limits):
     """2,000 null ids and an id of 200 texts: no span of one text is cut from another."""
     from pyspark.sql import functions as F
@@ -112,7 +112,7 @@ def test_contexts_of_one_hash_are_compared_by_bytes(monkeypatch):
     texts = sorted(f"{words_of(rng, 20)} {shared} {words_of(rng, 20)}" for _ in range(9)) + ["q " * 100]
     texts += [texts[0], texts[3]]
     b = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "u": [0] * len(texts), "text": texts})
-    found = pa.Table.from_batches(list(suffix_dedup._sift(iter([pa.Table.from_batches(suffix_dedup._find_anchors(iter([b.slice(k, 1) for k in range(len(b))]))).sort_by([(c, "ascending") for c in ("anchor", "context", "doc", "u", "place")]).combine_chunks().to_batches()[0]]), 100, 1000)))
+    found = pa.Table.from_batches(list(suffix_dedup._sift(iter([pa.Table.from_batches(suffix_dedup._find_anchors(iter([b.slice(k, 1) for k in range(len(b))]))).sort_by([(c, "ascending") for c in ("anchor", "context", "doc", "u", "place")]).combine_chunks().to_batches()[0]]), 100, 1000, True)))
     marks = {}
     for r in found.to_pylist():
         marks.setdefault(r["doc"], []).append({k: r[k] for k in ("anchor", "context", "place", "kind")})
