@@ -123,11 +123,17 @@ def snap_to_mask(spark, d):
     return L.snap_to_mask(p, own).select("image_id", "comp_id", (F.col("cx") - 2).alias("cx"), (F.col("cy") - 1).alias("cy"), "nx", "ny")
 
 
-@query()
+AREAS = "areas AS (SELECT image_id, comp_id, count(*) AS n_cells, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM regions GROUP BY 1, 2 HAVING count(*) >= 12)"
+
+
+@query(f"""{BASE}, {AREAS}, ends AS (SELECT image_id, comp_id, (comp_id % 16384 + 0.5::DOUBLE) * 0.2 AS ax, (comp_id // 16384 % 16384 + 0.5::DOUBLE) * 0.2 AS ay, (x1 + 0.5::DOUBLE) * 0.2 AS bx, (y1 + 0.5::DOUBLE) * 0.2 AS by_ FROM areas),
+counted AS (SELECT *, greatest(1, CAST(trunc(sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) / 0.1::DOUBLE) AS INTEGER)) AS n FROM ends), steps AS (SELECT *, unnest(range(0, n + 1)) AS i FROM counted),
+spots AS (SELECT image_id, comp_id, CAST(floor((ax + (bx - ax) * (i / n::DOUBLE)) / 0.2::DOUBLE) AS INTEGER) AS x, CAST(floor((ay + (by_ - ay) * (i / n::DOUBLE)) / 0.2::DOUBLE) AS INTEGER) AS y FROM steps)
+SELECT s.comp_id AS seg, s.image_id, s.comp_id, bool_and(r.image_id IS NOT NULL) AS inside FROM spots s LEFT JOIN regions r USING (image_id, comp_id, x, y) GROUP BY 1, 2, 3""")
 def segments_in_mask(spark, d):
     runs, stats = some_regions(spark, d)
     s = stats.select(F.col("comp_id").alias("seg"), "image_id", "comp_id", F.col("anchor_x").alias("x0"), F.col("anchor_y").alias("y0"), ((F.col("x1") + 0.5) * CELL_MM).alias("x1"), ((F.col("y1") + 0.5) * CELL_MM).alias("y1"))
-    return L.segments_in_mask(s, runs, CELL_MM)
+    return L.segments_in_mask(s, runs, CELL_MM).select("seg", "image_id", "comp_id", "inside")
 
 
 @query(f"{BASE}, s AS (SELECT image_id, comp_id, count(*) * 0.04::DOUBLE AS area FROM regions GROUP BY 1, 2 HAVING count(*) >= 12) SELECT image_id, comp_id, unnest(CASE WHEN area > 12 THEN [0, 1] ELSE [1] END) AS phase FROM s")
@@ -141,15 +147,27 @@ def runs_of_fill(spark, d):
     return cut(L.fill_runs(L.points_in_mask(samples, runs, CELL_MM), CELL_MM))
 
 
-@query()
+FILL = f"""{AREAS}, passes AS (SELECT a.*, p.* FROM areas a, (VALUES (0, radians(120.0::DOUBLE), 2.0::DOUBLE, -0.4::DOUBLE, 1.0::DOUBLE, 3.0::DOUBLE), (1, radians(30.0::DOUBLE), 0.4::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 2.5::DOUBLE)) p(phase, turn, spacing, extend, least, stitch) WHERE phase = 1 OR n_cells * 0.04::DOUBLE > 12),
+corners AS (SELECT image_id, comp_id, phase, (x * cos(turn) + y * sin(turn)) * 0.2 AS u, (y * cos(turn) - x * sin(turn)) * 0.2 AS v FROM (SELECT *, unnest([x0, x0, x1 + 1, x1 + 1]) AS x, unnest([y0, y1 + 1, y0, y1 + 1]) AS y FROM passes)),
+boxes AS (SELECT image_id, comp_id, phase, min(u) AS ua, max(u) AS ub, min(v) AS va, max(v) AS vb FROM corners GROUP BY 1, 2, 3),
+sized AS (SELECT *, CAST(trunc((vb - (va + spacing / 2)) / spacing) AS INTEGER) + 1 AS n, CAST(trunc((ub - ua) / 0.1::DOUBLE) AS INTEGER) + 2 AS m FROM passes JOIN boxes USING (image_id, comp_id, phase)),
+scans AS (SELECT *, unnest(range(0, n)) AS row FROM sized WHERE n > 0), dots AS (SELECT *, unnest(range(0, m)) AS k FROM scans),
+samples AS (SELECT image_id, comp_id, phase, row, k, ua + k * 0.1::DOUBLE AS u, va + spacing / 2 + row * spacing AS v, turn, extend, least, stitch FROM dots)"""
+INNER = """lit AS (SELECT s.* FROM samples s JOIN regions r ON r.image_id = s.image_id AND r.comp_id = s.comp_id AND r.x = CAST(floor((u * cos(turn) - v * sin(turn)) / 0.2::DOUBLE) AS INTEGER) AND r.y = CAST(floor((u * sin(turn) + v * cos(turn)) / 0.2::DOUBLE) AS INTEGER)),
+pieces AS (SELECT image_id, comp_id, phase, row, min(u) - 0.05::DOUBLE - any_value(extend) AS u0, max(u) + 0.05::DOUBLE + any_value(extend) AS u1, any_value(v) AS v, any_value(least) AS least, any_value(stitch) AS stitch
+  FROM (SELECT *, k - row_number() OVER (PARTITION BY image_id, comp_id, phase, row ORDER BY k) AS g FROM lit) GROUP BY image_id, comp_id, phase, row, g)"""
+
+
+@query(f"{BASE}, {FILL} SELECT image_id, comp_id, phase, CAST(row AS INTEGER) AS row, count(*) AS samples, round(min(u), 5) AS u0, round(max(u), 5) AS u1, round(any_value(v), 5) AS v, round(sum(u * cos(turn) - v * sin(turn)), 4) AS x, round(sum(u * sin(turn) + v * cos(turn)), 4) AS y FROM samples GROUP BY 1, 2, 3, 4")
 def scan_samples(spark, d):
     s = L.scan_samples(L.fill_plan(some_regions(spark, d)[1], 0.4, 30.0, 0.1), CELL_MM)
-    return s.groupBy("image_id", "comp_id", "phase").agg(F.count("*").alias("samples"), F.countDistinct("row").alias("rows"))
+    made = [F.count("*").alias("samples"), *[F.round(f, 5).alias(n) for n, f in (("u0", F.min("u")), ("u1", F.max("u")), ("v", F.first("v")))], *[F.round(F.sum(c), 4).alias(c) for c in "xy"]]
+    return s.groupBy("image_id", "comp_id", "phase", "row").agg(*made)
 
 
-@query()
+@query(f"{BASE}, {FILL}, {INNER} SELECT image_id, comp_id, phase, CAST(row AS INTEGER) AS row, CAST(row_number() OVER (PARTITION BY image_id, comp_id, phase, row ORDER BY u0) - 1 AS INTEGER) AS run, round(u0, 5) AS u0, round(u1, 5) AS u1, round(v, 5) AS v, stitch FROM pieces WHERE u1 - u0 >= least")
 def fill_runs(spark, d):
-    return runs_of_fill(spark, d)
+    return runs_of_fill(spark, d).select("image_id", "comp_id", "phase", "row", "run", *[F.round(c, 5).alias(c) for c in ("u0", "u1", "v")], "stitch")
 
 
 @query()

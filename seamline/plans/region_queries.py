@@ -8,7 +8,7 @@ from seamline.operators import raster as R
 from seamline.operators import regions as G
 from seamline.plans.adapters import CELL_MM, CELLS, cells
 from seamline.plans.base import query
-from seamline.plans.raster_queries import REGIONS
+from seamline.plans.raster_queries import REGIONS, components_sql
 from seamline.session import cut
 
 BASE = f"WITH RECURSIVE {CELLS}, {REGIONS}"
@@ -56,29 +56,42 @@ def ring_tables(spark, d):
     return runs, cut(G.component_stats(runs, CELL_MM))
 
 
-@query()
+RINGS = f"""WITH RECURSIVE {CELLS}, ring AS (SELECT image_id, x, y, CASE WHEN greatest(abs(x - 11), abs(y % 23 - 11)) % 4 = 1 THEN 1 WHEN x % 7 = 3 AND y % 5 = 2 THEN 2 ELSE 0 END AS label FROM cells),
+{components_sql("ring", 4, "comps")}, box AS (SELECT image_id, comp_id, label, sum(x1 - x0 + 1) AS n_cells, min(x0) AS bx0, max(x1) AS bx1, min(y) AS by0, max(y) AS by1 FROM comps GROUP BY 1, 2, 3),
+wide AS (SELECT * FROM box WHERE bx1 - bx0 >= 2 AND by1 - by0 >= 2),
+spans AS (SELECT image_id, comp_id, y, coalesce(lag(x1) OVER (PARTITION BY image_id, comp_id, y ORDER BY x0) + 1, bx0 - 1) AS g0, x0 - 1 AS g1 FROM comps JOIN wide USING (image_id, comp_id)
+  UNION ALL SELECT image_id, comp_id, y, max(x1) + 1, any_value(bx1) + 1 FROM comps JOIN wide USING (image_id, comp_id) GROUP BY 1, 2, 3
+  UNION ALL SELECT image_id, comp_id, unnest([by0 - 1, by1 + 1]), bx0 - 1, bx1 + 1 FROM wide),
+gaps AS MATERIALIZED (SELECT s.*, g0 < bx0 OR g1 > bx1 OR y < by0 OR y > by1 AS edge FROM spans s JOIN wide USING (image_id, comp_id) WHERE g0 <= g1),
+outer_ AS (SELECT image_id, comp_id, y, g0, g1 FROM gaps WHERE edge UNION SELECT g.image_id, g.comp_id, g.y, g.g0, g.g1 FROM outer_ o JOIN gaps g ON g.image_id = o.image_id AND g.comp_id = o.comp_id AND abs(g.y - o.y) = 1 AND g.g0 <= o.g1 AND o.g0 <= g.g1),
+holes AS (SELECT image_id, comp_id, y, g0, g1 FROM gaps EXCEPT SELECT * FROM outer_),
+lies AS (SELECT b.image_id, b.comp_id, h.comp_id AS parent, p.n_cells FROM box b JOIN holes h ON h.image_id = b.image_id AND h.y = b.comp_id // 16384 % 16384 AND b.comp_id % 16384 BETWEEN h.g0 AND h.g1 AND h.comp_id <> b.comp_id JOIN box p ON p.image_id = h.image_id AND p.comp_id = h.comp_id),
+parents AS (SELECT b.image_id, b.comp_id, l.parent FROM box b LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, comp_id ORDER BY n_cells, parent DESC) AS k FROM lies) WHERE k = 1) l USING (image_id, comp_id))"""
+
+
+@query(f"{RINGS} SELECT image_id, comp_id, parent FROM parents")
 def enclosing(spark, d):
     runs, stats = ring_tables(spark, d)
     return G.enclosing(stats, runs)
 
 
-@query()
+@query(f"{RINGS}, above AS (SELECT image_id, comp_id, parent AS up, 1 AS depth FROM parents WHERE parent IS NOT NULL UNION ALL SELECT a.image_id, a.comp_id, p.parent, a.depth + 1 FROM above a JOIN parents p ON p.image_id = a.image_id AND p.comp_id = a.up WHERE p.parent IS NOT NULL) SELECT p.image_id, p.comp_id, p.parent, CAST(coalesce(max(a.depth), 0) AS INTEGER) AS depth FROM parents p LEFT JOIN above a USING (image_id, comp_id) GROUP BY 1, 2, 3")
 def nesting_depth(spark, d):
     runs, stats = ring_tables(spark, d)
-    return G.nesting_depth(cut(G.enclosing(stats, runs)))
+    return G.nesting_depth(cut(G.enclosing(stats, runs))).select("image_id", "comp_id", "parent", F.col("depth").cast("int").alias("depth"))
 
 
-@query()
-def layer_order(spark, d):
+@query(f"{RINGS} SELECT b.image_id, u.label AS below, b.label AS above, CAST(sum(b.n_cells) AS BIGINT) AS weight FROM box b JOIN parents p USING (image_id, comp_id) JOIN box u ON u.image_id = p.image_id AND u.comp_id = p.parent WHERE u.label <> b.label GROUP BY 1, 2, 3")
+def layer_weights(spark, d):
     runs, stats = ring_tables(spark, d)
-    weights = G.layer_weights(stats, G.enclosing(stats, runs), 1)
-    return G.layer_order(stats, weights)
+    return G.layer_weights(stats, G.enclosing(stats, runs), 1)
 
 
 @query()
-def layer_weights(spark, d):
+def layer_order(spark, d):
     runs, stats = ring_tables(spark, d)
-    return G.layer_weights(stats, G.enclosing(stats, runs), 1)
+    weights = G.layer_weights(stats, G.enclosing(stats, runs), 1)
+    return G.layer_order(stats, weights)
 
 
 @query()
