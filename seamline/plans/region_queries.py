@@ -87,14 +87,31 @@ def layer_weights(spark, d):
     return G.layer_weights(stats, G.enclosing(stats, runs), 1)
 
 
-@query()
+def _greedy_sql(steps: int) -> str:
+    """CTEs that end in ranked (image_id, label, rank): in each step the layer left that breaks the least weight."""
+    out = """weights AS (SELECT b.image_id, u.label AS below, b.label AS above, sum(b.n_cells) AS weight FROM box b JOIN parents p USING (image_id, comp_id) JOIN box u ON u.image_id = p.image_id AND u.comp_id = p.parent WHERE u.label <> b.label GROUP BY 1, 2, 3),
+layers AS (SELECT image_id, label, sum(n_cells) AS area FROM box GROUP BY 1, 2), done0 AS (SELECT image_id, label, 0 AS rank FROM layers WHERE false)"""
+    for k in range(steps):
+        out += f""", left{k} AS (SELECT l.* FROM layers l ANTI JOIN done{k} d ON d.image_id = l.image_id AND d.label = l.label),
+cost{k} AS (SELECT l.image_id, l.label, l.area, coalesce(sum(CASE WHEN b.label IS NOT NULL THEN w.weight END), 0) AS cost FROM left{k} l LEFT JOIN weights w ON w.image_id = l.image_id AND w.above = l.label LEFT JOIN left{k} b ON b.image_id = w.image_id AND b.label = w.below GROUP BY 1, 2, 3),
+done{k + 1} AS (SELECT * FROM done{k} UNION ALL SELECT image_id, label, {k} FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY cost, area DESC, label) AS n FROM cost{k}) WHERE n = 1)"""
+    return f"{out}, ranked AS (SELECT * FROM done{steps})"
+
+
+GREEDY = f"{RINGS}, {_greedy_sql(3)}"
+
+
+@query(f"{GREEDY} SELECT * FROM ranked")
 def layer_order(spark, d):
     runs, stats = ring_tables(spark, d)
     weights = G.layer_weights(stats, G.enclosing(stats, runs), 1)
     return G.layer_order(stats, weights)
 
 
-@query()
+@query(f"""{GREEDY}, above AS (SELECT image_id, comp_id, parent AS up, 1 AS depth FROM parents WHERE parent IS NOT NULL UNION ALL SELECT a.image_id, a.comp_id, p.parent, a.depth + 1 FROM above a JOIN parents p ON p.image_id = a.image_id AND p.comp_id = a.up WHERE p.parent IS NOT NULL),
+deep AS (SELECT p.image_id, p.comp_id, CAST(coalesce(max(a.depth), 0) AS INTEGER) AS depth FROM parents p LEFT JOIN above a USING (image_id, comp_id) GROUP BY 1, 2),
+placed AS (SELECT b.image_id, b.comp_id, b.label, d.depth, r.rank, row_number() OVER (PARTITION BY b.image_id ORDER BY d.depth, r.rank, b.comp_id) - 1 AS place FROM box b JOIN deep d USING (image_id, comp_id) JOIN ranked r ON r.image_id = b.image_id AND r.label = b.label)
+SELECT image_id, comp_id, label, depth, rank, CAST(place AS INTEGER) AS place, CAST(sum(CASE WHEN old <> label THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY place) AS INTEGER) AS "group" FROM (SELECT *, lag(label) OVER (PARTITION BY image_id ORDER BY place) AS old FROM placed)""")
 def layered_order(spark, d):
     runs, stats = ring_tables(spark, d)
     parents = cut(G.enclosing(stats, runs))

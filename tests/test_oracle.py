@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 PICKED = [
     "stitch_stats", "bounds", "thread_usage", "design_summary", "polylines", "shift_origin", "thread_list", "unpack_stitches", "with_settings", "roundtrip_diff", "machine_label", "safe_name",
     "rgb_to_lab", "describe_color", "nearest_thread", "carry_choices", "content_box", "background", "majority_filter", "connected_components", "region_target", "adjacency", "boundary_edges",
-    "split_moves", "pec_deltas", "thumbnails", "round_trip", "smooth", "interpolate_at", "subdivide", "points_in_mask", "rank_chains",
+    "split_moves", "pec_deltas", "thumbnails", "round_trip", "smooth", "interpolate_at", "subdivide", "points_in_mask", "rank_chains", "segments_in_mask", "fill_runs", "nesting_depth", "layered_order",
 ]
 
 

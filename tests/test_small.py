@@ -191,3 +191,55 @@ def test_plan_colours_absorbs_slivers(spark):
     threads = spark.createDataFrame([("t", "range", "m", "b", "1", "red", 200, 20, 20, 1, True, 1)], "thread_id string, range_id string, maker string, brand string, code string, name string, r int, g int, b int, ord int, matchable boolean, machine_index int")
     cells = jobs.plan_colours(px, px, threads, "range", colours=3)[0]
     assert cells.count() == 480 and cells.select("label").distinct().count() == 2
+
+
+def test_manifest_against_zlib(spark):
+    import zlib
+
+    from seamline.operators.stitch import manifest
+
+    files = [("a", b""), ("b", b"stitches"), ("c", bytes(range(256)) * 9)]
+    got = {r["path"]: (r["size"], r["crc32"]) for r in manifest(spark.createDataFrame(files, "path string, content binary")).collect()}
+    assert got == {p: (len(c), zlib.crc32(c)) for p, c in files}
+
+
+def test_majority_filter_against_counting(spark):
+    """Images with holes in their rows, too: the label that five of the nine cells around have."""
+    import random
+    from collections import Counter
+
+    from seamline.operators.raster import majority_filter
+
+    rng = random.Random(6)
+    grid = {(i, x, y): rng.choice([0, 0, 1, -1]) for i in (1, 2) for x in range(13) for y in range(9) if i == 1 or rng.random() < 0.8}
+    want = {}
+    for (i, x, y), own in grid.items():
+        n = Counter(grid[k] for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (k := (i, x + dx, y + dy)) in grid)
+        label, most = n.most_common(1)[0]
+        want[i, x, y] = label if most >= 5 else own
+    cells = spark.createDataFrame([(*k, v) for k, v in grid.items()], "image_id long, x int, y int, label int")
+    assert {(r["image_id"], r["x"], r["y"]): r["label"] for r in majority_filter(cells).collect()} == want
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    """Edges that fill many tasks: the rounds between them give what one task would."""
+    import random
+
+    from seamline.operators import graph
+
+    monkeypatch.setattr(graph, "TASK_EDGES", 40)
+    rng = random.Random(7)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, None), (6, 6)]
+    top = {}
+
+    def find(v):
+        while top.setdefault(v, v) != v:
+            v = top[v]
+        return v
+
+    for a, b in edges:
+        if b is not None and a != b:
+            x, y = sorted((find(a), find(b)))
+            top[y] = x
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == {v: find(v) for v in top}
