@@ -72,10 +72,10 @@ def budgets(leaves: DataFrame, total: int, weights: dict[str, Column], max_epoch
     return out
 
 
-def _join_leaves(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+def _join_leaves(rows: DataFrame, leaves: DataFrame, on: tuple[str, ...] = ("leaf",)) -> DataFrame:
     """``rows`` with the columns of their leaf (by ``leaf``, a number); broadcast only if there are few leaves."""
     few = leaves.limit(MAX_BROADCAST_LEAVES + 1).count() <= MAX_BROADCAST_LEAVES
-    return rows.join(F.broadcast(leaves) if few else leaves, "leaf")
+    return rows.join(F.broadcast(leaves) if few else leaves, list(on))
 
 
 def plan(docs: DataFrame, domain: Column, weights: dict[str, Column], budget: float, max_epochs: int, seed: int) -> DataFrame:
@@ -87,7 +87,8 @@ def plan(docs: DataFrame, domain: Column, weights: dict[str, Column], budget: fl
     first, then inside the one bucket of each leaf in which its share ends, so no leaf is sorted in one task. Texts are read once.
     """
     rows = docs.select(F.col("doc_id").cast("long"), domain.alias("domain"), F.col("lang").cast("string"), F.col("source").cast("string"), tokens(F.col("text").cast("string")).alias("tokens"), tie(F.col("text").cast("string")).alias("tie"))
-    rows = Scratch(docs.sparkSession).keep(rows.withColumn("leaf", F.xxhash64(*LEVELS)))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(rows.withColumn("leaf", F.xxhash64(*LEVELS)))
     leaves = rows.groupBy("leaf", *LEVELS).agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
     leaves = cut(leaves)
     total = int(budget * (leaves.agg(F.sum("n_tokens")).first()[0] or 0))
@@ -99,8 +100,8 @@ def plan(docs: DataFrame, domain: Column, weights: dict[str, Column], budget: fl
     part = part.withColumn("bucket", F.floor(F.col("place") * F.col("n_buckets") / F.lit(1 << 32)).cast("long"))
     sums = part.groupBy("leaf", "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
     w = Window.partitionBy("leaf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = sums.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).where("start < rest and start + n >= rest").select(F.col("leaf").alias("l"), F.col("bucket").alias("k"), "start")
-    inside = part.join(ends, (F.col("leaf") == F.col("l")) & (F.col("bucket") == F.col("k")))
+    ends = sums.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).where("start < rest and start + n >= rest").select("leaf", "bucket", "start")
+    inside = _join_leaves(part, scratch.keep(ends), on=("leaf", "bucket"))  # a row a leaf, read back so that its leaf's dealing isn't taken over
     inside = inside.groupBy("leaf", "place", "doc_id", "tie").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows"), F.first("start").alias("start"), F.first("rest").alias("rest"))
     v = Window.partitionBy("leaf").orderBy("place", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("at", F.col("start") + F.coalesce(F.sum("tokens").over(v), F.lit(0))).where("at < rest")
