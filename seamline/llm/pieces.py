@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamline.llm.bytesets import Powers, mix
+from seamline.session import shuffle_partitions
 
 SPACE_MARK = "▁"
 #: Fixed values of the model file format: piece types, model types.
@@ -32,6 +33,7 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 _GROUP = 2 << 20
 _WIDE = 48  # longer words are folded one at a time
+_MASKED = 61  # characters of a word whose places fit the bits of a long
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -428,19 +430,28 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double")
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, longest: int, unknown: int = 0, unknown_score: float = -1e10) -> DataFrame:
-    """(word, ids, score) of the distinct non-empty ``words`` (word): the relational lattice, folded by Viterbi.
+def _lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, start, size, piece, id, score) of every edge: the substrings that are pieces, and every single character.
 
     Substrings of up to ``longest`` characters are exploded and equi-joined to ``pieces`` (piece, id, score), which is
-    broadcast: its size is that of the model file. Words are dealt out by the distinct, and the grouping of edges keeps that
-    partitioning, so edges aren't shuffled. The fold holds the best score and ids up to each place; a character without a
-    piece is an edge of ``unknown``. Of equal scores the shorter last piece wins.
+    broadcast: its size is that of the model file. Words are dealt out by their text before they are made distinct, so that a
+    grouping by word keeps the partitioning and edges aren't shuffled.
     """
     one = words.where("word is not null and word <> ''").select("word").distinct()
+    one = one.repartition(shuffle_partitions(words.sparkSession), "word")
     spots = one.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     parts = spots.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("size"))
     parts = parts.withColumn("piece", F.expr("substring(word, start, size)"))
-    edges = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1")
+    return parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1")
+
+
+def encode_words(words: DataFrame, pieces: DataFrame, longest: int, unknown: int = 0, unknown_score: float = -1e10) -> DataFrame:
+    """(word, ids, score) of the distinct non-empty ``words`` (word): the relational lattice, folded by Viterbi.
+
+    The fold holds the best score and ids up to each place; a character without a piece is an edge of ``unknown``. Of equal
+    scores the shorter last piece wins.
+    """
+    edges = _lattice(words, pieces, longest)
     edge = F.struct((F.col("start") + F.col("size") - 1).alias("end"), F.col("size"), F.coalesce("id", F.lit(unknown)).alias("id"), F.coalesce("score", F.lit(unknown_score)).alias("score"))
     grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     fold = """aggregate(edges,
@@ -452,3 +463,40 @@ def encode_words(words: DataFrame, pieces: DataFrame, longest: int, unknown: int
           s)),
       s -> element_at(s.best, -1))"""
     return grouped.select("word", F.expr(fold).alias("r")).select("word", "r.ids", "r.score")
+
+
+def merge_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) of the distinct non-empty ``words`` (word) of a BPE table: the relational lattice, folded by merge rank.
+
+    The fold's state is a bit mask of the places where symbols meet. Each step takes the best-ranked edge, the leftmost of
+    equals, that spans just two symbols, and clears the place between them; there are at most as many steps as characters. The
+    edges left over whole are the pieces; a character without a piece gives its bytes, or the unknown id. Words of more than 61
+    characters don't fit the mask; the same merges are then made from a heap.
+    """
+    spark = words.sparkSession
+    table = piece_table(spark, pieces).withColumn("score", -F.col("score"))
+    held = spark.sparkContext.broadcast(pieces)
+    some = words.where("word is not null and word <> ''").select("word")
+    a, b = F.col("start") - 1, F.col("start") + F.col("size") - 1
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)
+    byte_ids = F.array(*(F.lit(int(x)) for x in pieces.byte_ids))
+    octets = F.hex(F.encode("piece", "utf-8"))
+    spelt = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda k: F.element_at(byte_ids, F.conv(F.substr(octets, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + 1))
+    lost = spelt if pieces.falls_back else F.array(F.lit(pieces.unknown))
+    edge = F.struct("score", "start", bit(a).bitwiseOR(bit(b)).alias("ends"), (bit(b) - bit(a + 1)).alias("inner"), F.when(F.col("id").isNull(), lost).otherwise(F.array("id")).alias("ids"))
+    edges = _lattice(some.where(F.length("word") <= _MASKED), table, pieces.longest)
+    grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    fold = """aggregate(sequence(1, length(word)), shiftleft(1L, length(word) + 1) - 1,
+      (m, i) -> m & ~coalesce(get(filter(edges, e -> (m & e.ends) = e.ends and bit_count(m & e.inner) = 1), 0).inner, 0L))"""
+    left = grouped.select("word", "edges", F.expr(fold).alias("m"))
+    ids = """flatten(transform(array_sort(transform(filter(edges, e -> (m & e.ends) = e.ends and (m & e.inner) = 0),
+      e -> struct(e.start, e.ids))), e -> e.ids))"""
+    short = left.select("word", F.expr(ids).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [_fold_long(held.value, np.frombuffer(w.encode("utf-32-le"), np.uint32)) for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(lists, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    long = some.where(F.length("word") > _MASKED).distinct().mapInArrow(run, "word string, ids array<int>")
+    return short.unionByName(long)

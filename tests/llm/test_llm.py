@@ -202,6 +202,18 @@ def test_relational_lattice_is_the_viterbi_path(spark):
         assert got[w][0] == pytest.approx(best(w)[0])
 
 
+def test_relational_merges_are_the_librarys_ids(spark, docs):
+    """Words with and without a leading space, of bytes without pieces, and too long for a mask."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    p = pieces.read_model(spark, MODEL)
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL.removeprefix("file://"))
+    words = {w for r in docs for w in (r[1] or "").split(" ") if w} | {"x" * 300 + "hello" * 50, "日本語", "😀é😀", "=" * 61, "=" * 62, "a" * 63}
+    rows = [(f" {w}",) for w in words] + [(None,), ("",), (" the",), (" the",)]
+    got = {r["word"]: list(r["ids"]) for r in pieces.merge_words(spark.createDataFrame(rows, "word string"), p).collect()}
+    assert got == {f" {w}": own.encode(w) for w in words | {"the"}}
+    assert pieces.merge_words(spark.createDataFrame([], "word string"), p).count() == 0
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)
