@@ -434,11 +434,10 @@ def _lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, start, size, piece, id, score) of every edge: the substrings that are pieces, and every single character.
 
     Substrings of up to ``longest`` characters are exploded and equi-joined to ``pieces`` (piece, id, score), which is
-    broadcast: its size is that of the model file. Words are dealt out by their text before they are made distinct, so that a
-    grouping by word keeps the partitioning and edges aren't shuffled.
+    broadcast: its size is that of the model file. Words are dealt out by number before they are made distinct: adaptive
+    execution then can't fold the partitions that the explosion fills, and a grouping by word needs no shuffle of edges.
     """
-    one = words.where("word is not null and word <> ''").select("word").distinct()
-    one = one.repartition(shuffle_partitions(words.sparkSession), "word")
+    one = words.where("word is not null and word <> ''").select("word").repartition(shuffle_partitions(words.sparkSession), "word").distinct()
     spots = one.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     parts = spots.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("size"))
     parts = parts.withColumn("piece", F.expr("substring(word, start, size)"))
