@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamline.functions.text import to_units
+from seamline.operators.regions import boundary_edges
+from seamline.operators.stitch import COLOR, STITCH, TRIM
 from seamline.session import cut
 
 
@@ -18,19 +21,36 @@ def with_arc(points: DataFrame) -> DataFrame:
     return points.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn("arc", F.sum("_d").over(along().rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
-def smooth(points: DataFrame, k: int) -> DataFrame:
-    """Moving average over 2k + 1 points of open paths: ends stay, indexes beyond an end count as the end; paths of two points stay."""
-    whole = Window.partitionBy("path_id")
-    n, i = F.count("*").over(whole), F.row_number().over(along()) - 1
-    rows = points.withColumn("_n", n).withColumn("_i", i)
-    before, after = F.greatest(F.lit(0), k - F.col("_i")), F.greatest(F.lit(0), k - (F.col("_n") - 1 - F.col("_i")))
+def _closed(points: DataFrame) -> Column:
+    """Whether a point's path is a loop: its column ``closed``, where there is one."""
+    return F.coalesce(F.col("closed"), F.lit(False)) if "closed" in points.columns else F.lit(False)
+
 
-    def mean(c: str) -> Column:
-        first, last = F.first(c).over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(c).over(along().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        inner = (F.sum(c).over(along().rowsBetween(-k, k)) + before * first + after * last) / (2 * k + 1)
-        return F.when((F.col("_n") <= 2) | (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1), F.col(c)).otherwise(inner)
+def smooth(points: DataFrame, k: int) -> DataFrame:
+    """Moving average over 2k + 1 points: loops (``closed``) go round, ends of open paths stay and stand for what lies beyond them; paths of two points stay.
 
-    return rows.withColumn("_x", mean("x")).withColumn("_y", mean("y")).withColumn("x", F.col("_x")).withColumn("y", F.col("_y")).drop("_n", "_i", "_x", "_y")
+    The points that an average needs from the other end are copied there, so one window over the path does both kinds.
+    """
+    n, i = F.count("*").over(Window.partitionBy("path_id")), F.row_number().over(along()) - 1
+    rows = points.withColumns({"_n": n, "_i": i.cast("long"), "_closed": _closed(points)})
+    i, last, reach = F.col("_i"), F.col("_n") - 1, F.ceil(F.lit(float(k)) / F.col("_n"))
+    round_it = F.filter(F.transform(F.sequence(-reach, reach), lambda t: i + t * F.col("_n")), lambda p: (p >= -k) & (p <= last + k))
+    beyond = F.when(i == 0, F.sequence(F.lit(-k).cast("long"), i)).when(i == last, F.sequence(i, i + k)).otherwise(F.array(i))
+    rows = rows.withColumn("_p", F.explode(F.when(F.col("_closed"), round_it).otherwise(beyond)))
+    w = Window.partitionBy("path_id").orderBy("_p").rowsBetween(-k, k)
+    stays = (F.col("_n") <= 2) | (~F.col("_closed") & ((i == 0) | (i == last)))
+    rows = rows.withColumns({f"_{c}": F.when(stays, F.col(c)).otherwise(F.avg(c).over(w)) for c in "xy"}).where("_p = _i")
+    return rows.withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_n", "_i", "_p", "_x", "_y", "_closed")
+
+
+def end_where_begun(points: DataFrame) -> DataFrame:
+    """(path_id, seq, x, y, closed): loops get their first point once more at the end, unless they have it."""
+    first = F.struct(*[F.first(c).over(along()).alias(c) for c in "xy"])
+    rows = points.select("path_id", "seq", "x", "y", _closed(points).alias("closed"), first.alias("_f"), F.lead("seq").over(along()).isNull().alias("_last"))
+    here = F.struct("x", "y")
+    apart = F.hypot(F.col("x") - F.col("_f.x"), F.col("y") - F.col("_f.y")) > 1e-3
+    each = F.when(F.col("closed") & F.col("_last") & apart, F.array(here, F.col("_f"))).otherwise(F.array(here))
+    return rows.select("path_id", "seq", "closed", F.posexplode(each).alias("_i", "p")).select("path_id", (F.col("seq") + F.col("_i")).alias("seq"), "p.x", "p.y", "closed")
 
 
 def interpolate_at(points: DataFrame, queries: DataFrame, values: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -56,12 +76,18 @@ def _struct(df: DataFrame):
 
 
 def resample(points: DataFrame, spacing: float) -> DataFrame:
-    """(path_id, i, s, x, y, tx, ty): n + 1 even samples of open paths, n = round(length / spacing) at least 1, with unit tangents over up to 0.5 mm to each side. Paths of 0.05 mm or less give none."""
-    total = with_arc(points).groupBy("path_id").agg(F.max("arc").alias("total")).where("total > 0.05")
+    """(path_id, i, s, x, y, tx, ty): n + 1 even samples, n = round(length / spacing) at least 1, with unit tangents over up to 0.5 mm to each side. Paths of 0.05 mm or less give none.
+
+    Loops (``closed``) are sampled back to their first point, and their tangents reach over it.
+    """
+    points = end_where_begun(points)
+    total = with_arc(points).groupBy("path_id").agg(F.max("arc").alias("total"), F.bool_or("closed").alias("closed")).where("total > 0.05")
     n = F.greatest(F.lit(1), F.round(F.col("total") / spacing)).cast("int")
     spots = total.withColumn("n", n).withColumn("delta", F.least(F.lit(0.5), F.col("total") / 4)).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
     spots = spots.withColumn("mid", F.col("i") * (F.col("total") / F.col("n")))
-    three = spots.select("path_id", "i", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), s.alias("s")) for j, s in ((0, F.col("mid")), (-1, F.greatest(F.lit(0.0), F.col("mid") - F.col("delta"))), (1, F.least("total", F.col("mid") + F.col("delta"))))])).alias("v"))
+    back, ahead = F.col("mid") - F.col("delta"), F.col("mid") + F.col("delta")
+    sides = {0: F.col("mid"), -1: F.when(F.col("closed"), F.pmod(back, "total")).otherwise(F.greatest(F.lit(0.0), back)), 1: F.when(F.col("closed"), F.pmod(ahead, "total")).otherwise(F.least("total", ahead))}
+    three = spots.select("path_id", "i", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), s.alias("s")) for j, s in sides.items()])).alias("v"))
     got = interpolate_at(points, three.select("path_id", "i", "v.j", "v.s"))
     at = lambda j, c: F.max(F.when(F.col("j") == j, F.col(c)))
     one = got.groupBy("path_id", "i").agg(at(0, "s").alias("s"), at(0, "x").alias("x"), at(0, "y").alias("y"), (at(1, "x") - at(-1, "x")).alias("dx"), (at(1, "y") - at(-1, "y")).alias("dy"))
@@ -76,26 +102,40 @@ def zigzag(samples: DataFrame, width: Column) -> DataFrame:
     return samples.select("path_id", seq.alias("seq"), (F.col("x") + F.col("ty") * half).alias("x"), (F.col("y") - F.col("tx") * half).alias("y"))
 
 
-def outline_zigzag(samples: DataFrame, width: float, inward: bool) -> DataFrame:
-    """A satin outline: from the border inwards, or centred on it."""
-    low, high = (0.0, width) if inward else (-width / 2, width / 2)
+def _outline_sides(width: float, inward: bool, pull: float) -> tuple[float, float]:
+    return (-pull / 2, width) if inward else (-width / 2, width / 2)
+
+
+def outline_zigzag(samples: DataFrame, width: float, inward: bool, pull: float = 0.2) -> DataFrame:
+    """(path_id, seq, x, y): a satin outline, sewn from the last sample back: from half of ``pull`` outside the border inwards, or centred on it.
+
+    The area lies where the tangent (tx, ty) turned to (ty, -tx) points, as ``boundary_edges`` directs its sides.
+    """
+    low, high = _outline_sides(width, inward, pull)
     side = F.when(F.col("i") % 2 == 0, low).otherwise(high)
     seq = F.row_number().over(Window.partitionBy("path_id").orderBy(F.desc("i"))) - 1
-    return samples.select("path_id", seq.alias("seq"), (F.col("x") - F.col("ty") * side).alias("x"), (F.col("y") + F.col("tx") * side).alias("y"))
+    return samples.select("path_id", seq.alias("seq"), (F.col("x") + F.col("ty") * side).alias("x"), (F.col("y") - F.col("tx") * side).alias("y"))
+
+
+def outline_centre(samples: DataFrame, width: float, inward: bool, pull: float = 0.2) -> DataFrame:
+    """(path_id, seq, x, y): the run along the middle of a satin outline that goes under it, from the first sample on."""
+    middle = sum(_outline_sides(width, inward, pull)) / 2
+    return samples.select("path_id", F.col("i").alias("seq"), (F.col("x") + F.col("ty") * middle).alias("x"), (F.col("y") - F.col("tx") * middle).alias("y"))
 
 
 def thin_path(points: DataFrame, gap: float = 0.5, least: float = 1.5) -> DataFrame:
-    """(path_id, seq, x, y) of open chains: points at least ``gap`` from the last kept one, the end too if over 0.1 away; chains under ``least`` mm go.
+    """(path_id, seq, x, y): points at least ``gap`` from the last kept one; chains under ``least`` mm go.
 
-    A fold over a chain's sorted points; a chain is one border and stays in one row.
+    Open chains keep their end too if it is over 0.1 away; loops (``closed``) end with their first point, which doesn't count for the length. A fold over a chain's sorted points; a chain is one border and stays in one row.
     """
-    one = points.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    one = points.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"), F.bool_or(_closed(points)).alias("closed"))
     far = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])
     kept = F.aggregate(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 1, 1), lambda s, q: F.when(far(q, F.element_at(s, -1)) >= gap, F.concat(s, F.array(q))).otherwise(s))
     one = one.withColumn("k", kept)
-    one = one.withColumn("k", F.when(far(F.element_at("p", -1), F.element_at("k", -1)) > 0.1, F.concat("k", F.slice("p", -1, 1))).otherwise(F.col("k")))
+    one = one.withColumn("k", F.when(~F.col("closed") & (far(F.element_at("p", -1), F.element_at("k", -1)) > 0.1), F.concat("k", F.slice("p", -1, 1))).otherwise(F.col("k")))
     size = F.aggregate(F.zip_with(F.slice("k", F.lit(1), F.size("k") - 1), F.slice("k", F.lit(2), F.size("k") - 1), far), F.lit(0.0), lambda s, v: s + v)
-    return one.where(F.size("k") > 1).where(size >= least).select("path_id", F.posexplode("k").alias("seq", "q")).select("path_id", "seq", "q.x", "q.y")
+    whole = F.when(F.col("closed"), F.concat("k", F.slice("k", 1, 1))).otherwise(F.col("k"))
+    return one.where(F.size("k") > 1).where(size >= least).select("path_id", F.posexplode(whole).alias("seq", "q")).select("path_id", "seq", "q.x", "q.y")
 
 
 def rank_chains(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -135,6 +175,29 @@ def _more(reach: DataFrame) -> bool:
     return not reach.where("to is not null").join(ended, "to", "left_semi").isEmpty()
 
 
+def boundary_chains(cells: DataFrame, cell_mm: float, dedupe: bool = False) -> DataFrame:
+    """(image_id, comp_id, path_id, seq, x, y, closed): smoothed and thinned borders of the components of ``cells`` (image_id, x, y, comp_id), in mm.
+
+    Sides are chained where one ends and another starts; at a corner that two sides leave, sorted ways in take sorted ways out.
+    With ``dedupe`` a border between two components is kept for the lower number only, which leaves open chains.
+    """
+    e = cut(boundary_edges(cells, dedupe))
+    key = ["image_id", "comp_id"]
+    out, into = (Window.partitionBy(*key, *k) for k in (("ax", "ay"), ("bx", "by")))
+    e = e.withColumns({"edge": F.xxhash64(*key, "ax", "ay", "bx", "by"), "i": F.row_number().over(out.orderBy("bx", "by")), "o": F.row_number().over(into.orderBy("ax", "ay"))})
+    e = cut(e)
+    after = e.select(*key, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("i").alias("o"), F.col("edge").alias("next"))
+    chain = rank_chains(e.join(after, [*key, "bx", "by", "o"], "left").select("edge", "next"))
+    rows = chain.join(e, "edge").select(*key, F.col("chain").alias("path_id"), "seq", "ax", "ay", "bx", "by", "closed")
+    ends = F.lead("seq").over(along()).isNull() & ~F.col("closed")
+    a, b = (F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in "ab")
+    spots = rows.withColumn("_end", ends).select(*key, "path_id", "seq", "closed", F.posexplode(F.when(F.col("_end"), F.array(a, b)).otherwise(F.array(a))).alias("_i", "p"))
+    points = spots.select(*key, "path_id", (F.col("seq") + F.col("_i")).alias("seq"), *[(F.col(f"p.{c}") * cell_mm).alias(c) for c in "xy"], "closed")
+    points = cut(points.withColumn("_n", F.count("*").over(Window.partitionBy("path_id"))).where("_n >= 3").drop("_n"))
+    of = points.where("seq = 0").select("path_id", *key, "closed")
+    return thin_path(smooth(points, 2)).join(of, "path_id").select(*key, "path_id", "seq", "x", "y", "closed")
+
+
 def subdivide(legs: DataFrame, max_len: float) -> DataFrame:
     """(leg, i, x, y): each leg (leg, x0, y0, x1, y1) in ceil(length / max_len) equal stitches; legs under 0.05 mm give none."""
     size = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
@@ -173,3 +236,18 @@ def travel_kind(pieces: DataFrame, trim_mm: float) -> DataFrame:
     inside = F.coalesce(F.col("inside"), F.lit(False)) if "inside" in pieces.columns else F.lit(False)
     kind = F.when(d.isNull(), "start").when(F.lag("thread_id").over(w) != F.col("thread_id"), "color").when(d < 0.05, "none").when((d <= min(trim_mm, 1.5)) | inside | (d <= trim_mm), "run").otherwise("trim")
     return pieces.withColumn("kind", kind)
+
+
+def travel_records(pieces: DataFrame) -> DataFrame:
+    """(design_id, seq, i, x, y, k): the stitch records that bring the needle to each piece of ``travel_kind``, in 0.1 mm.
+
+    A start is a stitch; a new thread and a cut are their mark and a stitch at the same point; a run is a leg of stitches of up to
+    3 mm. Ties are ``add_ties``' work.
+    """
+    w = Window.partitionBy("design_id").orderBy("seq")
+    ways = pieces.select("design_id", "seq", "kind", "x0", "y0", F.lag("x1").over(w).alias("px"), F.lag("y1").over(w).alias("py"))
+    mark = F.when(F.col("kind") == "start", F.array(F.lit(STITCH))).when(F.col("kind") == "color", F.array(F.lit(COLOR), F.lit(STITCH))).when(F.col("kind") == "trim", F.array(F.lit(TRIM), F.lit(STITCH)))
+    jumps = ways.select("design_id", "seq", F.posexplode(mark).alias("i", "k"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    legs = ways.where("kind = 'run'").select(F.struct("design_id", "seq").alias("leg"), F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    sewn = subdivide(legs, 3.0).select("leg.*", (F.col("i") - 1).alias("i"), F.lit(STITCH).alias("k"), "x", "y")
+    return jumps.unionByName(sewn).select("design_id", "seq", "i", *[to_units(F.round(c, 7)).alias(c) for c in "xy"], "k")

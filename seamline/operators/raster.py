@@ -224,7 +224,7 @@ def layer_map(cells: DataFrame, choices: DataFrame) -> DataFrame:
 
 
 def read_images(spark, path: str) -> DataFrame:
-    """(path, x, y, r, g, b, a) of all images under ``path``; files that can't be decoded are left out."""
+    """(image_id, path, x, y, r, g, b, a) of all images under ``path``, numbered by a hash of their paths; files that can't be decoded are left out."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -239,4 +239,4 @@ def read_images(spark, path: str) -> DataFrame:
                     yield pd.DataFrame({"path": r.origin, "x": x.ravel(), "y": y.ravel(), "r": part[:, :, 2].ravel(), "g": part[:, :, 1].ravel(), "b": part[:, :, 0].ravel(), "a": alpha[top : top + 256].ravel()})
 
     images = spark.read.format("image").load(path).select("image.*").where("height > 0")
-    return images.mapInPandas(rows, "path string, x int, y int, r int, g int, b int, a int")
+    return images.mapInPandas(rows, "path string, x int, y int, r int, g int, b int, a int").select(F.xxhash64("path").alias("image_id"), "*")

@@ -40,19 +40,38 @@ def interpolate_at(spark, d):
     return P.interpolate_at(p, q).select("path_id", "j", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
 
 
-@query(f"""{WITH}, {ARC}, total AS (SELECT path_id, max(arc) AS total FROM arc GROUP BY 1 HAVING max(arc) > 0.05) SELECT path_id, CAST(greatest(1, round(total / 3)) + 1 AS BIGINT) AS samples, round(total, 5) AS last FROM total""")
+SAMPLES = f"""{ARC}, total AS (SELECT path_id, max(arc) AS total, greatest(1, CAST(round(max(arc) / 3) AS INTEGER)) AS n FROM arc GROUP BY 1 HAVING max(arc) > 0.05),
+spots AS (SELECT path_id, i, j, greatest(0::DOUBLE, least(total, i * (total / n) + j * least(0.5::DOUBLE, total / 4))) AS s FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM total), (SELECT unnest([0, -1, 1]) AS j)),
+met AS (SELECT q.path_id, q.i, q.j, q.s, a.x + (b.x - a.x) * coalesce((q.s - a.arc) / nullif(b.arc - a.arc, 0), 0) AS x, a.y + (b.y - a.y) * coalesce((q.s - a.arc) / nullif(b.arc - a.arc, 0), 0) AS y
+  FROM spots q ASOF JOIN arc a ON a.path_id = q.path_id AND q.s >= a.arc ASOF JOIN arc b ON b.path_id = q.path_id AND q.s <= b.arc),
+pulled AS (SELECT path_id, i, max(s) FILTER (j = 0) AS s, max(x) FILTER (j = 0) AS x, max(y) FILTER (j = 0) AS y, max(x) FILTER (j = 1) - max(x) FILTER (j = -1) AS dx, max(y) FILTER (j = 1) - max(y) FILTER (j = -1) AS dy FROM met GROUP BY 1, 2),
+samples AS (SELECT path_id, CAST(i AS INTEGER) AS i, s, x, y, dx / greatest(1e-9, sqrt(dx ** 2 + dy ** 2)) AS tx, dy / greatest(1e-9, sqrt(dx ** 2 + dy ** 2)) AS ty FROM pulled)"""
+ALONG_OUTLINE = "CAST(row_number() OVER (PARTITION BY path_id ORDER BY i DESC) - 1 AS INTEGER) AS seq"
+
+
+def rounded(df, *names):
+    """``names`` at six decimals; a zero loses its sign."""
+    return df.withColumns({c: F.round(c, 6) + 0.0 for c in names})
+
+
+@query(f"{WITH}, {SAMPLES} SELECT path_id, i, round(s, 6) + 0 AS s, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(tx, 6) + 0 AS tx, round(ty, 6) + 0 AS ty FROM samples")
 def resample(spark, d):
-    return P.resample(path_points(spark, d), 3.0).groupBy("path_id").agg(F.count("*").alias("samples"), F.round(F.max("s"), 5).alias("last"))
+    return rounded(P.resample(path_points(spark, d), 3.0), "s", "x", "y", "tx", "ty")
 
 
-@query()
+@query(f"{WITH}, {SAMPLES} SELECT path_id, {ALONG_OUTLINE}, round(x + ty * half, 6) + 0 AS x, round(y - tx * half, 6) + 0 AS y FROM (SELECT *, CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS half FROM samples)")
 def zigzag(spark, d):
-    return P.zigzag(P.resample(path_points(spark, d), 3.0), F.lit(2.0)).withColumns({c: F.round(c, 4) for c in "xy"})
+    return rounded(P.zigzag(P.resample(path_points(spark, d), 3.0), F.lit(2.0)), "x", "y")
 
 
-@query()
+@query(f"{WITH}, {SAMPLES} SELECT path_id, {ALONG_OUTLINE}, round(x + ty * side, 6) + 0 AS x, round(y - tx * side, 6) + 0 AS y FROM (SELECT *, CASE WHEN i % 2 = 0 THEN -0.1::DOUBLE ELSE 2.0::DOUBLE END AS side FROM samples)")
 def outline_zigzag(spark, d):
-    return P.outline_zigzag(P.resample(path_points(spark, d), 3.0), 2.0, True).withColumns({c: F.round(c, 4) for c in "xy"})
+    return rounded(P.outline_zigzag(P.resample(path_points(spark, d), 3.0), 2.0, True), "x", "y")
+
+
+@query(f"{WITH}, {SAMPLES} SELECT path_id, i AS seq, round(x + ty * 0.95::DOUBLE, 6) + 0 AS x, round(y - tx * 0.95::DOUBLE, 6) + 0 AS y FROM samples")
+def outline_centre(spark, d):
+    return rounded(P.outline_centre(P.resample(path_points(spark, d), 3.0), 2.0, True), "x", "y")
 
 
 @query()
@@ -85,6 +104,17 @@ def travel_kind(spark, d):
     return P.travel_kind(p, 12.0).select("design_id", "seq", "kind")
 
 
+@query(f"""WITH {STITCHES}, p AS (SELECT design_id, seq, 't-' || ((seq // 7) % 3) AS thread_id, x / 10.0::DOUBLE AS x0, y / 10.0::DOUBLE AS y0, (x + 3) / 10.0::DOUBLE AS x1, y / 10.0::DOUBLE AS y1 FROM stitches),
+d AS (SELECT *, sqrt((x0 - px) ** 2 + (y0 - py) ** 2) AS d FROM (SELECT *, lag(x1) OVER w AS px, lag(y1) OVER w AS py, lag(thread_id) OVER w AS old FROM p WINDOW w AS (PARTITION BY design_id ORDER BY seq))),
+kinds AS (SELECT *, CASE WHEN d IS NULL THEN [0] WHEN old <> thread_id THEN [3, 0] WHEN d < 0.05 THEN [] WHEN d <= 12 THEN NULL ELSE [2, 0] END AS ks, CAST(ceil(d / 3) AS INTEGER) AS n FROM d)
+SELECT design_id, seq, CAST(i - 1 AS INTEGER) AS i, CAST(round(x0 * 10) AS INTEGER) AS x, CAST(round(y0 * 10) AS INTEGER) AS y, CAST(ks[i] AS INTEGER) AS k FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM kinds WHERE ks IS NOT NULL)
+UNION ALL SELECT design_id, seq, CAST(i - 1 AS INTEGER), CAST(round(round(10 * (px + (x0 - px) * (CAST(i AS DOUBLE) / n)), 6)) AS INTEGER), CAST(round(round(10 * (py + (y0 - py) * (CAST(i AS DOUBLE) / n)), 6)) AS INTEGER), 0 FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM kinds WHERE ks IS NULL)""")
+def travel_records(spark, d):
+    s = stitches(spark, d)
+    p = s.select("design_id", "seq", F.concat(F.lit("t-"), F.floor(F.col("seq") / 7) % 3).alias("thread_id"), (F.col("x") / 10).alias("x0"), (F.col("y") / 10).alias("y0"), ((F.col("x") + 3) / 10).alias("x1"), (F.col("y") / 10).alias("y1"))
+    return P.travel_records(P.travel_kind(p, 12.0))
+
+
 CHAINS = f"""WITH RECURSIVE {STITCHES}, e AS (SELECT design_id * 100000 + seq AS edge, CASE WHEN seq % 9 = 8 AND design_id % 2 = 0 THEN design_id * 100000 + seq - 8 WHEN seq % 9 = 8 OR seq = top THEN NULL ELSE design_id * 100000 + seq + 1 END AS next FROM (SELECT *, max(seq) OVER (PARTITION BY design_id) AS top FROM stitches))"""
 
 
@@ -189,14 +219,13 @@ def nearest_first(spark, d):
 
 @query()
 def boundary_chains(spark, d):
-    """Closed borders of the areas: directed sides, chained where one side's end is one other's start."""
+    """Borders of the areas as loops."""
+    c = cells(spark, d)
+    return P.boundary_chains(R.with_component(c, cut(R.connected_components(c, 4))), CELL_MM)
+
+
+@query()
+def shared_boundary_chains(spark, d):
+    """Borders of the areas, those between two areas once."""
     c = cells(spark, d)
-    e = cut(G.boundary_edges(R.with_component(c, R.connected_components(c, 4))).where("other < 0 or other <> comp_id"))
-    a, b = (Window.partitionBy("image_id", "comp_id", *k) for k in (("ax", "ay"), ("bx", "by")))
-    # at a corner that two sides leave, sorted ways in take sorted ways out
-    e = e.withColumn("edge", F.xxhash64("image_id", "comp_id", "ax", "ay", "bx", "by")).withColumn("i", F.row_number().over(a.orderBy("bx", "by"))).withColumn("o", F.row_number().over(b.orderBy("ax", "ay")))
-    e = cut(e)
-    nxt = e.select("image_id", "comp_id", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("i").alias("o"), F.col("edge").alias("next"))
-    chain = P.rank_chains(e.select("image_id", "comp_id", "bx", "by", "o", "edge").join(nxt, ["image_id", "comp_id", "bx", "by", "o"], "left").select("edge", "next"))
-    rows = chain.join(e, "edge").select(F.col("chain").alias("path_id"), "seq", (F.col("ax") * CELL_MM).alias("x"), (F.col("ay") * CELL_MM).alias("y"))
-    return P.thin_path(P.smooth(rows, 2))
+    return P.boundary_chains(R.with_component(c, cut(R.connected_components(c, 4))), CELL_MM, dedupe=True)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline.functions.colour import with_delta_e2000
-from seamline.operators import encoding, fill, raster, regions, stitch
+from seamline.operators import encoding, fill, paths, raster, regions, stitch
 from seamline.operators.graph import components
 
 STITCHES = "design_id long, seq long, x int, y int, k int"
@@ -243,3 +243,52 @@ def test_components_in_rounds(spark, monkeypatch):
             top[y] = x
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {v: find(v) for v in top}
+
+
+PATH = "path_id long, seq int, x double, y double, closed boolean"
+
+
+def test_closed_paths_go_round(spark):
+    """Smoothing, sampling and thinning of a loop and of an open path against plain loops over their points."""
+    ring = [(3 * math.cos(t), 2 * math.sin(t)) for t in np.linspace(0, 2 * math.pi, 40, endpoint=False)]
+    rows = [(c, i, x, y, bool(c)) for c in (0, 1) for i, (x, y) in enumerate(ring)] + [(2, 0, 0.0, 0.0, True), (2, 1, 1.0, 0.0, True), (3, 0, 0.0, 0.0, True), (3, 1, 1.0, 0.0, True), (3, 2, 0.0, 1.0, True)]
+    df = spark.createDataFrame(rows, PATH)
+    got = {(r["path_id"], r["seq"]): (r["x"], r["y"]) for r in paths.smooth(df, 2).collect()}
+    assert len(got) == len(rows)
+    for p, i, x, y, closed in rows:
+        own = [(a, b) for q, _, a, b, _ in rows if q == p]
+        n = len(own)
+        near = [own[(i + j) % n if closed else min(max(i + j, 0), n - 1)] for j in range(-2, 3)]
+        want = (x, y) if n <= 2 or (not closed and i in (0, n - 1)) else tuple(np.mean(near, axis=0))
+        assert got[p, i] == pytest.approx(want)
+    s = {(r["path_id"], r["i"]): r for r in paths.resample(df, 0.5).collect()}
+    last = max(i for p, i in s if p == 1)
+    assert s[1, last]["x"] == pytest.approx(s[1, 0]["x"]) and s[1, last]["tx"] == pytest.approx(s[1, 0]["tx"], abs=1e-6)
+    assert s[1, last]["s"] > max(r["s"] for (p, _), r in s.items() if p == 0)
+    thin = {p: [(r["x"], r["y"]) for r in paths.thin_path(df, 0.5).orderBy("seq").collect() if r["path_id"] == p] for p in (0, 1)}
+    assert thin[1][0] == thin[1][-1] and thin[0][-1] == pytest.approx(ring[-1])
+    assert paths.smooth(df.limit(0), 2).count() == 0 and paths.resample(df.limit(0), 1.0).count() == 0
+
+
+def test_borders_and_their_outlines(spark):
+    """Two squares side by side: a loop each, the shared side once with dedupe; a satin outline lies inside, on either kind of border."""
+    cells = spark.createDataFrame([(1, x, y, 1 + (x >= 20)) for x in range(40) for y in range(20)], "image_id long, x int, y int, comp_id long")
+    loops = paths.boundary_chains(cells, 0.2).collect()
+    assert {(r["comp_id"], r["closed"]) for r in loops} == {(1, True), (2, True)}
+    one = sorted((r["seq"], r["x"], r["y"]) for r in loops if r["comp_id"] == 1)
+    assert one[0][1:] == one[-1][1:] and max(x for _, x, _ in one) == pytest.approx(4.0) and min(x for _, x, _ in one) == pytest.approx(0.0)
+    shared = paths.boundary_chains(cells, 0.2, dedupe=True).collect()
+    assert {(r["comp_id"], r["closed"]) for r in shared} == {(1, True), (2, False)}
+    assert all(r["x"] < 8.01 for r in shared) and min(r["x"] for r in shared if r["comp_id"] == 2) == pytest.approx(4.0)
+    first = spark.createDataFrame([(1, i, x, y, True) for i, (_, x, y) in enumerate(one)], PATH)
+    spots = paths.resample(first, 0.2)
+    z = paths.outline_zigzag(spots, 1.0, True, 0.0).collect()
+    assert all(-0.01 <= r["x"] <= 4.01 and -0.01 <= r["y"] <= 4.01 for r in z)
+    assert min(r["y"] for r in paths.outline_centre(spots, 1.0, True, 0.0).collect()) == pytest.approx(0.5, abs=0.05)
+
+
+def test_travel_records(spark):
+    rows = [(1, 1, "a", 0.0, 0.0, 1.0, 0.0), (1, 2, "a", 1.0, 0.0, 1.0, 5.0), (1, 3, "a", 1.0, 6.0, 2.0, 6.0), (1, 4, "a", 30.0, 6.0, 31.0, 6.0), (1, 5, "b", 31.0, 6.0, 32.0, 6.0)]
+    p = paths.travel_kind(spark.createDataFrame(rows, "design_id long, seq long, thread_id string, x0 double, y0 double, x1 double, y1 double"), 2.0)
+    got = [(r["seq"], r["x"], r["y"], r["k"]) for r in paths.travel_records(p).orderBy("seq", "i").collect()]
+    assert got == [(1, 0, 0, 0), (3, 10, 60, 0), (4, 300, 60, 2), (4, 300, 60, 0), (5, 310, 60, 3), (5, 310, 60, 0)]
