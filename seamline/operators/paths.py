@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.functions.text import to_units
 from seamline.operators.regions import boundary_edges
 from seamline.operators.stitch import COLOR, STITCH, TRIM
 from seamline.session import cut
@@ -250,4 +249,4 @@ def travel_records(pieces: DataFrame) -> DataFrame:
     jumps = ways.select("design_id", "seq", F.posexplode(mark).alias("i", "k"), F.col("x0").alias("x"), F.col("y0").alias("y"))
     legs = ways.where("kind = 'run'").select(F.struct("design_id", "seq").alias("leg"), F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
     sewn = subdivide(legs, 3.0).select("leg.*", (F.col("i") - 1).alias("i"), F.lit(STITCH).alias("k"), "x", "y")
-    return jumps.unionByName(sewn).select("design_id", "seq", "i", *[to_units(F.round(c, 7)).alias(c) for c in "xy"], "k")
+    return jumps.unionByName(sewn).select("design_id", "seq", "i", *[F.round(F.round(F.col(c) * 10, 6)).cast("int").alias(c) for c in "xy"], "k")

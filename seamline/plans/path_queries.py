@@ -24,10 +24,10 @@ def with_arc(spark, d):
 
 
 @query(f"""{WITH}, n AS (SELECT *, count(*) OVER (PARTITION BY path_id) AS n FROM path_points), j AS (SELECT p.path_id, p.seq, p.n, p.x AS px, p.y AS py, greatest(0, least(p.n - 1, p.seq + o)) AS at FROM n p, (SELECT unnest(range(-2, 3)) AS o))
-SELECT j.path_id, j.seq, round(CASE WHEN any_value(n) <= 2 OR j.seq = 0 OR j.seq = any_value(n) - 1 THEN any_value(px) ELSE avg(q.x) END, 5) AS x, round(CASE WHEN any_value(n) <= 2 OR j.seq = 0 OR j.seq = any_value(n) - 1 THEN any_value(py) ELSE avg(q.y) END, 5) AS y
+SELECT j.path_id, j.seq, round(CASE WHEN any_value(n) <= 2 OR j.seq = 0 OR j.seq = any_value(n) - 1 THEN any_value(px) ELSE avg(q.x) END, 5) + 0 AS x, round(CASE WHEN any_value(n) <= 2 OR j.seq = 0 OR j.seq = any_value(n) - 1 THEN any_value(py) ELSE avg(q.y) END, 5) + 0 AS y
 FROM j JOIN path_points q ON q.path_id = j.path_id AND q.seq = j.at GROUP BY 1, 2""")
 def smooth(spark, d):
-    return P.smooth(path_points(spark, d), 2).select("path_id", "seq", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return P.smooth(path_points(spark, d), 2).select("path_id", "seq", *[(F.round(c, 5) + 0.0).alias(c) for c in "xy"])
 
 
 @query(f"""{WITH}, {ARC}, total AS (SELECT path_id, max(arc) AS total FROM arc GROUP BY 1), queries AS (SELECT path_id, j, total * (j + 0.37::DOUBLE) / 4 AS s FROM total, (SELECT unnest(range(0, 4)) AS j))
@@ -104,14 +104,14 @@ def travel_kind(spark, d):
     return P.travel_kind(p, 12.0).select("design_id", "seq", "kind")
 
 
-@query(f"""WITH {STITCHES}, p AS (SELECT design_id, seq, 't-' || ((seq // 7) % 3) AS thread_id, x / 10.0::DOUBLE AS x0, y / 10.0::DOUBLE AS y0, (x + 3) / 10.0::DOUBLE AS x1, y / 10.0::DOUBLE AS y1 FROM stitches),
+@query(f"""WITH {STITCHES}, p AS (SELECT design_id, seq, 't-' || ((seq // 7) % 3) AS thread_id, x / 10.0::DOUBLE AS x0, y / 10.0::DOUBLE AS y0, (x + 3) / 10.0::DOUBLE AS x1, y / 10.0::DOUBLE + 0.037::DOUBLE AS y1 FROM stitches),
 d AS (SELECT *, sqrt((x0 - px) ** 2 + (y0 - py) ** 2) AS d FROM (SELECT *, lag(x1) OVER w AS px, lag(y1) OVER w AS py, lag(thread_id) OVER w AS old FROM p WINDOW w AS (PARTITION BY design_id ORDER BY seq))),
 kinds AS (SELECT *, CASE WHEN d IS NULL THEN [0] WHEN old <> thread_id THEN [3, 0] WHEN d < 0.05 THEN [] WHEN d <= 12 THEN NULL ELSE [2, 0] END AS ks, CAST(ceil(d / 3) AS INTEGER) AS n FROM d)
 SELECT design_id, seq, CAST(i - 1 AS INTEGER) AS i, CAST(round(x0 * 10) AS INTEGER) AS x, CAST(round(y0 * 10) AS INTEGER) AS y, CAST(ks[i] AS INTEGER) AS k FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM kinds WHERE ks IS NOT NULL)
 UNION ALL SELECT design_id, seq, CAST(i - 1 AS INTEGER), CAST(round(round(10 * (px + (x0 - px) * (CAST(i AS DOUBLE) / n)), 6)) AS INTEGER), CAST(round(round(10 * (py + (y0 - py) * (CAST(i AS DOUBLE) / n)), 6)) AS INTEGER), 0 FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM kinds WHERE ks IS NULL)""")
 def travel_records(spark, d):
     s = stitches(spark, d)
-    p = s.select("design_id", "seq", F.concat(F.lit("t-"), F.floor(F.col("seq") / 7) % 3).alias("thread_id"), (F.col("x") / 10).alias("x0"), (F.col("y") / 10).alias("y0"), ((F.col("x") + 3) / 10).alias("x1"), (F.col("y") / 10).alias("y1"))
+    p = s.select("design_id", "seq", F.concat(F.lit("t-"), F.floor(F.col("seq") / 7) % 3).alias("thread_id"), (F.col("x") / 10).alias("x0"), (F.col("y") / 10).alias("y0"), ((F.col("x") + 3) / 10).alias("x1"), (F.col("y") / 10 + 0.037).alias("y1"))
     return P.travel_records(P.travel_kind(p, 12.0))
 
 
