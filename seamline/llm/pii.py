@@ -43,7 +43,7 @@ ORDER = {k: i for i, k in enumerate(KINDS)}
 PRIOR = {"iban": 0.8, "ssn": 0.3, "secret": 0.1}
 CONTEXT_GAIN, WINDOW, THRESHOLD = 0.5, 40, 0.5
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def luhn(digits: str) -> bool:
@@ -163,14 +163,14 @@ def redact(text: str | None) -> str | None:
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         for text in b.column("text").to_pylist():
             base, spans = find(text)
             kinds = [k for k, _, _ in base]
-            row = (*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans) - len(base))
+            row = (*(kinds.count(k) for k in KINDS[:4]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans) - len(base), len(spans))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
-        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+        types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 

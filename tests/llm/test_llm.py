@@ -337,7 +337,7 @@ def test_pii(spark, empty):
     assert pii.redact("mail a@b.cd or +1 (386) 555-5010.") == "mail [EMAIL] or [PHONE]."
     df = spark.createDataFrame([(1, "a@b.cd", 3), (None, None, 4)], "doc_id long, text string, spans int")
     rows = {r["doc_id"]: r for r in pii.personal_data(df).collect()}
-    assert rows[1]["spans"] == "email:0:6" and rows[1]["base_sha256"] == hashlib.sha256(b"email:0:6").hexdigest() and rows[None]["n_email"] == 0
+    assert rows[1]["spans"] == "email:0:6" and rows[1]["n_spans"] == 1 and rows[None]["n_spans"] == 0 and rows[1]["base_sha256"] == hashlib.sha256(b"email:0:6").hexdigest() and rows[None]["n_email"] == 0
     assert pii.personal_data(empty).count() == 0
 
 
