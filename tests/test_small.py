@@ -292,3 +292,30 @@ def test_travel_records(spark):
     p = paths.travel_kind(spark.createDataFrame(rows, "design_id long, seq long, thread_id string, x0 double, y0 double, x1 double, y1 double"), 2.0)
     got = [(r["seq"], r["x"], r["y"], r["k"]) for r in paths.travel_records(p).orderBy("seq", "i").collect()]
     assert got == [(1, 0, 0, 0), (3, 10, 60, 0), (4, 300, 60, 2), (4, 300, 60, 0), (5, 310, 60, 3), (5, 310, 60, 0)]
+
+
+def test_nearest_first_is_greedy(spark):
+    """Each group from the origin: always the item whose start is nearest to the needle, which then stands at its end."""
+    rng = np.random.default_rng(5)
+    rows = [(1, int(i % 3), i, *map(float, rng.random(4) * 50)) for i in range(60)]
+    got = {}
+    for r in fill.nearest_first(spark.createDataFrame(rows, "design_id long, group long, item long, x0 double, y0 double, x1 double, y1 double")).orderBy("group", "place").collect():
+        got.setdefault(r["group"], []).append(r["item"])
+    for g in range(3):
+        left, at, want = {r[2]: r[3:] for r in rows if r[1] == g}, (0.0, 0.0), []
+        while left:
+            reach = lambda i: math.dist(at, left[i][:2])  # noqa: B023, E731
+            i = min(left, key=lambda i: (reach(i), i))  # noqa: B023
+            want.append(i)
+            at = left.pop(i)[2:]
+        assert got[g] == want
+
+
+def test_image_palette_spreads_over_the_colours(spark):
+    """Centres are distinct colours of the image, the first the middle one by weight; no more than there are colours; the same each time."""
+    rows = [(1, (float(v), 0.0, 0.0), w) for v, w in ((0, 5), (10, 1), (50, 9), (90, 5))] + [(2, (7.0, 1.0, 2.0), 3)]
+    df = spark.createDataFrame(rows, "image_id long, lab struct<l: double, a: double, b: double>, weight long")
+    once, again = (sorted((r["image_id"], r["cluster"], r["lab"]["l"]) for r in raster.image_palette(df, 3).collect()) for _ in range(2))
+    assert once == again and [c for i, c, _ in once if i == 1] == [0, 1, 2] and once[0][2] == 50.0
+    assert len({v for i, _, v in once if i == 1}) == 3 and [v for i, _, v in once if i == 2] == [7.0]
+    assert raster.image_palette(df.limit(0), 3).count() == 0
