@@ -4,9 +4,9 @@ Texts are cut into words (a run of spaces and what follows it up to the next). A
 of bounded length that is a piece. Unigram tables fold it by Viterbi (largest sum of scores), BPE tables by merging the
 neighbours whose joint piece scores best, which is what defines a BPE table's ids.
 
-``encode_words`` is the relational form over a table of words: explode the substrings, equi-join the piece table, group edges by
-word, fold Viterbi with ``aggregate``. ``encode`` treats whole texts: the same lattice over the distinct words of a batch, inside
-the task that reads them, since joining every word of every text back to its text would shuffle several times the corpus.
+``encode_words`` and ``merge_words`` are the relational form over a table of words: explode the substrings, equi-join the piece
+table, group edges by word, fold with ``aggregate``, by Viterbi or by merge rank. ``encode`` and ``round_trip`` treat whole texts
+and fold the same lattice over the distinct words of a batch inside the task that reads them; the README gives the figures.
 """
 
 from __future__ import annotations
