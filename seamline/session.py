@@ -45,6 +45,7 @@ class Scratch:
         self._spark = spark
         self._folder = f"{shared_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
+        self._made = 0
         self._marked = False
 
     def _on_disk(self, path: str) -> tuple:
@@ -52,7 +53,8 @@ class Scratch:
         return p.getFileSystem(self._spark._jsc.hadoopConfiguration()), p
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self._folder}/{len(self._paths)}"
+        path = f"{self._folder}/{self._made}"
+        self._made += 1
         df.write.parquet(path)
         if not self._marked:
             fs, p = self._on_disk(self._folder)
