@@ -34,14 +34,19 @@ def split_moves(s: DataFrame) -> DataFrame:
     Plain stitches within reach have no flag; longer ones and jumps are jumps; a trim cuts in its first step only. Positions start at the origin.
     """
     lag = lambda c: F.col(c) - F.lag(c, 1, 0).over(in_order())
-    rows = s.select("design_id", "seq", "k", lag("x").alias("dx"), lag("y").alias("dy"))
+    return in_steps(s.select("design_id", "seq", "k", lag("x").alias("dx"), lag("y").alias("dy")))
+
+
+def in_steps(rows: DataFrame) -> DataFrame:
+    """Moves (design_id, seq, k, dx, dy, ...) in steps, see ``split_moves``."""
+    more = [c for c in rows.columns if c not in ("design_id", "seq", "k", "dx", "dy")]
     far = F.greatest(F.abs("dx"), F.abs("dy"))
     rows = rows.withColumn("long", (F.col("k") != STITCH) | (far > REACH)).withColumn("n", F.greatest(F.lit(1), F.ceil(far / REACH).cast("int")))
     rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("n"))))
     upto = lambda c, i: F.signum(c) * F.least(F.abs(F.col(c)), F.lit(REACH) * i)
     part = lambda c: (upto(c, F.col("step")) - upto(c, F.col("step") - 1)).cast("int").alias(c)
     flag = F.when(~F.col("long"), 0).when((F.col("k") == TRIM) & (F.col("step") == 1), TRIM_FLAG).otherwise(JUMP_FLAG)
-    return rows.select("design_id", "seq", "step", part("dx"), part("dy"), "k", flag.alias("flag"), "long")
+    return rows.select("design_id", "seq", "step", part("dx"), part("dy"), "k", flag.alias("flag"), "long", *more)
 
 
 def color_markers(s: DataFrame) -> DataFrame:
@@ -52,8 +57,13 @@ def color_markers(s: DataFrame) -> DataFrame:
 def pec_deltas(s: DataFrame) -> DataFrame:
     """``split_moves`` with ``hex``, the record's bytes, its colour marker included, and their number."""
     n = F.sum(F.when((F.col("k") == COLOR) & (F.col("step") == 1), 1).otherwise(0)).over(Window.partitionBy("design_id").orderBy("seq", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return with_bytes(split_moves(s), n)
+
+
+def with_bytes(steps: DataFrame, n: Column) -> DataFrame:
+    """``steps`` with ``hex`` and ``n_bytes``, see ``pec_deltas``; ``n``: COLOR records up to and including each."""
     marker = F.when((F.col("k") == COLOR) & (F.col("step") == 1), F.concat(F.lit("FEB0"), F.lpad((2 - (n - 1) % 2).cast("string"), 2, "0"))).otherwise("")
-    rows = split_moves(s).withColumn("hex", F.concat(marker, *[pec_hex(F.col(c), F.col("flag"), F.col("long")) for c in ("dx", "dy")]))
+    rows = steps.withColumn("hex", F.concat(marker, *[pec_hex(F.col(c), F.col("flag"), F.col("long")) for c in ("dx", "dy")]))
     return rows.withColumn("n_bytes", (F.length("hex") / 2).cast("int"))
 
 

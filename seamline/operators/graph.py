@@ -91,6 +91,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct().toDF("node", "component"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``node``: 0, 1, 2, ... in the order of the columns ``order``.
+
+    Rows are dealt out by ranges and numbered in each; the ranges' sizes, a number each, tell where the next one begins. The
+    result is checkpointed, as another run may draw the ranges elsewhere.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    own = cut(dealt.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))
+    begin, total = [], 0
+    for r in own.groupBy("_range").count().orderBy("_range").collect():
+        begin.append((r["_range"], total))
+        total += r["count"]
+    offsets = spark.createDataFrame(begin, "_range int, _begin long")
+    return own.join(F.broadcast(offsets), "_range").withColumn("node", F.col("_begin") + F.col("_place")).drop("_range", "_place", "_begin")
+
+
 def _digest(e: DataFrame) -> tuple:
     r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     return r["n"], r["s"]

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from seamline.operators.graph import numbered
 from seamline.operators.regions import boundary_edges
 from seamline.operators.stitch import COLOR, STITCH, TRIM
 from seamline.session import cut
@@ -25,7 +31,7 @@ def _closed(points: DataFrame) -> Column:
     return F.coalesce(F.col("closed"), F.lit(False)) if "closed" in points.columns else F.lit(False)
 
 
-def smooth(points: DataFrame, k: int) -> DataFrame:
+def smooth(points: DataFrame, k: int, values: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Moving average over 2k + 1 points: loops (``closed``) go round, ends of open paths stay and stand for what lies beyond them; paths of two points stay.
 
     The points that an average needs from the other end are copied there, so one window over the path does both kinds.
@@ -38,8 +44,8 @@ def smooth(points: DataFrame, k: int) -> DataFrame:
     rows = rows.withColumn("_p", F.explode(F.when(F.col("_closed"), round_it).otherwise(beyond)))
     w = Window.partitionBy("path_id").orderBy("_p").rowsBetween(-k, k)
     stays = (F.col("_n") <= 2) | (~F.col("_closed") & ((i == 0) | (i == last)))
-    rows = rows.withColumns({f"_{c}": F.when(stays, F.col(c)).otherwise(F.avg(c).over(w)) for c in "xy"}).where("_p = _i")
-    return rows.withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_n", "_i", "_p", "_x", "_y", "_closed")
+    rows = rows.withColumns({f"_{c}": F.when(stays, F.col(c)).otherwise(F.avg(c).over(w)) for c in values}).where("_p = _i")
+    return rows.withColumns({c: F.col(f"_{c}") for c in values}).drop("_n", "_i", "_p", "_closed", *(f"_{c}" for c in values))
 
 
 def end_where_begun(points: DataFrame) -> DataFrame:
@@ -125,16 +131,55 @@ def outline_centre(samples: DataFrame, width: float, inward: bool, pull: float =
 def thin_path(points: DataFrame, gap: float = 0.5, least: float = 1.5) -> DataFrame:
     """(path_id, seq, x, y): points at least ``gap`` from the last kept one; chains under ``least`` mm go.
 
-    Open chains keep their end too if it is over 0.1 away; loops (``closed``) end with their first point, which doesn't count for the length. A fold over a chain's sorted points; a chain is one border and stays in one row.
+    Open chains keep their end too if it is over 0.1 away; loops (``closed``) end with their first point, which doesn't count for the length. Sorted points stream through a
+    task that remembers the last kept one: linear in the points, and no chain is held as a whole.
     """
-    one = points.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"), F.bool_or(_closed(points)).alias("closed"))
-    far = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])
-    kept = F.aggregate(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 1, 1), lambda s, q: F.when(far(q, F.element_at(s, -1)) >= gap, F.concat(s, F.array(q))).otherwise(s))
-    one = one.withColumn("k", kept)
-    one = one.withColumn("k", F.when(~F.col("closed") & (far(F.element_at("p", -1), F.element_at("k", -1)) > 0.1), F.concat("k", F.slice("p", -1, 1))).otherwise(F.col("k")))
-    size = F.aggregate(F.zip_with(F.slice("k", F.lit(1), F.size("k") - 1), F.slice("k", F.lit(2), F.size("k") - 1), far), F.lit(0.0), lambda s, v: s + v)
-    whole = F.when(F.col("closed"), F.concat("k", F.slice("k", 1, 1))).otherwise(F.col("k"))
-    return one.where(F.size("k") > 1).where(size >= least).select("path_id", F.posexplode(whole).alias("seq", "q")).select("path_id", "seq", "q.x", "q.y")
+    w = along()
+    spots = points.select("path_id", "seq", *(F.col(c).cast("double").alias(c) for c in "xy"), _closed(points).alias("closed"), F.lag("x").over(w).isNull().alias("begins"))
+    held = T.StructType([*spots.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("lx", "ly", "length")), T.StructField("kept", T.BooleanType())])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = np.zeros(3)  # the last kept point, and the length up to it
+        for t in batches:
+            x, y, begins = (t.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "begins"))
+            out, kept = np.empty((3, len(x))), np.zeros(len(x), bool)
+            stops = np.append(np.flatnonzero(begins), len(x))
+            i = 0
+            while i < len(x):
+                if begins[i]:
+                    state = np.array([x[i], y[i], 0.0])
+                    kept[i], out[:, i] = True, state
+                    i += 1
+                    continue
+                stop, size = stops[np.searchsorted(stops, i)], 8
+                while True:  # the first one far enough, in blocks that double
+                    d = np.hypot(x[i : min(i + size, stop)] - state[0], y[i : min(i + size, stop)] - state[1])
+                    far = int(np.argmax(d >= gap)) if len(d) else 0
+                    if (len(d) and d[far] >= gap) or i + size >= stop:
+                        break
+                    size *= 2
+                if d[far] >= gap:
+                    out[:, i : i + far] = state[:, None]
+                    i += far
+                    state = np.array([x[i], y[i], state[2] + d[far]])
+                    kept[i], out[:, i] = True, state
+                    i += 1
+                else:
+                    out[:, i:stop] = state[:, None]
+                    i = stop
+            yield pa.RecordBatch.from_arrays([*t.columns, *(pa.array(v) for v in out), pa.array(kept)], names=[*t.schema.names, "lx", "ly", "length", "kept"])
+
+    rows = spots.repartition("path_id").sortWithinPartitions("path_id", "seq").mapInArrow(stream, held)
+    here, first = F.struct("x", "y"), F.struct(F.first("x").over(w).alias("x"), F.first("y").over(w).alias("y"))
+    last, rest = F.lead("x").over(w).isNull(), F.hypot(F.col("x") - F.col("lx"), F.col("y") - F.col("ly"))
+    tail = last & ~F.col("closed") & ~F.col("kept") & (rest > 0.1)
+    whole = Window.partitionBy("path_id")
+    rows = rows.withColumns({"_stays": F.col("kept") | tail, "_length": F.col("length") + F.when(tail, rest).otherwise(0.0), "_closes": last & F.col("closed"), "_first": first})
+    rows = rows.withColumns({"_n": F.count_if("_stays").over(whole), "_size": F.max("_length").over(whole)}).where((F.col("_n") > 1) & (F.col("_size") >= least))
+    each = F.concat(F.when(F.col("_stays"), F.array(here)).otherwise(F.array().cast("array<struct<x:double,y:double>>")), F.when(F.col("_closes"), F.array("_first")).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
+    out = rows.select("path_id", "seq", F.posexplode(each).alias("_j", "q"))
+    seq = F.row_number().over(Window.partitionBy("path_id").orderBy("seq", "_j")) - 1
+    return out.select("path_id", seq.alias("seq"), "q.x", "q.y")
 
 
 def rank_chains(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -180,10 +225,10 @@ def boundary_chains(cells: DataFrame, cell_mm: float, dedupe: bool = False) -> D
     Sides are chained where one ends and another starts; at a corner that two sides leave, sorted ways in take sorted ways out.
     With ``dedupe`` a border between two components is kept for the lower number only, which leaves open chains.
     """
-    e = cut(boundary_edges(cells, dedupe))
     key = ["image_id", "comp_id"]
+    e = numbered(boundary_edges(cells, dedupe), *key, "ay", "ax", "by", "bx").withColumnRenamed("node", "edge")
     out, into = (Window.partitionBy(*key, *k) for k in (("ax", "ay"), ("bx", "by")))
-    e = e.withColumns({"edge": F.xxhash64(*key, "ax", "ay", "bx", "by"), "i": F.row_number().over(out.orderBy("bx", "by")), "o": F.row_number().over(into.orderBy("ax", "ay"))})
+    e = e.withColumns({"i": F.row_number().over(out.orderBy("bx", "by")), "o": F.row_number().over(into.orderBy("ax", "ay"))})
     e = cut(e)
     after = e.select(*key, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("i").alias("o"), F.col("edge").alias("next"))
     chain = rank_chains(e.join(after, [*key, "bx", "by", "o"], "left").select("edge", "next"))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.functions.colour import lab_dist2, let, rgb_to_lab
-from seamline.operators.graph import components
+from seamline.operators.graph import components, numbered
+from seamline.operators.intervals import as_intervals, overlaps
 from seamline.session import cut
 
 OPAQUE = 128
@@ -108,26 +109,35 @@ def label_runs(cells: DataFrame) -> DataFrame:
     return cells.withColumn("_g", F.col("x") - F.row_number().over(w)).groupBy("image_id", "y", "label", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
 
 
+def _fits(image: str, y: str, x0: str):
+    return F.col(y).between(0, 16383) & F.col(x0).between(0, 16383) & F.col(image).between(-(1 << 35), (1 << 35) - 1)
+
+
 def run_node(image: str = "image_id", y: str = "y", x0: str = "x0"):
-    """A number for a run: image, then raster order. Grids of over 16,384 cells a side raise an error, as their numbers would run into the next image's."""
-    fits = F.col(y).between(0, 16383) & F.col(x0).between(0, 16383) & F.col(image).between(-(1 << 35), (1 << 35) - 1)
+    """A number for a run: image, then raster order. Only for images of up to 16,384 cells a side and ids of 36 bits, others raise an error; see ``with_node``."""
     node = F.shiftleft(F.col(image).cast("long"), 28) + F.shiftleft(F.col(y).cast("long"), 14) + F.col(x0)
-    return F.when(fits, node).otherwise(F.raise_error(F.concat(F.lit("run_node: no room for image, y, x "), F.concat_ws(", ", image, y, x0))).cast("long"))
+    return F.when(_fits(image, y, x0), node).otherwise(F.raise_error(F.concat(F.lit("run_node: no room for image, y, x "), F.concat_ws(", ", image, y, x0))).cast("long"))
+
+
+def with_node(runs: DataFrame) -> DataFrame:
+    """``runs`` with ``node``: ``run_node`` if every run has one, else 0, 1, 2, ... in the order of image and raster, which any 64-bit id and any size allow."""
+    if runs.where(~_fits("image_id", "y", "x0")).isEmpty():
+        return runs.withColumn("node", run_node())
+    return numbered(runs, "image_id", "y", "x0")
 
 
 def run_overlaps(runs: DataFrame, conn: int = 8) -> DataFrame:
-    """(a, b): pairs of runs of one label in neighbouring rows that touch, diagonally too with ``conn`` 8."""
-    reach = 1 if conn == 8 else 0
-    up = runs.select("image_id", "label", (F.col("y") + 1).alias("y"), F.col("x0").alias("p0"), F.col("x1").alias("p1"), run_node().alias("b"))
-    here = runs.withColumn("a", run_node())
-    return here.join(up, ["image_id", "label", "y"]).where((F.col("x0") <= F.col("p1") + reach) & (F.col("p0") <= F.col("x1") + reach)).select("a", "b")
+    """(a, b): pairs of runs of one label in neighbouring rows that touch, diagonally too with ``conn`` 8; ``runs`` may bring their ``node``."""
+    runs = runs if "node" in runs.columns else runs.withColumn("node", run_node())
+    key = ["image_id", "label", "y"]
+    return overlaps(as_intervals(runs, key, "x0", "x1", "node"), as_intervals(runs.withColumn("y", F.col("y") + 1), key, "x0", "x1", "node"), key, 1 if conn == 8 else 0)
 
 
 def connected_components(cells: DataFrame, conn: int = 8) -> DataFrame:
-    """Runs with ``comp_id``: the number of the component's first run in raster order."""
-    runs = cut(label_runs(cells))
+    """Runs with ``comp_id``: the number (see ``with_node``) of the component's first run in raster order."""
+    runs = cut(with_node(cut(label_runs(cells))))
     label = components(run_overlaps(runs, conn))
-    return runs.withColumn("node", run_node()).join(label, "node", "left").withColumn("comp_id", F.coalesce("component", "node")).drop("node", "component")
+    return runs.join(label, "node", "left").withColumn("comp_id", F.coalesce("component", "node")).drop("node", "component")
 
 
 def with_component(cells: DataFrame, runs: DataFrame) -> DataFrame:

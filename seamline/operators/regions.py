@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.operators.graph import components
-from seamline.operators.raster import run_node
+from seamline.operators.intervals import as_intervals, overlaps
 from seamline.session import cut
 
 
@@ -46,19 +46,21 @@ def adjacency(runs: DataFrame) -> DataFrame:
     """
     right = runs.select("image_id", "y", (F.col("x0") - 1).alias("x1"), F.col("comp_id").alias("q"))
     across = runs.join(right, ["image_id", "y", "x1"]).select("image_id", F.col("comp_id").alias("p"), "q")
-    below = runs.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("comp_id").alias("q"))
-    down = runs.join(below, ["image_id", "y"]).where("x0 <= p1 and p0 <= x1").select("image_id", F.col("comp_id").alias("p"), "q")
+    named = F.struct("image_id", "comp_id")
+    met = overlaps(as_intervals(runs, ["image_id", "y"], "x0", "x1", named), as_intervals(runs.withColumn("y", F.col("y") + 1), ["image_id", "y"], "x0", "x1", named), ["image_id", "y"])
+    down = met.select("a.image_id", F.col("a.comp_id").alias("p"), F.col("b.comp_id").alias("q"))
     both = across.unionByName(down).where("p <> q")
     return both.select("image_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def enclosing(stats: DataFrame, runs: DataFrame) -> DataFrame:
-    """(image_id, comp_id, parent): the smallest component in one of whose holes the first cell lies (the higher number of equals), or null.
+def enclosing(stats: DataFrame, runs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(image_id, comp_id, parent): the smallest component in one of whose holes the first cell lies (the higher number of equals), or null; none of ``excluded`` (image_id, comp_id).
 
     The gaps between a component's runs inside its bounding box and one cell around are cut into 4-connected parts; a part that
     doesn't reach that frame is a hole.
     """
     box = stats.select("image_id", "comp_id", "n_cells", F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y0").alias("by0"), F.col("y1").alias("by1")).where("bx1 - bx0 >= 2 and by1 - by0 >= 2")
+    box = box if excluded is None else box.join(excluded, ["image_id", "comp_id"], "left_anti")
     own = runs.join(box, ["image_id", "comp_id"]).select("image_id", "comp_id", "y", "x0", "x1", "bx0", "bx1")
     # row by row: before the first run, between runs, after the last; the frame rows are gaps as a whole
     w = Window.partitionBy("image_id", "comp_id", "y").orderBy("x0")
@@ -67,9 +69,9 @@ def enclosing(stats: DataFrame, runs: DataFrame) -> DataFrame:
     frame = box.select("image_id", "comp_id", F.explode(F.array(F.col("by0") - 1, F.col("by1") + 1)).alias("y"), (F.col("bx0") - 1).alias("g0"), (F.col("bx1") + 1).alias("g1"))
     gaps = between.unionByName(after).unionByName(frame).where("g0 <= g1").join(box, ["image_id", "comp_id"])
     gaps = gaps.withColumn("edge", (F.col("g0") < F.col("bx0")) | (F.col("g1") > F.col("bx1")) | (F.col("y") < F.col("by0")) | (F.col("y") > F.col("by1")))
-    gaps = cut(gaps.withColumn("node", F.struct("comp_id", "y", "g0").cast("struct<c:bigint,y:int,g:int>")).withColumn("node", F.xxhash64("node.c", "node.y", "node.g")))
-    up = gaps.select("image_id", "comp_id", (F.col("y") + 1).alias("y"), F.col("g0").alias("p0"), F.col("g1").alias("p1"), F.col("node").alias("b"))
-    links = gaps.join(up, ["image_id", "comp_id", "y"]).where("g0 <= p1 and p0 <= g1").select(F.col("node").alias("a"), "b")
+    gaps = cut(gaps.withColumn("node", F.monotonically_increasing_id()))
+    key = ["image_id", "comp_id", "y"]
+    links = overlaps(as_intervals(gaps, key, "g0", "g1", "node"), as_intervals(gaps.withColumn("y", F.col("y") + 1), key, "g0", "g1", "node"), key)
     part = gaps.join(components(links), "node", "left").withColumn("part", F.coalesce("component", "node"))
     holes = part.join(part.groupBy("image_id", "comp_id", "part").agg(F.max("edge").alias("open")).where("not open"), ["image_id", "comp_id", "part"])
     first = runs.groupBy("image_id", F.col("comp_id").alias("inner")).agg(F.min(F.struct("y", "x0")).alias("f")).select("image_id", "inner", F.col("f.y").alias("y"), F.col("f.x0").alias("x"))
@@ -89,22 +91,52 @@ def satin_parent(stats: DataFrame, adj: DataFrame, satin: DataFrame) -> DataFram
     return near.groupBy("image_id", F.col("a").alias("comp_id")).agg(F.max(F.struct("n_cells", (-F.col("b")).alias("c"))).alias("m")).select("image_id", "comp_id", (-F.col("m.c")).alias("parent"))
 
 
-def nesting_depth(parents: DataFrame, cap: int = 64) -> DataFrame:
-    """``parents`` (image_id, comp_id, parent) with ``depth``: parents above, by pointer doubling; chains end at ``cap``."""
-    hop = parents.select("image_id", "comp_id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+def satin_parents(stats: DataFrame, runs: DataFrame, adj: DataFrame, satin: DataFrame) -> DataFrame:
+    """(image_id, comp_id, parent): ``enclosing`` by areas that are no satin strokes; a stroke that touches such an area has the largest of them (``satin_parent``)."""
+    touched = satin_parent(stats, adj, satin).withColumnRenamed("parent", "_touched")
+    around = enclosing(stats, runs, satin).join(touched, ["image_id", "comp_id"], "left")
+    return around.select("image_id", "comp_id", F.coalesce("_touched", "parent").alias("parent"))
+
+
+def nesting_depth(parents: DataFrame, cap: int = 64, adj: DataFrame | None = None, satin: DataFrame | None = None) -> DataFrame:
+    """``parents`` (image_id, comp_id, parent) with ``depth``: parents above, by pointer doubling; chains end at ``cap``.
+
+    With ``adj`` and ``satin``, a stroke lies at least one over each area that it touches, that is no stroke and not its parent. Areas that are no strokes don't look at
+    their neighbours, so this takes one step, not a fixed point.
+    """
+    key = ["image_id", "comp_id"]
+    hop = parents.select(*key, F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
     for _ in range(cap.bit_length()):
         step = hop.select("image_id", F.col("comp_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        hop = cut(hop.join(step, ["image_id", "up"], "left").select("image_id", "comp_id", F.col("up2").alias("up"), F.least(F.lit(cap), F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
+        hop = cut(hop.join(step, ["image_id", "up"], "left").select(*key, F.col("up2").alias("up"), F.least(F.lit(cap), F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
         if hop.where("up is not null").isEmpty():
             break
-    return parents.join(hop.select("image_id", "comp_id", "depth"), ["image_id", "comp_id"])
+    out = parents.join(hop.select(*key, "depth"), key)
+    if satin is None:
+        return out
+    near = _touched(adj, satin).join(out.select("image_id", F.col("comp_id").alias("b"), F.col("depth").alias("below")), ["image_id", "b"])
+    near = near.join(parents, key).where(~F.col("b").eqNullSafe(F.col("parent")))
+    least = near.groupBy(*key).agg((F.max("below") + 1).alias("_least"))
+    return out.join(least, key, "left").withColumn("depth", F.greatest("depth", F.coalesce("_least", F.lit(0)))).drop("_least")
 
 
-def layer_weights(stats: DataFrame, parents: DataFrame, min_weight_cells: int) -> DataFrame:
-    """(image_id, below, above, weight): cells that lie in holes of another layer's areas; specks don't count."""
+def _touched(adj: DataFrame, satin: DataFrame) -> DataFrame:
+    """(image_id, comp_id, b): strokes and the areas that are no strokes and share a side with them."""
+    strokes = satin.select("image_id", "comp_id")
+    return both_ways(adj).withColumnRenamed("a", "comp_id").join(strokes, ["image_id", "comp_id"], "left_semi").join(strokes.withColumnRenamed("comp_id", "b"), ["image_id", "b"], "left_anti").select("image_id", "comp_id", "b")
+
+
+def layer_weights(stats: DataFrame, parents: DataFrame, min_weight_cells: int, adj: DataFrame | None = None, satin: DataFrame | None = None) -> DataFrame:
+    """(image_id, below, above, weight): cells that lie in holes of another layer's areas; specks don't count.
+
+    With ``adj`` and ``satin``, a stroke counts once more over each area of another layer that it touches and that is no stroke: over its parent twice.
+    """
     layer = stats.select("image_id", "comp_id", F.col("label").alias("above"), "n_cells").where(F.col("n_cells") >= min_weight_cells)
     under = stats.select("image_id", F.col("comp_id").alias("parent"), F.col("label").alias("below"))
-    both = layer.join(parents, ["image_id", "comp_id"]).join(under, ["image_id", "parent"]).where("below <> above")
+    over = parents.select("image_id", "comp_id", "parent")
+    if satin is not None:
+        over = over.unionByName(_touched(adj, satin).withColumnRenamed("b", "parent"))
+    both = layer.join(over, ["image_id", "comp_id"]).join(under, ["image_id", "parent"]).where("below <> above")
     return both.groupBy("image_id", "below", "above").agg(F.sum("n_cells").alias("weight"))
 
 
@@ -160,28 +192,38 @@ def perimeters(edges: DataFrame, cell_mm: float) -> DataFrame:
     return edges.groupBy("image_id", "comp_id", "other").agg((F.count("*") * cell_mm).alias("length_mm"))
 
 
+#: The eight directions in the order in which a pixel's neighbours come; OPPOSITE[d] leads back.
+RING = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)]
+OPPOSITE = [1, 0, 3, 2, 7, 6, 5, 4]
+
+
+def skeleton_links(skeleton: DataFrame) -> DataFrame:
+    """Pixels (image_id, comp_id, x, y, width) with ``ways``: the directions of their neighbours, diagonal ones only where no straight one joins both.
+
+    Each pixel tells the eight around it that it is there; these notes are combined before they are dealt out, and no pixels are joined.
+    """
+    notes = [F.struct((-dx + F.col("x")).alias("x"), (-dy + F.col("y")).alias("y"), F.lit(1 << d).alias("bit"), F.lit(None).cast("double").alias("width")) for d, (dx, dy) in enumerate(RING)]
+    width = F.col("width") if "width" in skeleton.columns else F.lit(0.0)
+    own = F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.lit(1 << 8).alias("bit"), width.alias("width"))
+    told = skeleton.select("image_id", "comp_id", F.explode(F.array(*notes, own)).alias("n")).select("image_id", "comp_id", "n.*")
+    met = told.groupBy("image_id", "comp_id", "x", "y").agg(F.bit_or("bit").alias("near"), F.max("width").alias("width")).where(F.col("near").bitwiseAND(1 << 8) != 0)
+    there = lambda bits: F.col("near").bitwiseAND(bits) != 0
+    straight = lambda dx, dy: (1 << RING.index((dx, 0))) | (1 << RING.index((0, dy)))
+    ways = [F.when(there(1 << d) if not dx * dy else there(1 << d) & ~there(straight(dx, dy)), d) for d, (dx, dy) in enumerate(RING)]
+    return met.select("image_id", "comp_id", "x", "y", "width", F.array_compact(F.array(*ways)).alias("ways"))
+
+
 def skeleton_degree(skeleton: DataFrame) -> DataFrame:
-    """``degree`` of each pixel of (image_id, comp_id, x, y): its neighbours, diagonal ones only where no straight one joins both."""
-    ring = [(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)]
-    step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ring])).alias("s")
+    """``degree`` of each pixel of (image_id, comp_id, x, y): its neighbours, see ``skeleton_links``."""
     key = ["image_id", "comp_id", "x", "y"]
-    near = skeleton.select(*key, step).select(*key, "s.dx", "s.dy").withColumn("nx", F.col("x") + F.col("dx")).withColumn("ny", F.col("y") + F.col("dy"))
-    other = skeleton.select("image_id", "comp_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    hit = near.join(other, ["image_id", "comp_id", "nx", "ny"])
-    diagonal = hit.where("dx <> 0 and dy <> 0")
-    joined = skeleton.select("image_id", "comp_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    spots = diagonal.select(*key, "dx", "dy", F.explode(F.array(F.struct((F.col("x") + F.col("dx")).alias("cx"), F.col("y").alias("cy")), F.struct(F.col("x").alias("cx"), (F.col("y") + F.col("dy")).alias("cy")))).alias("c"))
-    bent = spots.select(*key, "dx", "dy", "c.cx", "c.cy").join(joined, ["image_id", "comp_id", "cx", "cy"], "left_semi").select(*key, "dx", "dy").distinct()
-    kept = hit.where("dx = 0 or dy = 0").select(*key).unionByName(diagonal.join(bent, [*key, "dx", "dy"], "left_anti").select(*key))
-    count = kept.groupBy(*key).agg(F.count("*").alias("degree"))
-    return skeleton.join(count, key, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-
-
-def thin_areas(cells: DataFrame, cell_mm: float, max_width_mm: float) -> DataFrame:
+    return skeleton.join(skeleton_links(skeleton).select(*key, F.size("ways").cast("long").alias("degree")), key)
+
+
+def thin_areas(cells: DataFrame, cell_mm: float, max_width_mm: float, long_enough: bool = True) -> DataFrame:
     """(image_id, comp_id, x, y, width): skeleton pixels, with twice their distance to the border in mm, of components that a satin stroke can cover.
 
     Thin: the largest width is at most 1.6 times ``max_width_mm``, the 90th percentile over the skeleton at most ``max_width_mm``, and
-    the skeleton is at least 1 mm and 1.5 median widths long. A component's mask is built in the task that has it; components
+    the skeleton is at least 1 mm and 1.5 median widths long (unless ``long_enough`` is off, for strokes that are measured later). A component's mask is built in the task that has it; components
     whose cell count alone is too large for their box to be thin aren't sent.
     """
 
@@ -197,7 +239,7 @@ def thin_areas(cells: DataFrame, cell_mm: float, max_width_mm: float) -> DataFra
             return empty
         width = np.sort((2 * dist[ys, xs] - 1) * cell_mm)
         p90, median = width[int((len(width) - 1) * 0.9)], width[len(width) // 2]
-        if (2 * dist.max() - 1) * cell_mm > 1.6 * max_width_mm or p90 > max_width_mm or len(xs) * cell_mm < max(1.0, 1.5 * median):
+        if (2 * dist.max() - 1) * cell_mm > 1.6 * max_width_mm or p90 > max_width_mm or (long_enough and len(xs) * cell_mm < max(1.0, 1.5 * median)):
             return empty
         return pd.DataFrame({"image_id": key[0], "comp_id": key[1], "x": xs + x0, "y": ys + y0, "width": (2 * dist[ys, xs] - 1) * cell_mm})
 

@@ -98,20 +98,29 @@ def bounds(s: DataFrame, designs: DataFrame | None = None) -> DataFrame:
     return b.withColumn("width", F.col("max_x") - F.col("min_x")).withColumn("height", F.col("max_y") - F.col("min_y"))
 
 
-def _used(s: DataFrame) -> DataFrame:
-    """``mm`` of thread that each record takes, and whether it starts a run."""
-    s = with_move(with_block(s)).withColumn("_live", F.coalesce(F.lag("k").over(in_order()).isin(STITCH, JUMP), F.lit(False)))
+def thread_taken(s: DataFrame, before: Column) -> DataFrame:
+    """``s`` (k, move, ...) with ``mm`` of thread that each record takes, and whether it starts a run; ``before``: the kind of the record before."""
+    s = s.withColumn("_live", F.coalesce(before.isin(STITCH, JUMP), F.lit(False)))
     mm = F.when(F.col("_live") & (F.col("k") == STITCH), F.col("move") / 10 + PENETRATION_MM).when(F.col("k") == STITCH, 2 * TAIL_MM).when(F.col("_live") & (F.col("k") == JUMP), F.col("move") / 10).otherwise(0.0)
     return s.withColumn("mm", mm).withColumn("starts", ((F.col("k") == STITCH) & ~F.col("_live")).cast("int"))
 
 
+def _used(s: DataFrame) -> DataFrame:
+    return thread_taken(with_move(with_block(s)), F.lag("k").over(in_order()))
+
+
 def thread_usage(s: DataFrame, design_threads: DataFrame) -> DataFrame:
     """(design_id, block, top_m, bobbin_m, runs): a row per colour block, and one of null block with the design's totals.
 
     A stitch on a running thread takes its length and PENETRATION_MM, the first of a run two tails; a jump carries the thread
     along; trims and colour changes cut it. Lengths beyond the last thread are left out, runs there count in the totals.
     """
-    each = _used(s).groupBy("design_id", "block").agg(F.sum("mm").alias("mm"), F.sum("starts").alias("runs"))
+    return usage_by_block(_used(s), design_threads)
+
+
+def usage_by_block(used: DataFrame, design_threads: DataFrame) -> DataFrame:
+    """Sums of ``thread_taken``, see ``thread_usage``."""
+    each = used.groupBy("design_id", "block").agg(F.sum("mm").alias("mm"), F.sum("starts").alias("runs"))
     # runs in blocks that have no thread are kept, under their block, for the totals
     known = design_threads.select("design_id", "block", F.lit(True).alias("named"))
     rows = known.join(each, ["design_id", "block"], "full")

@@ -74,7 +74,13 @@ def outline_centre(spark, d):
     return rounded(P.outline_centre(P.resample(path_points(spark, d), 3.0), 2.0, True), "x", "y")
 
 
-@query()
+@query(f"""WITH RECURSIVE {STITCHES}, {PATH_POINTS}, pt AS MATERIALIZED (SELECT * FROM path_points), nxt AS MATERIALIZED (SELECT a.path_id, a.seq, min(b.seq) AS after FROM pt a JOIN pt b ON b.path_id = a.path_id AND b.seq > a.seq AND sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) >= 12 GROUP BY 1, 2),
+kept AS (SELECT path_id, 0 AS seq FROM pt WHERE seq = 0 UNION ALL SELECT n.path_id, n.after FROM kept k JOIN nxt n ON n.path_id = k.path_id AND n.seq = k.seq),
+ends AS (SELECT path_id, max(seq) AS last FROM pt GROUP BY 1), far AS (SELECT path_id, max(seq) AS seq FROM kept GROUP BY 1),
+tail AS (SELECT e.path_id, e.last AS seq FROM ends e JOIN far f USING (path_id) JOIN pt a ON a.path_id = e.path_id AND a.seq = e.last JOIN pt b ON b.path_id = e.path_id AND b.seq = f.seq WHERE f.seq < e.last AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) > 0.1),
+chosen AS (SELECT p.* FROM (SELECT * FROM kept UNION ALL SELECT * FROM tail) k JOIN pt p USING (path_id, seq)),
+sized AS (SELECT path_id, count(*) AS n, sum(d) AS size FROM (SELECT path_id, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM chosen WINDOW w AS (PARTITION BY path_id ORDER BY seq)) GROUP BY 1)
+SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY seq) - 1 AS INTEGER) AS seq, x, y FROM chosen JOIN sized USING (path_id) WHERE n > 1 AND size >= 1.5""")
 def thin_path(spark, d):
     return P.thin_path(path_points(spark, d), gap=12.0)
 
@@ -177,6 +183,7 @@ def runs_of_fill(spark, d):
     return cut(L.fill_runs(L.points_in_mask(samples, runs, CELL_MM), CELL_MM))
 
 
+#: Passes, scan rows and samples of a fill.
 FILL = f"""{AREAS}, passes AS (SELECT a.*, p.* FROM areas a, (VALUES (0, radians(120.0::DOUBLE), 2.0::DOUBLE, -0.4::DOUBLE, 1.0::DOUBLE, 3.0::DOUBLE), (1, radians(30.0::DOUBLE), 0.4::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 2.5::DOUBLE)) p(phase, turn, spacing, extend, least, stitch) WHERE phase = 1 OR n_cells * 0.04::DOUBLE > 12),
 corners AS (SELECT image_id, comp_id, phase, (x * cos(turn) + y * sin(turn)) * 0.2 AS u, (y * cos(turn) - x * sin(turn)) * 0.2 AS v FROM (SELECT *, unnest([x0, x0, x1 + 1, x1 + 1]) AS x, unnest([y0, y1 + 1, y0, y1 + 1]) AS y FROM passes)),
 boxes AS (SELECT image_id, comp_id, phase, min(u) AS ua, max(u) AS ub, min(v) AS va, max(v) AS vb FROM corners GROUP BY 1, 2, 3),
@@ -200,14 +207,25 @@ def fill_runs(spark, d):
     return runs_of_fill(spark, d).select("image_id", "comp_id", "phase", "row", "run", *[F.round(c, 5).alias(c) for c in ("u0", "u1", "v")], "stitch")
 
 
-@query()
+SEWN = f"{INNER}, sewn AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY image_id, comp_id, phase, row ORDER BY u0) - 1 AS INTEGER) AS run FROM pieces WHERE u1 - u0 >= least)"
+
+
+@query(f"""{BASE}, {FILL}, {SEWN}, hit AS (SELECT a.image_id, a.comp_id, a.phase, a.row, a.run, b.run AS up, count(*) OVER (PARTITION BY a.image_id, a.comp_id, a.phase, a.row, a.run) AS n, count(*) OVER (PARTITION BY b.image_id, b.comp_id, b.phase, b.row, b.run) AS m
+  FROM sewn a JOIN sewn b ON a.image_id = b.image_id AND a.comp_id = b.comp_id AND a.phase = b.phase AND a.row = b.row + 1 WHERE a.u0 < b.u1 AND b.u0 < a.u1),
+sole AS MATERIALIZED (SELECT * FROM hit WHERE n = 1 AND m = 1),
+starts AS (SELECT image_id, comp_id, phase, row, run, row_number() OVER (PARTITION BY image_id, comp_id, phase ORDER BY row, run) - 1 AS cell FROM sewn ANTI JOIN sole USING (image_id, comp_id, phase, row, run)),
+chained AS (SELECT * FROM starts UNION ALL SELECT c.image_id, c.comp_id, c.phase, s.row, s.run, c.cell FROM chained c JOIN sole s ON s.image_id = c.image_id AND s.comp_id = c.comp_id AND s.phase = c.phase AND s.row = c.row + 1 AND s.up = c.run)
+SELECT image_id, comp_id, phase, CAST(row AS INTEGER) AS row, run, cell FROM chained""")
 def fill_cells(spark, d):
-    return L.fill_cells(runs_of_fill(spark, d))
+    return L.fill_cells(runs_of_fill(spark, d)).select("image_id", "comp_id", "phase", "row", "run", "cell")
 
 
-@query()
+@query(f"""{BASE}, {FILL}, {SEWN}, grid AS (SELECT *, (row % 3) / 3.0::DOUBLE * stitch AS off FROM sewn),
+us AS (SELECT *, list_concat([u0], list_filter(list_transform(range(CAST(ceil((u0 - off) / stitch) AS BIGINT), CAST(floor((u1 - off) / stitch) AS BIGINT) + 1), lambda k: off + k * stitch), lambda u: u > u0 + stitch * 0.3::DOUBLE AND u < u1 - stitch * 0.3::DOUBLE), [u1]) AS u FROM grid),
+turned AS (SELECT *, CASE WHEN row % 2 = 1 THEN list_reverse(u) ELSE u END AS w FROM us)
+SELECT image_id, comp_id, phase, CAST(row AS INTEGER) AS row, run, CAST(i - 1 AS INTEGER) AS i, round(w[i], 5) + 0 AS u FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM turned)""")
 def row_stitches(spark, d):
-    return L.row_stitches(runs_of_fill(spark, d))
+    return L.row_stitches(runs_of_fill(spark, d)).withColumn("u", F.round("u", 5) + 0.0)
 
 
 @query()

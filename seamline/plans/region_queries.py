@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seamline.operators import centerlines as C
 from seamline.operators import raster as R
 from seamline.operators import regions as G
 from seamline.plans.adapters import CELL_MM, CELLS, cells
@@ -134,6 +135,35 @@ def satin_parent(spark, d):
     return G.satin_parent(stats, G.adjacency(runs), stats.where("n_cells < 6").select("image_id", "comp_id"))
 
 
+#: The specks of the rings as satin strokes: they enclose nothing, and the largest other area that they touch is their parent.
+SATIN = RINGS.replace("JOIN box p ON p.image_id = h.image_id AND p.comp_id = h.comp_id)", "JOIN box p ON p.image_id = h.image_id AND p.comp_id = h.comp_id AND p.label <> 2)") + """,
+touch AS (SELECT DISTINCT p.image_id, p.comp_id, q.comp_id AS b FROM comps p JOIN comps q ON p.image_id = q.image_id AND q.y BETWEEN p.y - 1 AND p.y + 1 AND ((q.y = p.y AND (q.x0 = p.x1 + 1 OR p.x0 = q.x1 + 1)) OR (q.y <> p.y AND p.x0 <= q.x1 AND q.x0 <= p.x1)) WHERE p.label = 2 AND q.label <> 2),
+largest AS (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY t.image_id, t.comp_id ORDER BY x.n_cells DESC, t.b) AS o FROM touch t JOIN box x ON x.image_id = t.image_id AND x.comp_id = t.b) WHERE o = 1),
+lifted AS (SELECT p.image_id, p.comp_id, coalesce(l.b, p.parent) AS parent FROM parents p LEFT JOIN largest l USING (image_id, comp_id))"""
+
+
+def satin_tables(spark, d):
+    runs, stats = ring_tables(spark, d)
+    adj, satin = cut(G.adjacency(runs)), stats.where("label = 2").select("image_id", "comp_id")
+    return stats, cut(G.satin_parents(stats, runs, adj, satin)), adj, satin
+
+
+@query(f"""{SATIN}, above AS (SELECT image_id, comp_id, parent AS up, 1 AS depth FROM lifted WHERE parent IS NOT NULL UNION ALL SELECT a.image_id, a.comp_id, p.parent, a.depth + 1 FROM above a JOIN lifted p ON p.image_id = a.image_id AND p.comp_id = a.up WHERE p.parent IS NOT NULL),
+deep AS (SELECT p.image_id, p.comp_id, p.parent, coalesce(max(a.depth), 0) AS depth FROM lifted p LEFT JOIN above a USING (image_id, comp_id) GROUP BY 1, 2, 3),
+least AS (SELECT t.image_id, t.comp_id, max(e.depth) + 1 AS least FROM touch t JOIN deep e ON e.image_id = t.image_id AND e.comp_id = t.b JOIN lifted l ON l.image_id = t.image_id AND l.comp_id = t.comp_id WHERE l.parent IS DISTINCT FROM t.b GROUP BY 1, 2)
+SELECT d.image_id, d.comp_id, d.parent, CAST(greatest(d.depth, coalesce(l.least, 0)) AS INTEGER) AS depth FROM deep d LEFT JOIN least l USING (image_id, comp_id)""")
+def satin_nesting_depth(spark, d):
+    stats, parents, adj, satin = satin_tables(spark, d)
+    return G.nesting_depth(parents, adj=adj, satin=satin).select("image_id", "comp_id", "parent", F.col("depth").cast("int").alias("depth"))
+
+
+@query(f"""{SATIN}, over_ AS (SELECT image_id, comp_id, parent FROM lifted WHERE parent IS NOT NULL UNION ALL SELECT image_id, comp_id, b FROM touch)
+SELECT b.image_id, u.label AS below, b.label AS above, CAST(sum(b.n_cells) AS BIGINT) AS weight FROM box b JOIN over_ p USING (image_id, comp_id) JOIN box u ON u.image_id = p.image_id AND u.comp_id = p.parent WHERE u.label <> b.label GROUP BY 1, 2, 3""")
+def satin_layer_weights(spark, d):
+    stats, parents, adj, satin = satin_tables(spark, d)
+    return G.layer_weights(stats, parents, 1, adj, satin)
+
+
 SIDES = "(SELECT unnest([{'nx': 0, 'ny': -1, 'ax': 1, 'ay': 0, 'bx': 0, 'by_': 0}, {'nx': 0, 'ny': 1, 'ax': 0, 'ay': 1, 'bx': 1, 'by_': 1}, {'nx': -1, 'ny': 0, 'ax': 0, 'ay': 0, 'bx': 0, 'by_': 1}, {'nx': 1, 'ny': 0, 'ax': 1, 'ay': 1, 'bx': 1, 'by_': 0}]) AS s)"
 EDGES = f"edges AS (SELECT c.image_id, c.comp_id, c.x + s.ax AS ax, c.y + s.ay AS ay, c.x + s.bx AS bx, c.y + s.by_ AS by_, coalesce(n.comp_id, -1) AS other FROM regions c CROSS JOIN {SIDES} LEFT JOIN regions n ON n.image_id = c.image_id AND n.x = c.x + s.nx AND n.y = c.y + s.ny WHERE coalesce(n.comp_id, -1) <> c.comp_id)"
 
@@ -160,3 +190,25 @@ def thin_areas(spark, d):
 def skeleton_degree(spark, d):
     c = cells(spark, d).where("label >= 0")
     return G.skeleton_degree(cut(G.thin_areas(R.with_component(c, R.connected_components(c, 8)), CELL_MM, 1.0)))
+
+
+def bar_cells(spark, d):
+    """Strokes on each image's grid: crossing bars three cells wide, every 12 cells across and 9 down, broken where an image's number says so."""
+    x, y, i = F.col("x"), F.col("y"), F.col("image_id")
+    bar = (x % 12 < 3) & ((y + i) % 31 != 0) | (y % 9 < 3) & ((x + i) % 23 != 0)
+    return cells(spark, d).withColumn("label", F.when(bar, 1).otherwise(-1)).where("label = 1")
+
+
+@query()
+def trace_strokes(spark, d):
+    """Skeletons of the bars as ordered strokes."""
+    c = bar_cells(spark, d)
+    skeleton = G.thin_areas(R.with_component(c, R.connected_components(c, 8)), CELL_MM, 2.0, long_enough=False)
+    return C.trace_strokes(cut(skeleton), CELL_MM)
+
+
+@query()
+def centre_lines(spark, d):
+    """Satin paths of the bars, with widths."""
+    c = bar_cells(spark, d)
+    return C.centre_lines(cut(R.with_component(c, R.connected_components(c, 8))), CELL_MM, 2.0)
