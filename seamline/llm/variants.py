@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.bytesets import Powers, mix
@@ -206,27 +206,40 @@ def tries(words: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return made.where("is_edge").select(*(x.split()[0] for x in _EDGE.split(", "))), made.where("not is_edge").select(*(x.split()[0] for x in _STATE.split(", ")))
 
 
+def _bit(text) -> Column:
+    """A bit for the first character of ``text``."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(text), F.lit(63)))
+
+
 def _nodes(edges: DataFrame) -> DataFrame:
-    """(node, edges): the edges of each node, at most one for each letter and one more; words that end with an edge come with it."""
+    """(node, edges): the edges of each node, at most one for each letter and one more.
+
+    Words that end with an edge come with it (``ends``), and a bit for each character that may follow (``after``).
+    """
     one = edges.groupBy("node", "label", "child").agg(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "n"))).alias("ends"))
-    return one.groupBy("node").agg(F.collect_list(F.struct("label", "child", "ends")).alias("edges"))
+    follow = edges.where("label <> ''").groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit("label")).alias("after"))
+    return one.join(follow, "child", "left").groupBy("node").agg(F.collect_list(F.struct("label", "child", "ends", F.coalesce("after", F.lit(0).cast("long")).alias("after"))).alias("edges"))
 
 
 def _first_edits(rows: DataFrame) -> DataFrame:
-    """States with one edit: at the edges ``e`` that leave a word's own path, the next character is replaced, another put before it, or it goes."""
+    """States with one edit: at the edges ``e`` that leave a word's own path, the next character is replaced, another put before it, or it goes.
+
+    A state stays if it is at its word's end where a word ends, or something goes on from there with its next character.
+    """
     rest, label = F.col("rest"), F.col("e.label")
     head, left, tail = F.substr(label, F.lit(1), F.lit(1)), F.substr(label, F.lit(2)), F.substr(rest, F.lit(2))
     done = F.substr("key", F.lit(1), F.col("position"))
     beyond = lambda s, by: F.substr(s, F.length(by) + 1)
-    step = lambda ok, near, now: F.when(ok, F.struct(near.alias("near"), now.alias("rest")))
+    goes_on = lambda s: F.when(s == "", F.size("e.ends") > 0).otherwise(F.col("e.after").bitwiseAND(_bit(s)) != 0)
     some = label != ""
-    edits = F.array(
-        step(some & (rest != "") & F.startswith(tail, left), F.concat(done, head, tail), beyond(tail, left)),
-        step(some & F.startswith(rest, left), F.concat(done, head, rest), beyond(rest, left)),
-        step((rest != "") & F.startswith(tail, label), F.concat(done, tail), beyond(tail, label)),
-    )
-    away = rows.where((rest == "") | (head != F.substr(rest, F.lit(1), F.lit(1))))
-    return away.select("word", "back", "e", F.explode(F.array_compact(edits)).alias("s")).select("word", "back", "s.near", "s.rest", "e.child", "e.ends")
+    kinds = [
+        (some & (rest != "") & F.startswith(tail, left) & goes_on(beyond(tail, left)), F.concat(done, head, tail), beyond(tail, left)),
+        (some & F.startswith(rest, left) & goes_on(beyond(rest, left)), F.concat(done, head, rest), beyond(rest, left)),
+        ((rest != "") & F.startswith(tail, label) & goes_on(beyond(tail, label)), F.concat(done, tail), beyond(tail, label)),
+    ]
+    away = rows.where((rest == "") | (head != F.substr(rest, F.lit(1), F.lit(1)))).where(kinds[0][0] | kinds[1][0] | kinds[2][0])
+    edits = F.array_compact(F.array(*(F.when(ok, F.struct(near.alias("near"), now.alias("rest"))) for ok, near, now in kinds)))
+    return away.select("word", "back", "e", F.explode(edits).alias("s")).select("word", "back", "s.near", "s.rest", "e.child", "e.ends")
 
 
 def _following(rows: DataFrame) -> DataFrame:
