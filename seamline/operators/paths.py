@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from seamline.operators.graph import numbered
 from seamline.operators.regions import boundary_edges
 from seamline.operators.stitch import COLOR, STITCH, TRIM
-from seamline.session import cut
+from seamline.session import Scratch, cut
 
 
 def along() -> Window:
@@ -83,19 +83,35 @@ def _struct(df: DataFrame):
 def resample(points: DataFrame, spacing: float) -> DataFrame:
     """(path_id, i, s, x, y, tx, ty): n + 1 even samples, n = round(length / spacing) at least 1, with unit tangents over up to 0.5 mm to each side. Paths of 0.05 mm or less give none.
 
-    Loops (``closed``) are sampled back to their first point, and their tangents reach over it.
+    Loops (``closed``) are sampled back to their first point, and their tangents reach over it. Every segment makes the samples, and the ends of their tangents, that lie on it:
+    its arc lengths tell which may, and each is then tested, so a place between two segments belongs to one. All of it follows one sort of the points.
     """
-    points = end_where_begun(points)
-    total = with_arc(points).groupBy("path_id").agg(F.max("arc").alias("total"), F.bool_or("closed").alias("closed")).where("total > 0.05")
+    w, whole = along(), Window.partitionBy("path_id")
+    rows = with_arc(end_where_begun(points)).withColumn("_b", F.lead(F.struct("arc", "x", "y")).over(w))
+    rows = rows.withColumns({"total": F.max("arc").over(whole), "closed": F.bool_or("closed").over(whole)}).where("total > 0.05 and arc < _b.arc")
     n = F.greatest(F.lit(1), F.round(F.col("total") / spacing)).cast("int")
-    spots = total.withColumn("n", n).withColumn("delta", F.least(F.lit(0.5), F.col("total") / 4)).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
-    spots = spots.withColumn("mid", F.col("i") * (F.col("total") / F.col("n")))
-    back, ahead = F.col("mid") - F.col("delta"), F.col("mid") + F.col("delta")
-    sides = {0: F.col("mid"), -1: F.when(F.col("closed"), F.pmod(back, "total")).otherwise(F.greatest(F.lit(0.0), back)), 1: F.when(F.col("closed"), F.pmod(ahead, "total")).otherwise(F.least("total", ahead))}
-    three = spots.select("path_id", "i", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), s.alias("s")) for j, s in sides.items()])).alias("v"))
-    got = interpolate_at(points, three.select("path_id", "i", "v.j", "v.s"))
+    rows = rows.withColumns({"n": n, "delta": F.least(F.lit(0.5), F.col("total") / 4)}).withColumn("step", F.col("total") / F.col("n"))
+
+    def among(shift: Column) -> Column:
+        low, high = (F.greatest(F.lit(0), F.least(F.col("n"), f((F.col(c) - shift) / F.col("step")).cast("int"))) for f, c in ((F.floor, "arc"), (F.ceil, "_b.arc")))
+        low, high = F.when(F.col("arc") <= 0, 0).otherwise(low), F.when(F.col("_b.arc") >= F.col("total"), F.col("n")).otherwise(high)  # what is clamped lies at the ends
+        return F.sequence(low, high)
+
+    def may(j: int) -> Column:
+        at = F.array_union(among(F.lit(float(j)) * F.col("delta")), F.when(F.col("closed"), among(j * (F.col("delta") - F.col("total")))).otherwise(F.array().cast("array<int>")))
+        return F.transform(at, lambda i: F.struct(F.lit(j).alias("j"), i.alias("i")))
+
+    rows = rows.select("path_id", "arc", "x", "y", "_b", "total", "closed", "delta", "step", F.explode(F.concat(*(may(j) for j in (0, -1, 1)))).alias("v"))
+    mid = F.col("v.i") * F.col("step")
+    back, ahead = mid - F.col("delta"), mid + F.col("delta")
+    side = lambda bound, to: F.when(F.col("closed"), F.pmod(to, "total")).otherwise(bound)
+    s = F.when(F.col("v.j") == 0, mid).when(F.col("v.j") < 0, side(F.greatest(F.lit(0.0), back), back)).otherwise(side(F.least("total", ahead), ahead))
+    rows = rows.withColumn("s", F.least("total", s))
+    rows = rows.where((F.col("s") >= F.col("arc")) & ((F.col("s") < F.col("_b.arc")) | (F.col("_b.arc") >= F.col("total"))))
+    t = (F.col("s") - F.col("arc")) / (F.col("_b.arc") - F.col("arc"))
+    rows = rows.select("path_id", "v.i", "v.j", "s", *[(F.col(c) + (F.col(f"_b.{c}") - F.col(c)) * t).alias(c) for c in "xy"])
     at = lambda j, c: F.max(F.when(F.col("j") == j, F.col(c)))
-    one = got.groupBy("path_id", "i").agg(at(0, "s").alias("s"), at(0, "x").alias("x"), at(0, "y").alias("y"), (at(1, "x") - at(-1, "x")).alias("dx"), (at(1, "y") - at(-1, "y")).alias("dy"))
+    one = rows.groupBy("path_id", "i").agg(at(0, "s").alias("s"), at(0, "x").alias("x"), at(0, "y").alias("y"), (at(1, "x") - at(-1, "x")).alias("dx"), (at(1, "y") - at(-1, "y")).alias("dy"))
     size = F.greatest(F.lit(1e-9), F.hypot("dx", "dy"))
     return one.select("path_id", "i", "s", "x", "y", (F.col("dx") / size).alias("tx"), (F.col("dy") / size).alias("ty"))
 
@@ -186,27 +202,32 @@ def rank_chains(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(chain, seq, a, b, closed) of ``edges`` (edge, next): the order of elements in successor lists and loops.
 
     ``edge`` is a number, ``next`` the one after it or null. Pointer doubling: after log(longest) self joins each element knows how far its
-    chain's end is. A loop is cut before its least element, which a doubling of minima finds. Raises if ``rounds`` don't do.
+    chain's end is. A loop is cut before its least element, which a doubling of minima finds. Raises if ``rounds`` don't do. Rounds are tables in the
+    shared folder: a checkpoint keeps size estimates, which each join of a round with itself squares, until planning takes longer than the work.
     """
-    e = cut(edges.select("edge", "next"))
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.keep(edges.select("edge", "next"))
     # the least element that can be reached, and whether the end can
-    reach = e.select("edge", F.col("next").alias("to"), F.col("edge").alias("low"))
+    reach = scratch.keep(e.select("edge", F.col("next").alias("to"), F.col("edge").alias("low"), F.lit(True).alias("moved")))
     for _ in range(rounds):
         step = reach.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        new = cut(reach.join(step, "to", "left").select("edge", F.col("to2").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.coalesce("low2", "low") < F.col("low")).alias("moved")))
-        reach = new.drop("moved")
+        new = scratch.keep(reach.join(step, "to", "left").select("edge", F.col("to2").alias("to"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.coalesce("low2", "low") < F.col("low")).alias("moved")))
+        scratch.drop(reach)
+        reach = new
         if new.where("moved").isEmpty() and (new.where("to is not null").isEmpty() or not _more(new)):
             break
     else:
         raise RuntimeError(f"chains not ranked in {rounds} rounds")
     loops = reach.where("to is not null").select("edge", "low")
     opened = e.join(loops, "edge", "left").select("edge", F.when(F.col("next") == F.col("low"), None).otherwise(F.col("next")).alias("next"), F.col("low").isNotNull().alias("closed"))
-    hop = cut(opened.select("edge", F.col("next").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("left"), F.when(F.col("next").isNull(), F.col("edge")).alias("tail"), "closed"))
+    hop = scratch.keep(opened.select("edge", F.col("next").alias("to"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("left"), F.when(F.col("next").isNull(), F.col("edge")).alias("tail"), "closed"))
     for _ in range(rounds):
         if hop.where("to is not null").isEmpty():
             break
         step = hop.select(F.col("edge").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"), F.col("tail").alias("tail2"))
-        hop = cut(hop.join(step, "to", "left").select("edge", F.col("to2").alias("to"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"), F.coalesce("tail", "tail2").alias("tail"), "closed"))
+        new = scratch.keep(hop.join(step, "to", "left").select("edge", F.col("to2").alias("to"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left"), F.coalesce("tail", "tail2").alias("tail"), "closed"))
+        scratch.drop(hop)
+        hop = new
     else:
         raise RuntimeError(f"chains not ranked in {rounds} rounds")
     seq = F.row_number().over(Window.partitionBy("tail").orderBy(F.desc("left"))) - 1

@@ -48,6 +48,15 @@ def content_box(pixels: DataFrame) -> DataFrame:
     return box.select("image_id", x.alias("x"), y.alias("y"), (F.least("w", F.col("x1") + 3) - x).alias("width"), (F.least("h", F.col("y1") + 3) - y).alias("height"))
 
 
+def crop(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``pixels`` inside their image's box (image_id, x, y, width, height), moved to its corner; images without one stay. Boxes are a row an image."""
+    b = boxes.select("image_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "width", "height")
+    at = pixels.join(b, "image_id", "left")
+    inside = (F.col("x") >= F.col("_x")) & (F.col("x") < F.col("_x") + F.col("width")) & (F.col("y") >= F.col("_y")) & (F.col("y") < F.col("_y") + F.col("height"))
+    kept = at.where(F.col("_x").isNull() | inside)
+    return kept.select(*[(F.col(c) - F.coalesce(f"_{c}", F.lit(0))).cast("int").alias(c) if c in "xy" else F.col(c) for c in pixels.columns])
+
+
 def coverage(cells: DataFrame) -> DataFrame:
     """(image_id, cluster, cells, coverage): share of the opaque cells, 0 without any."""
     n = cells.where("label >= 0").groupBy("image_id", F.col("label").alias("cluster")).agg(F.count("*").alias("cells"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.functions.colour import lab_to_rgb, rgb_to_lab
 from seamline.operators import catalogue as K
+from seamline.operators import centerlines as C
 from seamline.operators import fill as L
 from seamline.operators import paths as P
 from seamline.operators import raster as R
@@ -31,10 +32,44 @@ def plan_colours(small: DataFrame, grid: DataFrame, threads: DataFrame, range_id
     return cells, clusters, choices.select("image_id", "cluster", "thread_id", "enabled", "place")
 
 
-def digitize(cells: DataFrame, choices: DataFrame, cell_mm: float = 0.2, spacing: float = 0.4, angle: float = 30.0, pull: float = 0.2, trim_mm: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """(stitches, design_threads): every layer's areas as tatami fills, in layered order, in 0.1 mm units.
+PIECE = ["image_id", "comp_id", "phase", "cell"]
+#: What of an area is sewn, in this order: underlay and fill, or satin strokes; then the area's outline.
+UNDERLAY, FILL, SATIN, OUTLINE = 0, 1, 2, 3
 
-    Areas follow one another by nesting depth and layer (what encloses another layer goes before it), those of one group by nearest anchor;
+
+def _columns(points: DataFrame, phase: int, satin_spacing: float) -> DataFrame:
+    """Satin columns along ``points`` (image_id, comp_id, path_id, seq, x, y, width, closed): a run out along the middle, in row 0, and the zigzag back, in row 1."""
+    key = F.struct("image_id", "comp_id", "path_id").alias("path_id")
+    lines = cut(points.select(key, "seq", "x", "y", "width", "closed"))
+    samples = cut(P.resample(lines, satin_spacing / 2))
+    wide = cut(P.interpolate_at(lines, samples.select("path_id", "i", "s"), ("width",)).select("path_id", "i", "width"))
+    zig = P.zigzag(samples.join(wide, ["path_id", "i"]), F.col("width"))
+    return _rows(samples.select("path_id", F.col("i"), "x", "y"), zig, phase)
+
+
+def _rows(middle: DataFrame, zig: DataFrame, phase: int) -> DataFrame:
+    """Sewing points of columns: ``middle`` (path_id, i, x, y) and ``zig`` (path_id, seq, x, y), legs of up to 2 and 12 mm."""
+    both = middle.select("path_id", F.lit(0).alias("row"), F.col("i").cast("int").alias("i"), F.lit(2.0).alias("stitch"), "x", "y").unionByName(zig.select("path_id", F.lit(1).alias("row"), F.col("seq").cast("int").alias("i"), F.lit(12.0).alias("stitch"), "x", "y"))
+    return both.select("path_id.image_id", "path_id.comp_id", F.lit(phase).alias("phase"), F.col("path_id.path_id").alias("cell"), "row", "i", "stitch", "x", "y")
+
+
+def _outlines(own: DataFrame, style: str, width: float, pull: float, cell_mm: float, satin_spacing: float) -> DataFrame:
+    """Sewing points of the borders of the areas ``own`` (image_id, x, y, comp_id): a run ("running"), or satin from the border inwards."""
+    chains = cut(P.boundary_chains(own, cell_mm))
+    if style == "running":
+        return chains.select("image_id", "comp_id", F.lit(OUTLINE).alias("phase"), F.col("path_id").alias("cell"), F.lit(0).alias("row"), F.col("seq").cast("int").alias("i"), F.lit(2.5).alias("stitch"), "x", "y")
+    samples = cut(P.resample(chains.select(F.struct("image_id", "comp_id", "path_id").alias("path_id"), "seq", "x", "y", "closed"), satin_spacing / 2))
+    return _rows(P.outline_centre(samples, width, True, pull).withColumnRenamed("seq", "i"), P.outline_zigzag(samples, width, True, pull), OUTLINE)
+
+
+def digitize(
+    cells: DataFrame, choices: DataFrame, cell_mm: float = 0.2, spacing: float = 0.4, angle: float = 30.0, pull: float = 0.2, trim_mm: float = 2.0,
+    satin_mm: float | None = None, satin_spacing: float = 0.4, outline: str = "none", outline_mm: float = 2.0, by_layer: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(stitches, design_threads): every layer's areas in layered order, in 0.1 mm units.
+
+    With ``satin_mm``, areas nowhere much wider are satin columns along their centre lines, which lie over what they touch; other areas are tatami fills, followed by their ``outline`` (none, running or
+    satin of ``outline_mm``). Areas follow one another by nesting depth and layer (what encloses another layer goes before it), or ``by_layer`` with the fewest colour changes; those of one group by nearest anchor;
     an area's fill is cut into cells around its holes, taken nearest first. A way to the next cell is sewn if it is short or stays in the area, else
     trimmed; a new thread starts with COLOR, a cut with TRIM, both followed by a STITCH at the same point. Thread is tied in and off at every cut,
     and long legs are divided. Specks are not sewn.
@@ -42,43 +77,62 @@ def digitize(cells: DataFrame, choices: DataFrame, cell_mm: float = 0.2, spacing
     layers = R.layer_map(cells, choices).where("layer >= 0").select("image_id", "x", "y", F.col("layer").alias("label"))
     runs = cut(R.connected_components(layers, 8))
     stats = cut(G.drop_specks(G.component_stats(runs, cell_mm), cell_mm))
-    parents = cut(G.enclosing(stats, runs))
-    ranks = G.layer_order(stats, G.layer_weights(stats, parents, int(4 / cell_mm**2)))
-    groups = cut(G.sewing_groups(G.layered_order(stats, G.nesting_depth(parents), ranks)).select("image_id", "comp_id", "label", "group"))
+    sewn_runs = runs.join(stats.select("image_id", "comp_id"), ["image_id", "comp_id"], "left_semi")
+    own = R.with_component(layers, sewn_runs).select("image_id", "x", "y", "comp_id")
+    least = int(4 / cell_mm**2)
+    flat, lines, satin, adj = stats, None, None, None
+    if satin_mm is not None:
+        lines = cut(C.centre_lines(cut(own), cell_mm, satin_mm, pull))
+        satin = cut(lines.select("image_id", "comp_id").distinct())
+        adj = cut(G.adjacency(sewn_runs))
+        parents = cut(G.satin_parents(stats, runs, adj, satin))
+        flat = stats.join(satin, ["image_id", "comp_id"], "left_anti")
+    else:
+        parents = cut(G.enclosing(stats, runs))
+    ranks = G.layer_order(stats, G.layer_weights(stats, parents, least, adj, satin))
+    depth = stats.select("image_id", "comp_id", F.lit(0).alias("depth")) if by_layer else G.nesting_depth(parents, adj=adj, satin=satin)
+    groups = cut(G.sewing_groups(G.layered_order(stats, depth, ranks)).select("image_id", "comp_id", "label", "group"))
     anchors = groups.join(stats.select("image_id", "comp_id", "anchor_x", "anchor_y"), ["image_id", "comp_id"])
     near = L.nearest_first(anchors.select(F.col("image_id").alias("design_id"), "group", F.col("comp_id").alias("item"), *[F.col(f"anchor_{c}").alias(f"{c}{i}") for i in (0, 1) for c in "xy"]))
     areas = groups.join(near.select(F.col("design_id").alias("image_id"), F.col("item").alias("comp_id"), "place"), ["image_id", "comp_id"])
     areas = cut(areas.select("image_id", "comp_id", "label", F.row_number().over(Window.partitionBy("image_id").orderBy("group", "place")).alias("area")))
     # the points of every cell of the fill, in mm
-    samples = L.scan_samples(L.fill_plan(stats.drop("label"), spacing, angle, pull), cell_mm)
+    samples = L.scan_samples(L.fill_plan(flat.drop("label"), spacing, angle, pull), cell_mm)
     fills = cut(L.fill_cells(cut(L.fill_runs(L.points_in_mask(samples, runs, cell_mm), cell_mm))))
     key = ["image_id", "comp_id", "phase", "row", "run"]
     points = L.row_stitches(fills).join(fills.select(*key, "cell", "v", "stitch"), key)
-    turn = F.radians(F.when(F.col("phase") == 0, angle + 90).otherwise(angle))
+    turn = F.radians(F.when(F.col("phase") == UNDERLAY, angle + 90).otherwise(angle))
     points = points.withColumns({"x": F.col("u") * F.cos(turn) - F.col("v") * F.sin(turn), "y": F.col("u") * F.sin(turn) + F.col("v") * F.cos(turn)})
-    points = cut(points.select("image_id", "comp_id", "phase", "cell", "row", "i", "stitch", "x", "y"))
+    points = points.select(*PIECE, "row", "i", "stitch", "x", "y")
+    if lines is not None:
+        points = points.unionByName(_columns(lines, SATIN, satin_spacing))
+    if outline != "none":
+        filled = own.join(flat.select("image_id", "comp_id"), ["image_id", "comp_id"], "left_semi")
+        points = points.unionByName(_outlines(filled, outline, outline_mm, pull, cell_mm, satin_spacing))
+    points = cut(points)
     at = F.struct("row", "i", "x", "y")
-    ends = points.groupBy("image_id", "comp_id", "phase", "cell").agg(F.min(at).alias("a"), F.max(at).alias("b")).join(areas, ["image_id", "comp_id"])
-    ends = cut(ends.select("image_id", "comp_id", "label", "area", "phase", "cell", *[F.col(f"{e}.{c}").alias(f"{c}{i}") for i, e in enumerate("ab") for c in "xy"]))
-    near = L.nearest_first(ends.select(F.col("image_id").alias("design_id"), (F.col("area") * 2 + F.col("phase")).alias("group"), F.col("cell").alias("item"), "x0", "y0", "x1", "y1"))
-    order = near.select(F.col("design_id").alias("image_id"), F.col("item").alias("cell"), "place")
+    ends = points.groupBy(*PIECE).agg(F.min(at).alias("a"), F.max(at).alias("b")).join(areas, ["image_id", "comp_id"])
+    ends = cut(ends.select(*PIECE, "label", "area", (F.col("area") * 4 + F.col("phase")).alias("group"), *[F.col(f"{e}.{c}").alias(f"{c}{i}") for i, e in enumerate("ab") for c in "xy"]))
+    near = L.nearest_first(ends.select(F.col("image_id").alias("design_id"), "group", F.col("cell").alias("item"), "x0", "y0", "x1", "y1"))
+    order = near.select(F.col("design_id").alias("image_id"), "group", F.col("item").alias("cell"), "place")
     first = choices.where("enabled").groupBy("image_id", "thread_id").agg(F.min("cluster").alias("f"))
     thread = first.withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy("f")) - 1).select("image_id", "label", "thread_id")
     w = Window.partitionBy("image_id").orderBy("area", "phase", "place")
-    pieces = cut(ends.join(order, ["image_id", "cell"]).join(thread, ["image_id", "label"]).withColumn("seq", F.row_number().over(w).cast("long")))
+    pieces = cut(ends.join(order, ["image_id", "group", "cell"]).join(thread, ["image_id", "label"]).withColumn("seq", F.row_number().over(w).cast("long")))
     # the way to each piece
     in_turn = Window.partitionBy("image_id").orderBy("seq")
     ways = pieces.select("image_id", "comp_id", "seq", F.lag("comp_id").over(in_turn).alias("old"), F.lag("x1").over(in_turn).alias("wx"), F.lag("y1").over(in_turn).alias("wy"), "x0", "y0").where("old = comp_id")
     held = L.segments_in_mask(ways.select(F.struct("image_id", "seq").alias("seg"), "image_id", "comp_id", F.col("wx").alias("x0"), F.col("wy").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1")), runs, cell_mm)
     kinds = P.travel_kind(pieces.join(held.select("seg.*", "inside"), ["image_id", "seq"], "left").withColumnRenamed("image_id", "design_id"), trim_mm)
     starts = F.col("kind").isin("start", "color", "trim")
-    kinds = cut(kinds.withColumn("path", F.sum(starts.cast("long")).over(Window.partitionBy("design_id").orderBy("seq"))).select(F.col("design_id").alias("image_id"), "cell", "seq", "thread_id", "kind", "path"))
+    kinds = kinds.withColumn("path", F.sum(starts.cast("long")).over(Window.partitionBy("design_id").orderBy("seq"))).withColumnRenamed("design_id", "image_id")
+    kinds = cut(kinds.select(*PIECE, "seq", "thread_id", "kind", "path"))
     # paths without a cut: legs divided, thread tied in and off
     path_id = F.struct("image_id", "path").alias("path_id")
     w = Window.partitionBy("image_id", "path").orderBy("seq", "row", "i")
     old = lambda c: F.lag(c).over(w)
-    sewn = points.join(kinds.select("image_id", "cell", "seq", "path"), ["image_id", "cell"])
-    # within a cell a leg takes the fill's stitch, between cells 3 mm
+    sewn = points.join(kinds.select(*PIECE, "seq", "path"), PIECE)
+    # within a piece a leg takes its stitch, between pieces 3 mm
     sewn = cut(sewn.select(path_id, F.row_number().over(w).alias("n"), old("x").alias("x0"), old("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.when(old("seq") == F.col("seq"), F.col("stitch")).otherwise(3.0).alias("reach")))
     legs = P.subdivide(sewn.where("n > 1").select(F.struct("path_id", "n").alias("leg"), "x0", "y0", "x1", "y1", "reach"), F.col("reach"))
     whole = legs.select("leg.path_id", "leg.n", "i", "x", "y").unionByName(sewn.where("n = 1").select("path_id", "n", F.lit(0).alias("i"), F.col("x1").alias("x"), F.col("y1").alias("y")))
