@@ -27,20 +27,21 @@ _SPACE = 32
 
 
 class _Letters:
-    """Code point to lower-case letter, or to the space that stands for a run of anything else. Built once a process."""
+    """Code point to lower-case letter or mark, or to the space that stands for a run of anything else; and whether it is a letter. Built once a process."""
 
     table: np.ndarray | None = None
+    letter: np.ndarray | None = None
 
     @classmethod
     def get(cls) -> np.ndarray:
         if cls.table is None:
-            t = np.full(0x110000, _SPACE, np.uint32)
-            for c in range(0x30000):
+            t, letter = np.full(0x110000, _SPACE, np.uint32), np.zeros(0x110000, bool)
+            for c in range(0x110000):
                 x = chr(c)
-                if unicodedata.category(x)[0] in "LM":
-                    low = x.lower()
-                    t[c] = ord(low[0])
-            cls.table = t
+                if (kind := unicodedata.category(x)[0]) in "LM":
+                    t[c] = ord(x.lower()[0])
+                    letter[c] = kind == "L"
+            cls.table, cls.letter = t, letter
         return cls.table
 
 
@@ -67,11 +68,12 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if (raw == 0).sum() != len(texts) + 1:
         texts = [t.replace("\0", " ") for t in texts]
         return trigrams(texts)
+    lettered = np.bincount(row[_Letters.letter[raw]], minlength=len(texts) + 1) > 0  # marks alone make no text of a language
     space = code == _SPACE
     keep = np.ones(len(code), bool)
     keep[1:] = ~(space[1:] & space[:-1] & (row[1:] == row[:-1]))
     code, row = code[keep].astype(np.int64), row[keep]
-    ok = (row[2:] == row[:-2]) & (code[1:-1] != _SPACE) if len(code) > 2 else np.zeros(0, bool)
+    ok = (row[2:] == row[:-2]) & (code[1:-1] != _SPACE) & lettered[row[1:-1]] if len(code) > 2 else np.zeros(0, bool)
     # a trigram has a letter in its middle, so that pairs across a space aren't bound to each other
     packed = (code[:-2] << 42 | code[1:-1] << 21 | code[2:])[ok]
     return row[1:-1][ok], packed

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from seamline.llm import byte_bpe, collocations, variants
+from seamline.llm import byte_bpe, collocations, language, variants
 from seamline.llm.queries import RANKS
 from tests.llm.test_edges import by_sql
 from tests.llm.test_llm import DOC, words_of
@@ -181,3 +181,11 @@ def test_tiles_sum_like_a_counter():
         tiles.add(x, y)
         want.update(zip(x.tolist(), y.tolist()))
     assert tiles.dense and dict(zip(zip(*(v.tolist() for v in tiles.sums()[:2])), tiles.sums()[2].tolist())) == want
+
+
+def test_letters_of_every_plane_count_and_marks_alone_do_not(spark):
+    rng = random.Random(3)
+    rows = [(i, words_of(rng, 60), "en") for i in range(20)] + [(100 + i, " ".join("".join(chr(0x30000 + rng.randrange(4)) for _ in range(5)) for _ in range(40)), "zh") for i in range(20)]
+    rows += [(200, "\U00030000\U00030001\U00030002 \U00030003", None), (201, "\u0301\u0302 \u0300", None), (202, "12 .", None), (203, None, None), (204, "e\u0301t\u00e9", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(frame_of(spark, rows)).collect()}
+    assert got[200] == "zh" and got[201] == got[202] == got[203] == "und" and got[204] in ("en", "zh")
