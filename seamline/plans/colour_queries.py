@@ -183,8 +183,9 @@ def range_counts(spark, d):
     return K.range_counts(threads(spark, d))
 
 
-@query(f"""WITH {THREADS}, a AS (SELECT thread_id, ord, name FROM threads WHERE ord % 3 <> 0), b AS (SELECT thread_id, ord, upper(name) AS name FROM threads WHERE ord % 2 = 0)
+@query(f"""WITH {THREADS}, a AS (SELECT CASE WHEN ord % 3 = 0 THEN 'a' || thread_id ELSE thread_id END AS thread_id, ord, name FROM threads), b AS (SELECT CASE WHEN ord % 2 = 0 THEN thread_id ELSE 'b' || thread_id END AS thread_id, ord, upper(name) AS name FROM threads)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE thread_id NOT IN (SELECT thread_id FROM a)""")
 def union_catalogues(spark, d):
     t = threads(spark, d).select("thread_id", "ord", "name")
-    return K.union_catalogues(t.where("ord % 3 <> 0"), t.where("ord % 2 = 0").withColumn("name", F.upper("name")))
+    other = lambda mark, own: F.when(own, F.col("thread_id")).otherwise(F.concat(F.lit(mark), "thread_id"))
+    return K.union_catalogues(t.withColumn("thread_id", other("a", F.col("ord") % 3 != 0)), t.withColumns({"thread_id": other("b", F.col("ord") % 2 == 0), "name": F.upper("name")}))

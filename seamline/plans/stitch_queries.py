@@ -150,19 +150,21 @@ def with_settings(spark, d):
     return S.with_settings(df, ranges=("house", "click")).select("design_id", "cell_mm", "color_count", "min_region_mm2", "underlay", "range_id")
 
 
-@query(f"""{WITH}, b AS (SELECT design_id, seq, CASE WHEN seq % 11 = 0 THEN x + 1 ELSE x END AS x, y, k FROM stitches WHERE seq % 50 <> 49)
+@query(f"""{WITH}, b AS (SELECT design_id, CASE WHEN seq % 50 = 49 THEN seq + 1000000 ELSE seq END AS seq, CASE WHEN seq % 11 = 0 THEN x + 1 ELSE x END AS x, y, k FROM stitches)
 SELECT coalesce(a.design_id, b.design_id) AS design_id, count(a.x) AS n_a, count(b.x) AS n_b, count(*) FILTER (a.x IS DISTINCT FROM b.x OR a.y IS DISTINCT FROM b.y OR a.k IS DISTINCT FROM b.k) AS differing
 FROM stitches a FULL JOIN b ON a.design_id = b.design_id AND a.seq = b.seq GROUP BY 1""")
 def roundtrip_diff(spark, d):
     a = stitches(spark, d)
-    return S.roundtrip_diff(a, a.where("seq % 50 <> 49").withColumn("x", F.when(F.col("seq") % 11 == 0, F.col("x") + 1).otherwise(F.col("x"))))
+    moved = {"seq": F.when(F.col("seq") % 50 == 49, F.col("seq") + 1_000_000).otherwise(F.col("seq")), "x": F.when(F.col("seq") % 11 == 0, F.col("x") + 1).otherwise(F.col("x"))}
+    return S.roundtrip_diff(a, a.withColumns(moved))
 
 
-@query(f"""{WITH}, a AS (SELECT design_id, x, y, k FROM stitches WHERE seq % 7 <> 0), b AS (SELECT design_id, x, y, k FROM stitches WHERE seq % 5 <> 0)
+@query(f"""{WITH}, a AS (SELECT design_id, CASE WHEN seq % 7 = 0 THEN x + 1000 ELSE x END AS x, y, k FROM stitches), b AS (SELECT design_id, CASE WHEN seq % 5 = 0 THEN x + 1000 ELSE x END AS x, y, k FROM stitches)
 SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def set_difference(spark, d):
     s = stitches(spark, d)
-    return S.set_difference(s.where("seq % 7 <> 0").drop("seq"), s.where("seq % 5 <> 0").drop("seq"))
+    side = lambda n: s.withColumn("x", F.when(F.col("seq") % n == 0, F.col("x") + 1000).otherwise(F.col("x"))).drop("seq")
+    return S.set_difference(side(7), side(5))
 
 
 @query(f"{ALL} SELECT design_id, count(DISTINCT thread_id) AS threads FROM design_threads GROUP BY 1")
@@ -170,9 +172,9 @@ def distinct_threads(spark, d):
     return design_threads(spark, d).groupBy("design_id").agg(F.count_distinct("thread_id").alias("threads"))
 
 
-@query("SELECT conv_id, turn, left(trim(regexp_replace(regexp_replace(strip_accents(left(text, 60)), '[^\\x20-\\x7e]', '', 'g'), '\\s+', ' ', 'g')), 16) AS label FROM conversations")
+@query("SELECT conv_id, turn, left(trim(regexp_replace(regexp_replace(strip_accents(text), '[^\\x20-\\x7e]', '', 'g'), '\\s+', ' ', 'g')), 16) AS label FROM conversations")
 def machine_label(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.machine_label(F.left("text", F.lit(60))).alias("label"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.machine_label(F.col("text")).alias("label"))
 
 
 @query("""SELECT page_id, coalesce(nullif(left(regexp_replace(trim(regexp_replace(regexp_replace('..' || url, '[\\\\/:*?"<>|\\x00-\\x1f]+', ' ', 'g'), '\\s+', ' ', 'g')), '^\\.+', ''), 60), ''), 'design') AS name FROM pages""")
