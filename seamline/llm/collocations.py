@@ -28,11 +28,16 @@ LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 SCALE = 2_000_000
 #: Words, and phrases of each length, whose ranks are broadcast (8 bytes a word of each).
 HEAD = 1 << 20
-#: Ids on a tile's side, tiles on the side of the square that may be dense, occurrences in a batch that make one so.
-TILE, GRID, DENSE = 256, 16, 1 << 14
+#: Ids on a tile's side, tiles on the side of the square that may be dense, occurrences in a batch that make one so, dense ones that a task holds (256 KB each).
+TILE, GRID, DENSE, MOST_DENSE = 256, 16, 1 << 12, 192
 #: Coordinates that a task holds before it sums them.
-HELD = 1 << 21
-_TEXT = 4 << 20
+HELD = 1 << 19
+#: Bytes of text that words are found in at once, and rows of a batch that a task gives back.
+_TEXT, _ROWS = 1 << 20, 1 << 16
+#: Bytes of word ids that a task reads at least when it counts phrases of three words or more: few of what it meets are, so its sums stay small and are worth sending.
+TASK_IDS = 64 << 20
+#: Rows of word ids (under 1 MB each) that go to a worker at once.
+BATCH = "16"
 _NONE = -1
 _SALTS = 8
 
@@ -149,9 +154,15 @@ def vocabulary(words: DataFrame, head: int, salt: int) -> Vocabulary:
     return Vocabulary(langs, np.concatenate([[0], np.cumsum([len(x) for x in each])[:-1]]).astype(np.int64) if langs else np.zeros(0, np.int64), each, whole, salt)
 
 
+def _kind(whole: bool) -> type:
+    """Ranks fit 32 bits, hashes of words without a rank don't."""
+    return np.int32 if whole else np.int64
+
+
 def id_runs(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(lang, ids): the word ids of all texts as binary 64-bit numbers, pieces and rare words apart by -1; a row holds the texts of one language in a chunk."""
+    """(lang, ids): the word ids of all texts as binary numbers (see ``_kind``), pieces and rare words apart by -1; a row holds the texts of one language in a chunk."""
     held = docs.sparkSession.sparkContext.broadcast(vocab)
+    kind = _kind(vocab.whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,7 +183,7 @@ def id_runs(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     ids = np.insert(ids, apart, _NONE)
                     near = ids != _NONE
                     near[1:] |= ids[:-1] != _NONE
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids[near].tobytes()], pa.binary())], names=["lang", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([ids[near].astype(kind).tobytes()], pa.binary())], names=["lang", "ids"])
 
     return docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, ids binary")
 
@@ -223,12 +234,16 @@ class Tiles:
         self.counts: list[np.ndarray] = []
         self.held = 0
 
-    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+    def add(self, x: np.ndarray, y: np.ndarray, room: int = MOST_DENSE) -> None:
+        """Counts pairs; at most ``room`` more tiles become dense."""
         side = TILE * GRID
         tile = np.where((x < side) & (y < side), x // TILE * GRID + y // TILE, GRID * GRID)
         met = np.bincount(tile, minlength=GRID * GRID + 1)[:-1]
         slot = np.full(GRID * GRID + 1, -1, np.int64)
-        filled = np.flatnonzero((met >= DENSE) | (np.isin(np.arange(GRID * GRID), list(self.dense)) & (met > 0)))
+        known = np.isin(np.arange(GRID * GRID), list(self.dense))
+        new = np.flatnonzero((met >= DENSE) & ~known)
+        new = new[np.argsort(-met[new], kind="stable")][: max(room, 0)]
+        filled = np.sort(np.concatenate([new, np.flatnonzero(known & (met > 0))]))
         slot[filled] = np.arange(len(filled))
         of = slot[tile]
         dense = of >= 0
@@ -236,7 +251,7 @@ class Tiles:
             cells = of[dense] * TILE * TILE + x[dense] % TILE * TILE + y[dense] % TILE
             block = np.bincount(cells, minlength=len(filled) * TILE * TILE).reshape(len(filled), -1)
             for t, counts in zip(filled.tolist(), block, strict=True):
-                self.dense[t] = self.dense[t] + counts if t in self.dense else counts
+                self.dense[t] = self.dense[t] + counts.astype(np.int32) if t in self.dense else counts.astype(np.int32)
         key, n = np.unique((x[~dense] << 32) | y[~dense], return_counts=True)
         self._put(key, n)
 
@@ -249,7 +264,7 @@ class Tiles:
         """(x, y, count) of all pairs met so far, each once."""
         for t, counts in self.dense.items():
             cell = np.flatnonzero(counts)
-            self._put((t // GRID * TILE + cell // TILE << 32) | (t % GRID * TILE + cell % TILE), counts[cell])
+            self._put((t // GRID * TILE + cell // TILE << 32) | (t % GRID * TILE + cell % TILE), counts[cell].astype(np.int64))
         self.dense = {}
         key = np.concatenate(self.keys) if self.keys else np.zeros(0, np.int64)
         key, at = np.unique(key, return_inverse=True)
@@ -261,16 +276,18 @@ def _columns(k: int) -> list[str]:
     return [f"w{i}" for i in range(1, k + 1)]
 
 
-def count_phrases(runs: DataFrame, k: int, parts: Phrases | None) -> DataFrame:
+def count_phrases(runs: DataFrame, k: int, parts: Phrases | None, whole: bool) -> DataFrame:
     """(w1, ..., wk, a): phrases of ``k`` words of ``runs`` with their counts, if both parts of k - 1 words may be frequent.
 
-    ``parts``: the ranked phrases of k - 1 words; for pairs None, as words are their own ranks.
+    ``parts``: the ranked phrases of k - 1 words; for pairs None, as words are their own ranks. ``whole``: all frequent words have ranks.
     """
+    kind = _kind(whole)
     held = runs.sparkSession.sparkContext.broadcast(parts)
     names = [*_columns(k), "a"]
 
-    def batch(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(words[:, c], pa.int64()) for c in range(k)), pa.array(n, pa.int64())], names=names)
+    def batch(words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(n), _ROWS):
+            yield pa.RecordBatch.from_arrays([*(pa.array(words[i : i + _ROWS, c], pa.int64()) for c in range(k)), pa.array(n[i : i + _ROWS], pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
@@ -282,12 +299,12 @@ def count_phrases(runs: DataFrame, k: int, parts: Phrases | None) -> DataFrame:
                 x, y, n = t.sums()
                 if len(n):
                     x, y = x + base[lang], y + base[lang]
-                    yield batch(np.stack([x, y], 1) if p is None else np.concatenate([p.words[x], p.words[y][:, -1:]], 1), n)
+                    yield from batch(np.stack([x, y], 1) if p is None else np.concatenate([p.words[x], p.words[y][:, -1:]], 1), n)
             tiles.clear()
 
         for b in batches:
-            for lang, data, low in zip(b.column("lang").to_pylist(), b.column("ids").to_pylist(), b.column("low").to_pylist(), strict=True):
-                ids = np.frombuffer(data, np.int64)
+            for lang, data, low in zip(b.column("lang").to_pylist(), b.column("ids"), b.column("low").to_pylist(), strict=True):
+                ids = np.frombuffer(data.as_buffer(), kind).astype(np.int64)
                 if len(ids) < k:
                     continue
                 span = lambda size, ids=ids: np.lib.stride_tricks.sliding_window_view(ids, size)
@@ -302,12 +319,12 @@ def count_phrases(runs: DataFrame, k: int, parts: Phrases | None) -> DataFrame:
                 ranked = both & (rank[:-1] >= 0) & (rank[1:] >= 0)
                 at = np.flatnonzero(ranked)
                 base[lang] = low
-                tiles.setdefault(lang, Tiles()).add(rank[at] - low, rank[at + 1] - low)
+                tiles.setdefault(lang, Tiles()).add(rank[at] - low, rank[at + 1] - low, MOST_DENSE - sum(len(t.dense) for t in tiles.values()))
                 if (rest := np.flatnonzero(both & ~ranked)).size:
                     words = span(k)[rest]
                     words = words[np.lexsort(words.T[::-1])]
                     first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)]))
-                    yield batch(words[first], np.diff(np.append(first, len(words))))
+                    yield from batch(words[first], np.diff(np.append(first, len(words))))
                 if sum(t.held for t in tiles.values()) > HELD:
                     yield from flush()
         yield from flush()
@@ -372,16 +389,24 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, head: int
     frequent = words.where(F.col("n") >= least)
     vocab = _vocabulary_without_clashes(words, frequent, head)
     runs = scratch.keep(id_runs(docs, vocab))
+    size = (words.agg(F.sum("n")).first()[0] or 0) * _kind(vocab.whole)().itemsize
+    fewer = runs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_IDS)))
     named = scratch.keep(_named(frequent, vocab))
     fill = lambda df, k: df.select(*_columns(k), *(F.lit(_NONE).cast("long").alias(c) for c in _columns(LONGEST)[k:]), "a")
     levels = [fill(named.select(F.col("id").alias("w1"), F.col("n").alias("a")), 1)]
     parts, low = None, vocab.base
-    for k in range(2, LONGEST + 1):
-        found = scratch.keep(count_phrases(_with_low(runs, vocab.langs, low), k, parts).where(F.col("a") >= least))
-        levels.append(fill(found, k))
-        if k < LONGEST:
-            parts = ranked(found, k, vocab, head)
-            low = parts.base
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, BATCH)
+    try:
+        for k in range(2, LONGEST + 1):
+            found = scratch.keep(count_phrases(_with_low(runs if k == 2 else fewer, vocab.langs, low), k, parts, vocab.whole).where(F.col("a") >= least))
+            levels.append(fill(found, k))
+            if k < LONGEST:
+                parts = ranked(found, k, vocab, head)
+                low = parts.base
+    finally:
+        conf.set(name, before)
     every = levels[0]
     for x in levels[1:]:
         every = every.unionByName(x)
