@@ -218,7 +218,10 @@ def _nodes(edges: DataFrame) -> DataFrame:
     """
     one = edges.groupBy("node", "label", "child").agg(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "n"))).alias("ends"))
     follow = edges.where("label <> ''").groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit("label")).alias("after"))
-    return one.join(follow, "child", "left").groupBy("node").agg(F.collect_list(F.struct("label", "child", "ends", F.coalesce("after", F.lit(0).cast("long")).alias("after"))).alias("edges"))
+    # edges to a word's end lead to no node: they stay out of the join, where their null would gather them in one task
+    inner = one.where("child is not null").join(follow, "child", "left").select("node", "label", "child", "ends", "after")
+    both = inner.unionByName(one.where("child is null").withColumn("after", F.lit(None).cast("long")))
+    return both.groupBy("node").agg(F.collect_list(F.struct("label", "child", "ends", F.coalesce("after", F.lit(0).cast("long")).alias("after"))).alias("edges"))
 
 
 def _first_edits(rows: DataFrame) -> DataFrame:
