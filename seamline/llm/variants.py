@@ -214,14 +214,14 @@ def _bit(text) -> Column:
 def _nodes(edges: DataFrame) -> DataFrame:
     """(node, edges): the edges of each node, at most one for each letter and one more.
 
-    Words that end with an edge come with it (``ends``), and a bit for each character that may follow (``after``).
+    Words that end with an edge come with it (``ends``), a bit for each character that may follow (``after``), and its label without the first character (``left``).
     """
     one = edges.groupBy("node", "label", "child").agg(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "n"))).alias("ends"))
     follow = edges.where("label <> ''").groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit("label")).alias("after"))
     # edges to a word's end lead to no node: they stay out of the join, where their null would gather them in one task
     inner = one.where("child is not null").join(follow, "child", "left").select("node", "label", "child", "ends", "after")
     both = inner.unionByName(one.where("child is null").withColumn("after", F.lit(None).cast("long")))
-    return both.groupBy("node").agg(F.collect_list(F.struct("label", "child", "ends", F.coalesce("after", F.lit(0).cast("long")).alias("after"))).alias("edges"))
+    return both.groupBy("node").agg(F.collect_list(F.struct("label", F.substr("label", F.lit(2)).alias("left"), "child", "ends", F.coalesce("after", F.lit(0).cast("long")).alias("after"))).alias("edges"))
 
 
 def _first_edits(rows: DataFrame) -> DataFrame:
@@ -229,8 +229,8 @@ def _first_edits(rows: DataFrame) -> DataFrame:
 
     A state stays if it is at its word's end where a word ends, or something goes on from there with its next character.
     """
-    rest, label = F.col("rest"), F.col("e.label")
-    head, left, tail = F.substr(label, F.lit(1), F.lit(1)), F.substr(label, F.lit(2)), F.substr(rest, F.lit(2))
+    rest, tail, label, left = F.col("rest"), F.col("tail"), F.col("e.label"), F.col("e.left")
+    head = F.substr(label, F.lit(1), F.lit(1))
     done = F.substr("key", F.lit(1), F.col("position"))
     beyond = lambda s, by: F.substr(s, F.length(by) + 1)
     goes_on = lambda s: F.when(s == "", F.size("e.ends") > 0).otherwise(F.col("e.after").bitwiseAND(_bit(s)) != 0)
@@ -240,7 +240,8 @@ def _first_edits(rows: DataFrame) -> DataFrame:
         (some & F.startswith(rest, left) & goes_on(beyond(rest, left)), F.concat(done, head, rest), beyond(rest, left)),
         ((rest != "") & F.startswith(tail, label) & goes_on(beyond(tail, label)), F.concat(done, tail), beyond(tail, label)),
     ]
-    away = rows.where((rest == "") | (head != F.substr(rest, F.lit(1), F.lit(1)))).where(kinds[0][0] | kinds[1][0] | kinds[2][0])
+    # of a node's edges the word's own is the one whose characters all come next in the word
+    away = rows.where((rest == "") | ~some | ~F.startswith(rest, label)).where(kinds[0][0] | kinds[1][0] | kinds[2][0])
     edits = F.array_compact(F.array(*(F.when(ok, F.struct(near.alias("near"), now.alias("rest"))) for ok, near, now in kinds)))
     return away.select("word", "back", "e", F.explode(edits).alias("s")).select("word", "back", "s.near", "s.rest", "e.child", "e.ends")
 
@@ -257,11 +258,13 @@ def neighbours(words: DataFrame) -> DataFrame:
     scratch = Scratch(words.sparkSession)
     edges, states = tries(words, scratch)
     nodes = scratch.keep(_nodes(edges))
-    turned = F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word"))
-    frontier = states.withColumn("key", turned).withColumn("rest", F.substr("key", F.col("position") + 1))
-    found, first = [], True
+    frontier, found, first = states, [], True
     while True:
-        met = frontier.join(nodes, "node").withColumn("e", F.explode("edges")).drop("edges")
+        met = frontier.join(nodes, "node")
+        if first:  # what follows from the word is made after the join, so it isn't shuffled, and once a state, not once an edge
+            met = met.withColumn("key", F.when(F.col("back"), F.reverse("word")).otherwise(F.col("word")))
+            met = met.withColumn("rest", F.substr("key", F.col("position") + 1)).withColumn("tail", F.substr("rest", F.lit(2)))
+        met = met.withColumn("e", F.explode("edges")).drop("edges")
         went = scratch.keep(_first_edits(met) if first else _following(met))
         near = F.when(F.col("back"), F.reverse("near")).otherwise(F.col("near"))
         ended = went.where("rest = ''").select("word", "back", near.alias("near"), F.explode("ends").alias("x")).where("x.word = near")
