@@ -15,6 +15,9 @@ from seamline.operators.regions import boundary_edges
 from seamline.operators.stitch import COLOR, STITCH, TRIM
 from seamline.session import Scratch, cut
 
+#: Moves of up to so many mm are sewn straight wherever they lead.
+SHORT = 1.5
+
 
 def along() -> Window:
     return Window.partitionBy("path_id").orderBy("seq")
@@ -292,27 +295,40 @@ def add_ties(points: DataFrame, length: float = 0.6) -> DataFrame:
 
 
 def travel_kind(pieces: DataFrame, trim_mm: float) -> DataFrame:
-    """``kind`` of the move to each piece (design_id, seq, thread_id, x0, y0, x1, y1[, inside]): start, color, none, run or trim.
+    """``kind`` of the move to each piece (design_id, seq, thread_id, x0, y0, x1, y1[, inside][, way]): start, color, none, run or trim.
 
-    ``inside`` says whether the straight way stays in the area (see ``segments_in_mask``); without it only short ways are sewn.
+    ``inside`` says whether the straight way stays in the area (see ``segments_in_mask``), ``way`` (see ``ways_in_mask``) is the one round its holes or null; without them only
+    short ways are sewn. ``way`` becomes null where it isn't taken: no move or a short one, a straight one that stays inside, a new thread.
     """
     w = Window.partitionBy("design_id").orderBy("seq")
     d = F.hypot(F.col("x0") - F.lag("x1").over(w), F.col("y0") - F.lag("y1").over(w))
     inside = F.coalesce(F.col("inside"), F.lit(False)) if "inside" in pieces.columns else F.lit(False)
-    kind = F.when(d.isNull(), "start").when(F.lag("thread_id").over(w) != F.col("thread_id"), "color").when(d < 0.05, "none").when((d <= min(trim_mm, 1.5)) | inside | (d <= trim_mm), "run").otherwise("trim")
-    return pieces.withColumn("kind", kind)
+    round_it = F.col("way").isNotNull() if "way" in pieces.columns else F.lit(False)
+    straight = (d <= min(trim_mm, SHORT)) | inside
+    kind = F.when(d.isNull(), "start").when(F.lag("thread_id").over(w) != F.col("thread_id"), "color").when(d < 0.05, "none").when(straight | round_it | (d <= trim_mm), "run").otherwise("trim")
+    out = pieces.withColumn("kind", kind)
+    if "way" in pieces.columns:
+        out = out.withColumn("way", F.when((kind == "run") & ~straight, F.col("way")))
+    return out
 
 
 def travel_records(pieces: DataFrame) -> DataFrame:
     """(design_id, seq, i, x, y, k): the stitch records that bring the needle to each piece of ``travel_kind``, in 0.1 mm.
 
     A start is a stitch; a new thread and a cut are their mark and a stitch at the same point; a run is a leg of stitches of up to
-    3 mm. Ties are ``add_ties``' work.
+    3 mm, or one such leg to each point of its ``way`` and on. Ties are ``add_ties``' work.
     """
     w = Window.partitionBy("design_id").orderBy("seq")
-    ways = pieces.select("design_id", "seq", "kind", "x0", "y0", F.lag("x1").over(w).alias("px"), F.lag("y1").over(w).alias("py"))
+    point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+    between = F.coalesce(F.col("way"), none) if "way" in pieces.columns else none
+    ways = pieces.withColumns({"px": F.lag("x1").over(w), "py": F.lag("y1").over(w)}).select("design_id", "seq", "kind", "x0", "y0", "px", "py", between.alias("way"))
     mark = F.when(F.col("kind") == "start", F.array(F.lit(STITCH))).when(F.col("kind") == "color", F.array(F.lit(COLOR), F.lit(STITCH))).when(F.col("kind") == "trim", F.array(F.lit(TRIM), F.lit(STITCH)))
     jumps = ways.select("design_id", "seq", F.posexplode(mark).alias("i", "k"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    legs = ways.where("kind = 'run'").select(F.struct("design_id", "seq").alias("leg"), F.col("px").alias("x0"), F.col("py").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
-    sewn = subdivide(legs, 3.0).select("leg.*", (F.col("i") - 1).alias("i"), F.lit(STITCH).alias("k"), "x", "y")
+    turns = ways.where("kind = 'run'").withColumn("p", F.concat(F.array(point("px", "py")), "way", F.array(point("x0", "y0"))))
+    legs = turns.withColumn("j", F.explode(F.sequence(F.lit(1), F.size("p") - 1)))
+    at = lambda j: F.element_at("p", j)
+    legs = legs.select(F.struct("design_id", "seq", "j").alias("leg"), *[at(F.col("j") + k)[c].alias(f"{c}{k}") for k in (0, 1) for c in "xy"])
+    i = F.row_number().over(Window.partitionBy("leg.design_id", "leg.seq").orderBy("leg.j", "i")) - 1
+    sewn = subdivide(legs, 3.0).select("leg.design_id", "leg.seq", i.alias("i"), F.lit(STITCH).alias("k"), "x", "y")
     return jumps.unionByName(sewn).select("design_id", "seq", "i", *[F.round(F.round(F.col(c) * 10, 6)).cast("int").alias(c) for c in "xy"], "k")

@@ -13,6 +13,7 @@ from seamline.operators import paths as P
 from seamline.operators import raster as R
 from seamline.operators import regions as G
 from seamline.operators import stitch as S
+from seamline.operators import ways as W
 from seamline.session import cut
 
 
@@ -35,6 +36,8 @@ def plan_colours(small: DataFrame, grid: DataFrame, threads: DataFrame, range_id
 PIECE = ["image_id", "comp_id", "phase", "cell"]
 #: What of an area is sewn, in this order: underlay and fill, or satin strokes; then the area's outline.
 UNDERLAY, FILL, SATIN, OUTLINE = 0, 1, 2, 3
+#: The row of the points on the way to a piece, before all its own.
+WAY = -1
 
 
 def _columns(points: DataFrame, phase: int, satin_spacing: float) -> DataFrame:
@@ -70,8 +73,8 @@ def digitize(
 
     With ``satin_mm``, areas nowhere much wider are satin columns along their centre lines, which lie over what they touch; other areas are tatami fills, followed by their ``outline`` (none, running or
     satin of ``outline_mm``). Areas follow one another by nesting depth and layer (what encloses another layer goes before it), or ``by_layer`` with the fewest colour changes; those of one group by nearest anchor;
-    an area's fill is cut into cells around its holes, taken nearest first. A way to the next cell is sewn if it is short or stays in the area, else
-    trimmed; a new thread starts with COLOR, a cut with TRIM, both followed by a STITCH at the same point. Thread is tied in and off at every cut,
+    an area's fill is cut into cells around its holes, taken nearest first. A way to the next cell is sewn if it is short, stays in the area or
+    leads round its holes without a long detour, else trimmed; a new thread starts with COLOR, a cut with TRIM, both followed by a STITCH at the same point. Thread is tied in and off at every cut,
     and long legs are divided. Specks are not sewn.
     """
     layers = R.layer_map(cells, choices).where("layer >= 0").select("image_id", "x", "y", F.col("layer").alias("label"))
@@ -122,18 +125,24 @@ def digitize(
     # the way to each piece
     in_turn = Window.partitionBy("image_id").orderBy("seq")
     ways = pieces.select("image_id", "comp_id", "seq", F.lag("comp_id").over(in_turn).alias("old"), F.lag("x1").over(in_turn).alias("wx"), F.lag("y1").over(in_turn).alias("wy"), "x0", "y0").where("old = comp_id")
-    held = L.segments_in_mask(ways.select(F.struct("image_id", "seq").alias("seg"), "image_id", "comp_id", F.col("wx").alias("x0"), F.col("wy").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1")), runs, cell_mm)
-    kinds = P.travel_kind(pieces.join(held.select("seg.*", "inside"), ["image_id", "seq"], "left").withColumnRenamed("image_id", "design_id"), trim_mm)
+    moves = cut(ways.select("image_id", "comp_id", "seq", F.col("wx").alias("x0"), F.col("wy").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1")))
+    held = cut(L.segments_in_mask(moves.withColumn("seg", F.struct("image_id", "seq")).drop("seq"), runs, cell_mm).select("seg.*", "inside"))
+    # where the straight way leaves the area, one round its holes
+    astray = moves.join(held.where("not inside"), ["image_id", "seq"], "left_semi").where(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > min(trim_mm, P.SHORT))
+    walked = W.ways_in_mask(astray, runs, cell_mm, ["image_id", "seq"])
+    kinds = P.travel_kind(pieces.join(held, ["image_id", "seq"], "left").join(walked, ["image_id", "seq"], "left").withColumnRenamed("image_id", "design_id"), trim_mm)
     starts = F.col("kind").isin("start", "color", "trim")
     kinds = kinds.withColumn("path", F.sum(starts.cast("long")).over(Window.partitionBy("design_id").orderBy("seq"))).withColumnRenamed("design_id", "image_id")
-    kinds = cut(kinds.select(*PIECE, "seq", "thread_id", "kind", "path"))
+    kinds = cut(kinds.select(*PIECE, "seq", "thread_id", "kind", "path", "way"))
     # paths without a cut: legs divided, thread tied in and off
     path_id = F.struct("image_id", "path").alias("path_id")
     w = Window.partitionBy("image_id", "path").orderBy("seq", "row", "i")
     old = lambda c: F.lag(c).over(w)
     sewn = points.join(kinds.select(*PIECE, "seq", "path"), PIECE)
-    # within a piece a leg takes its stitch, between pieces 3 mm
-    sewn = cut(sewn.select(path_id, F.row_number().over(w).alias("n"), old("x").alias("x0"), old("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.when(old("seq") == F.col("seq"), F.col("stitch")).otherwise(3.0).alias("reach")))
+    on_way = kinds.select(*PIECE, F.lit(WAY).alias("row"), F.posexplode("way").alias("i", "p"), F.lit(3.0).alias("stitch"), "seq", "path")
+    sewn = sewn.unionByName(on_way.select(*PIECE, "row", "i", "stitch", "p.x", "p.y", "seq", "path"))
+    # within a piece a leg takes its stitch, on the way to it 3 mm
+    sewn = cut(sewn.select(path_id, F.row_number().over(w).alias("n"), old("x").alias("x0"), old("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.when((old("seq") == F.col("seq")) & (old("row") != WAY), F.col("stitch")).otherwise(3.0).alias("reach")))
     legs = P.subdivide(sewn.where("n > 1").select(F.struct("path_id", "n").alias("leg"), "x0", "y0", "x1", "y1", "reach"), F.col("reach"))
     whole = legs.select("leg.path_id", "leg.n", "i", "x", "y").unionByName(sewn.where("n = 1").select("path_id", "n", F.lit(0).alias("i"), F.col("x1").alias("x"), F.col("y1").alias("y")))
     tied = P.add_ties(whole.select("path_id", F.struct("n", "i").alias("seq"), "x", "y"))

@@ -9,6 +9,7 @@ from seamline.operators import fill as L
 from seamline.operators import paths as P
 from seamline.operators import raster as R
 from seamline.operators import regions as G
+from seamline.operators import ways as W
 from seamline.plans.adapters import CELL_MM, CELLS, PATH_POINTS, STITCHES, cells, packed, path_points, stitches
 from seamline.plans.base import query
 from seamline.plans.raster_queries import REGIONS
@@ -172,6 +173,16 @@ def segments_in_mask(spark, d):
     return L.segments_in_mask(s, runs, CELL_MM).select("seg", "image_id", "comp_id", "inside")
 
 
+@query()
+def ways_in_mask(spark, d):
+    """Ways from the first cell of every area to its last one, both in scan order."""
+    runs, stats = some_regions(spark, d)
+    last = runs.groupBy("image_id", "comp_id").agg(F.max(F.struct("y", "x1")).alias("end"))
+    m = stats.join(last, ["image_id", "comp_id"]).select("image_id", "comp_id", F.col("anchor_x").alias("x0"), F.col("anchor_y").alias("y0"), *[((F.col(c) + 0.5) * CELL_MM).alias(n) for c, n in (("end.x1", "x1"), ("end.y", "y1"))])
+    way = W.ways_in_mask(cut(m), runs, CELL_MM, ["image_id", "comp_id"])
+    return way.select("image_id", "comp_id", F.posexplode("way").alias("i", "p")).select("image_id", "comp_id", "i", *[F.round(f"p.{c}", 4).alias(c) for c in "xy"])
+
+
 @query(f"{BASE}, s AS (SELECT image_id, comp_id, count(*) * 0.04::DOUBLE AS area FROM regions GROUP BY 1, 2 HAVING count(*) >= 12) SELECT image_id, comp_id, unnest(CASE WHEN area > 12 THEN [0, 1] ELSE [1] END) AS phase FROM s")
 def fill_plan(spark, d):
     return L.fill_plan(some_regions(spark, d)[1], 0.4, 0.0, 0.2).select("image_id", "comp_id", "phase")
