@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seamline.operators import fill as L
+from seamline.operators import needle as N
 from seamline.operators import paths as P
 from seamline.operators import raster as R
 from seamline.operators import regions as G
@@ -239,11 +240,27 @@ def row_stitches(spark, d):
     return L.row_stitches(runs_of_fill(spark, d)).withColumn("u", F.round("u", 5) + 0.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {STITCHES}, items AS (SELECT design_id, seq // 40 AS "group", seq AS item, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM stitches),
+g AS (SELECT design_id, "group", list({{'item': item, 'x': x, 'y': y}}) AS rest FROM items GROUP BY ALL),
+walk AS (SELECT design_id, "group", rest, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, CAST(NULL AS BIGINT) AS item, -1 AS place FROM g UNION ALL
+  SELECT design_id, "group", list_filter(rest, lambda r: r.item <> b.item), b.x, b.y, b.item, place + 1
+  FROM (SELECT *, list_min(list_transform(rest, lambda r: {{'d': (r.x - x) * (r.x - x) + (r.y - y) * (r.y - y), 'item': r.item, 'x': r.x, 'y': r.y}})) AS b FROM walk WHERE len(rest) > 0))
+SELECT design_id, CAST("group" AS BIGINT) AS "group", item, CAST(place AS INTEGER) AS place FROM walk WHERE place >= 0""")
 def nearest_first(spark, d):
     s = stitches(spark, d)
     items = s.select("design_id", F.floor(F.col("seq") / 40).alias("group"), F.col("seq").alias("item"), *[F.col(c).cast("double").alias(f"{c}{i}") for i in (0, 1) for c in "xy"])
-    return L.nearest_first(items)
+    return N.nearest_first(items)
+
+
+@query()
+def needle_order(spark, d):
+    """Groups of items of several pieces, each to be entered at either of two stitches."""
+    s = stitches(spark, d)
+    at = lambda n: F.floor(F.col("seq") / n)
+    w = Window.partitionBy("design_id", at(16)).orderBy("seq")
+    ends = {f"{c}{i}": F.col(c).cast("double") for i in (0, 1) for c in "xy"}
+    keys = {"group": at(480), "item": at(16), "phase": at(8) % 2, "piece": at(2), "way": F.col("seq") % 2, "ax": F.first("x").over(w), "ay": F.first("y").over(w)}
+    return N.needle_order(s.withColumns(keys | ends))
 
 
 @query()

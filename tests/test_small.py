@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamline.functions.colour import with_delta_e2000
-from seamline.operators import encoding, fill, paths, raster, regions, stitch
+from seamline.operators import encoding, fill, needle, paths, raster, regions, stitch
 from seamline.operators.graph import components
 
 STITCHES = "design_id long, seq long, x int, y int, k int"
@@ -86,7 +86,7 @@ def test_components_of_a_long_chain(spark):
 def test_nearest_first(spark):
     rows = [(1, 0, 0, 9.0, 0.0, 9.0, 0.0), (1, 0, 1, 1.0, 0.0, 5.0, 0.0), (1, 0, 2, 6.0, 0.0, 0.0, 0.0)]
     items = spark.createDataFrame(rows, "design_id long, group long, item long, x0 double, y0 double, x1 double, y1 double")
-    assert [r["item"] for r in fill.nearest_first(items).orderBy("place").collect()] == [1, 2, 0]
+    assert [r["item"] for r in needle.nearest_first(items).orderBy("place").collect()] == [1, 2, 0]
 
 
 def test_skeleton_of_a_bar():
@@ -301,7 +301,7 @@ def test_nearest_first_is_greedy(spark):
     rng = np.random.default_rng(5)
     rows = [(1, int(i % 3), i, *map(float, rng.random(4) * 50)) for i in range(60)]
     got = {}
-    for r in fill.nearest_first(spark.createDataFrame(rows, "design_id long, group long, item long, x0 double, y0 double, x1 double, y1 double")).orderBy("group", "place").collect():
+    for r in needle.nearest_first(spark.createDataFrame(rows, "design_id long, group long, item long, x0 double, y0 double, x1 double, y1 double")).orderBy("group", "place").collect():
         got.setdefault(r["group"], []).append(r["item"])
     for g in range(3):
         left, at, want = {r[2]: r[3:] for r in rows if r[1] == g}, (0.0, 0.0), []
