@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node of a page belongs to one root-to-leaf tag path. Per path the text length and the punctuation are summed and
-divided by the number of its nodes; both ratios are smoothed along page order and fused, and paths whose fused ratio reaches a
-share of the page's largest are content. Elements that never hold an article (navigation, footers, forms, scripts, ...) are out;
+divided by the number of its nodes; both ratios are smoothed along page order and fused, the fused ratio is smoothed over the tree
+of paths by how much text lies side by side in a path's container, and paths that reach a share of the page's largest are content. Elements that never hold an article (navigation, footers, forms, scripts, ...) are out;
 class names, roles and article or main elements only weigh a path's fused ratio.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-NEVER = frozenset("head title script style noscript template nav header footer aside form button select option textarea input iframe object svg math canvas audio video dialog menu figure label fieldset noembed noframes".split())
+NEVER = frozenset("head title script style noscript template nav header footer aside form button select option textarea input iframe object svg math canvas audio video dialog menu label fieldset noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: An open element of the value's kinds ends when the key's element starts.
 CLOSES = {
@@ -37,8 +37,10 @@ MARKS = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？¿¡]")
-#: A tag; one whose quotes don't close ends at its first ">".
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*'|(?:\"[^\"]*\"|'[^']*')(?=[\s/>]))*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<(/?[A-Za-z][^<>]*\Z)", re.S)
+#: Where markup may start, the name of a tag, and its attributes up to the ">" that no quotes hide.
+START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[A-Za-z])")
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+ATTRS = re.compile(r"(?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*'|(?:\"[^\"]*\"|'[^']*')(?=[\s/>]))*+")
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 #: Half width of the smoothing over neighbouring nodes, and the share of the spread that content reaches.
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
@@ -46,6 +48,8 @@ KERNEL /= KERNEL.sum()
 #: A path is content from this share of the largest fused ratio on; what a telltale name takes from a ratio (at most MOST_MARKS of
 #: them count), and what standing in an article or main element adds to it.
 LAMBDA, MARKED, MOST_MARKS, IN_MAIN = 0.45, 0.1, 3, 4.0
+#: How much of a container's text counts for the container within it, level by level.
+FADE = 0.5
 
 
 def _marked(tag: str, attrs: str) -> bool:
@@ -66,6 +70,7 @@ class _Open:
         self.stack: list[tuple[str, int, bool, int, bool, int, int]] = []  # tag, path, never, marks, in main, last barrier, last barrier but cells
         self.at: dict[str, list[int]] = {}
         self.paths: dict[tuple[int, str], int] = {}
+        self.container = [0]  # of each path: the path around its innermost block
 
     def top(self) -> tuple[str, int, bool, int, bool, int, int]:
         return self.stack[-1] if self.stack else ("", 0, False, 0, False, -1, -1)
@@ -75,7 +80,9 @@ class _Open:
         n = len(self.stack)
         marked = not never and bool(attrs) and _marked(tag, attrs)
         label = f"{tag}.marked" if marked else tag
-        path = self.paths.setdefault((path, label), len(self.paths) + 1)
+        around, path = path, self.paths.setdefault((path, label), len(self.paths) + 1)
+        if path == len(self.container):
+            self.container.append(around if tag in BLOCK else self.container[around])
         if tag in BARRIER:
             wall, wide = n, n if tag not in ("td", "th") else wide
         self.stack.append((tag, path, never or tag in NEVER, min(marks + marked, MOST_MARKS), main or tag in ("article", "main"), wall, wide))
@@ -97,12 +104,66 @@ class _Open:
             self.cut(last)
 
 
-def text_nodes(page: str) -> list[tuple[int, bool, int, bool, int, str]]:
+class _Markup:
+    """(start, end, whether an end tag, name or "" of what isn't a tag, attributes) of a page's markup, in time that grows with the page.
+
+    A tag whose quotes don't close ends at its first ">", and so do all tags up to where the look for a better end gave up. Without
+    a ">" to come, a "<" is text, but for the page's last one.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at, self.gt, self.plain = page, 0, -1, 0
+
+    def _next_gt(self, start: int) -> int:
+        """The first ">" from ``start`` on, the page's length if there is none."""
+        if self.gt < start:
+            found = self.page.find(">", start)
+            self.gt = found if found >= 0 else len(self.page)
+        return self.gt
+
+    def skip(self, tag: str, at: int) -> int:
+        """The end of the element of raw text that began before ``at``; the next markup comes after it."""
+        m = re.compile(rf"</{tag}", re.I).search(self.page, at)
+        self.at = min(self._next_gt(m.end()) + 1, len(self.page)) if m else len(self.page)
+        return self.at
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        page, size = self.page, len(self.page)
+        last = page.rfind("<")
+        while m := START.search(page, self.at):
+            start, mark = m.start(), m[0]
+            if mark in ("<!--", "<![CDATA["):
+                stop = page.find("-->" if mark == "<!--" else "]]>", m.end())
+                self.at = stop + 3 if stop >= 0 else size
+            elif mark[1] in "!?":
+                self.at = min(self._next_gt(m.end()) + 1, size)
+            else:
+                gt = self._next_gt(start)
+                if gt == size:
+                    self.at = size if start == last else m.end()
+                    if start == last:
+                        yield start, size, False, "", ""
+                    continue
+                name = NAME.match(page, m.end() - 1)
+                end = gt
+                if start >= self.plain:
+                    held = ATTRS.match(page, name.end()).end()
+                    if page[held : held + 1] == ">":
+                        end = held
+                    else:
+                        self.plain = held
+                self.at = end + 1
+                yield start, self.at, mark[1] == "/", name[0].lower(), page[name.end() : end]
+                continue
+            yield start, self.at, False, "", ""
+
+
+def text_nodes(page: str) -> tuple[list[tuple[int, bool, int, bool, int, str]], list[int]]:
     """(path number, in an element that never holds an article, telltale names above, below article or main, block number, raw text)
-    of each text node in page order; unclosed elements end as HTML implies. Time and memory grow with the page, however deep it nests."""
+    of each text node in page order, and each path's container; unclosed elements end as HTML implies. Time and memory grow with the page, however deep it nests."""
     out: list[tuple[int, bool, int, bool, int, str]] = []
     open_ = _Open()
-    at, block, size = 0, 0, len(page)
+    at, block, markup = 0, 0, _Markup(page)
 
     def text(chunk: str) -> None:
         if chunk and not chunk.isspace():
@@ -111,15 +172,9 @@ def text_nodes(page: str) -> list[tuple[int, bool, int, bool, int, str]]:
         elif chunk:
             out.append((0, True, 0, False, block, " "))
 
-    while at < size:
-        m = TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        slash, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        tag = (tag or "").lower()
+    for start, end, slash, tag, attrs in markup:
+        text(page[at:start])
+        at = end
         if not tag:
             continue
         if slash:
@@ -132,29 +187,42 @@ def text_nodes(page: str) -> list[tuple[int, bool, int, bool, int, str]]:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            at = markup.skip(tag, at)
             continue
         open_.push(tag, attrs)
-    return out
+    text(page[at:])
+    return out, open_.container
+
+
+def _beside(total: np.ndarray, numbers: np.ndarray, container: list[int]) -> np.ndarray:
+    """Of each path (``numbers``, with ``total`` characters) the text in its container, containers around it fading, as a share of the largest."""
+    held = np.zeros(len(container))
+    np.add.at(held, [container[n] for n in numbers], total)
+    for n in range(1, len(container)):  # a container's number is less than that of what it holds
+        if container[n] != n:
+            held[n] += FADE * held[container[n]]
+    mass = held[[container[n] for n in numbers]]
+    return mass / max(mass.max(), 1)
 
 
 def main_text(page: str | None, share: float = LAMBDA) -> str:
     """Content blocks of one page, joined by a space; empty for null, empty or text-less pages. ``share`` 0 keeps every path."""
-    nodes = text_nodes(page or "")
+    nodes, container = text_nodes(page or "")
     open_ = [i for i, n in enumerate(nodes) if not n[1]]
     if not open_:
         return ""
     clean = {i: html.unescape(nodes[i][5]) for i in open_}
-    path = np.unique([nodes[i][0] for i in open_], return_inverse=True)[1]
+    numbers, path = np.unique([nodes[i][0] for i in open_], return_inverse=True)
     count = np.bincount(path)
-    size = np.bincount(path, [len(" ".join(clean[i].split())) for i in open_]) / count
+    total = np.bincount(path, [len(" ".join(clean[i].split())) for i in open_])
+    size = total / count
     marks = np.bincount(path, [len(PUNCTUATION.findall(clean[i])) for i in open_]) / count
     ratio = np.stack([size[path], marks[path]], axis=1)
     ratio = np.concatenate([ratio[:1], ratio[:1], ratio, ratio[-1:], ratio[-1:]])
     smooth = sum(k * ratio[d : d + len(open_)] for d, k in enumerate(KERNEL))
     fused = np.log1p(smooth[:, 0]) * (1 + np.log1p(smooth[:, 1])) * MARKED ** np.array([nodes[i][2] for i in open_])
     of_path = np.bincount(path, fused) / count
+    of_path *= np.sqrt(_beside(total, numbers, container))
     raised = of_path * np.where(np.bincount(path, [nodes[i][3] for i in open_]) > 0, IN_MAIN, 1.0)
     keep = (raised >= share * of_path.max())[path]
     chosen = {i for i, k in zip(open_, keep, strict=True) if k}
