@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -180,14 +183,30 @@ def _pack(r: dict) -> bytes:
     return b"#PES0001" + struct.pack("<I", 12 + len(head)) + head + pec
 
 
-def _read(data: bytes) -> dict:
-    """Label, colour indexes and stitches of one file, or its error."""
-    if len(data) < 12 or data[:4] != b"#PES":
-        return {"error": "not a PES file"}
-    pec = int.from_bytes(data[8:12], "little")
-    if pec + HEAD_SIZE + STITCH_HEAD >= len(data):
-        return {"error": "truncated"}
-    p, x, y, pending, out = pec + HEAD_SIZE + STITCH_HEAD, 0, 0, False, []
+DESIGN_COLUMNS = ["path", "label", "colours", "n_colours", "error", "stitches"]
+_NOTHING = {"label": None, "colours": None, "n_colours": None, "error": None, "x": None, "y": None, "k": None}
+
+
+def read_head(read: Callable[[int, int], bytes], size: int) -> dict:
+    """Label, colour indexes and their number of a file of ``size`` bytes, or its error; ``read`` (from, number) gives some of its bytes."""
+    start = read(0, 12)
+    if len(start) < 12 or start[:4] != b"#PES":
+        return _NOTHING | {"error": "not a PES file"}
+    pec = int.from_bytes(start[8:12], "little")
+    if pec + HEAD_SIZE + STITCH_HEAD >= size:
+        return _NOTHING | {"error": "truncated"}
+    head = read(pec, HEAD_SIZE)
+    colours = list(head[49 : 50 + head[48]])
+    return _NOTHING | {"label": head[3:19].decode("latin-1").strip(), "colours": colours, "n_colours": len(colours)}
+
+
+def read_file(data: bytes) -> dict:
+    """``read_head`` and the stitches (x, y, k) of one file, or its error."""
+    out = read_head(lambda at, n: data[at : at + n], len(data))
+    if out["error"]:
+        return out
+    p, x, y, pending = int.from_bytes(data[8:12], "little") + HEAD_SIZE + STITCH_HEAD, 0, 0, False
+    xs, ys, ks = array("i"), array("i"), array("i")
     while p < len(data) and data[p] != 0xFF:
         if data[p] == 0xFE and data[p + 1 : p + 2] == b"\xb0":
             p, pending = p + 3, True
@@ -195,7 +214,7 @@ def _read(data: bytes) -> dict:
         step, flags = [], 0
         for _ in range(2):
             if p >= len(data):
-                return {"error": "truncated"}
+                return _NOTHING | {"error": "truncated"}
             if data[p] & 0x80:
                 v = (data[p] & 0x0F) << 8 | (data[p + 1] if p + 1 < len(data) else 0)
                 flags |= data[p] & 0x70
@@ -205,22 +224,33 @@ def _read(data: bytes) -> dict:
                 step.append(data[p] - 128 if data[p] > 63 else data[p])
                 p += 1
         x, y = x + step[0], y + step[1]
-        out.append((x, y, COLOR if pending else TRIM if flags & TRIM_FLAG else JUMP if flags & JUMP_FLAG else STITCH))
+        xs.append(x)
+        ys.append(y)
+        ks.append(COLOR if pending else TRIM if flags & TRIM_FLAG else JUMP if flags & JUMP_FLAG else STITCH)
         pending = False
-    n = data[pec + 48] + 1
-    return {"label": data[pec + 3 : pec + 19].decode("latin-1").strip(), "colours": list(data[pec + 49 : pec + 49 + n]), "stitches": out, "error": None}
+    return out | {"x": xs, "y": ys, "k": ks}
+
+
+def as_batch(rows: list[dict], columns: list[str]) -> pa.RecordBatch:
+    """Files as ``columns`` of one batch; the stitches of all lie in flat arrays."""
+    out = {c: pa.array([r[c] for r in rows], t) for c, t in (("path", pa.string()), ("label", pa.string()), ("colours", pa.list_(pa.int32())), ("n_colours", pa.int32()), ("error", pa.string())) if c in columns}
+    if "stitches" in columns:
+        flat = [np.concatenate([np.empty(0, np.int32), *(np.frombuffer(r[c], np.int32) for r in rows if r[c])]) for c in ("x", "y", "k")]
+        ends = np.cumsum([0, *(len(r["x"] or ()) for r in rows)]).astype(np.int32)
+        bad = pa.array([r["x"] is None for r in rows])
+        out["stitches"] = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v) for v in flat], ["x", "y", "k"]), mask=bad)
+    return pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
 
 
 def decode_pes(files: DataFrame) -> DataFrame:
     """(path, content) to (path, label, colours, stitches, error); a bad file has an error and nulls."""
+    columns = ["path", "label", "colours", "stitches", "error"]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                r = _read(bytes(content))
-                yield pd.DataFrame({"path": [path], "label": [r.get("label")], "colours": [r.get("colours")], "stitches": [None if r["error"] else [{"x": x, "y": y, "k": k} for x, y, k in r["stitches"]]], "error": [r["error"]]})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield as_batch([read_file(content.as_py() or b"") | {"path": path} for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True)], columns)
 
-    return files.select("path", "content").mapInPandas(rows, "path string, label string, colours array<int>, stitches array<struct<x:int,y:int,k:int>>, error string")
+    return files.select("path", "content").mapInArrow(rows, "path string, label string, colours array<int>, stitches array<struct<x:int,y:int,k:int>>, error string")
 
 
 def read_pes(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> tuple[DataFrame, DataFrame]:

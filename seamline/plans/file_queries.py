@@ -8,7 +8,8 @@ from seamline.operators import encoding as P
 from seamline.operators import stitch as S
 from seamline.plans.adapters import STITCHES, stitches
 from seamline.plans.base import query
-from seamline.session import table
+from seamline.session import own_folder, table
+from seamline.sources.pes import HEADER_COLUMNS, read_designs, write_designs
 
 WITH = f"WITH {STITCHES}"
 BIG = "big AS (SELECT design_id, seq, x * 17 AS x, y * 23 AS y, k FROM stitches)"
@@ -77,6 +78,17 @@ def round_trip(spark, d):
     return rows.select("design_id", F.col("seq").cast("long").alias("seq"), "p.x", "p.y", "p.k")
 
 
+@query(f"""{WITH}, b AS (SELECT design_id, CAST(sum(CASE WHEN k = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY design_id ORDER BY seq) AS INTEGER) AS block FROM stitches),
+d AS (SELECT DISTINCT design_id, block FROM b), c AS (SELECT design_id, count(*) AS n, string_agg(CAST((design_id + block) % 64 AS VARCHAR), ',' ORDER BY block) AS colours FROM d GROUP BY 1)
+SELECT design_id, 'design ' || design_id AS label, CAST(n AS INTEGER) AS n_colours, colours FROM c WHERE n BETWEEN 2 AND 255""")
+def file_headers(spark, d):
+    """Every design as a file on disk; then headers alone, of files of at least two colours, which the reader picks."""
+    path = own_folder(spark, "designs")
+    write_designs(_files(spark, d), path)
+    heads = read_designs(spark, path, HEADER_COLUMNS).where("n_colours >= 2 and error is null")
+    return heads.select(F.regexp_extract("path", r"(-?\d+)\.pes$", 1).cast("long").alias("design_id"), "label", "n_colours", F.concat_ws(",", F.col("colours").cast("array<string>")).alias("colours"))
+
+
 @query()
 def pes_blocks(spark, d):
     return P.pes_blocks(stitches(spark, d)).select("design_id", "run", "chunk", "kind", "block", F.size("points").alias("n"))

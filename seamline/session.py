@@ -29,6 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI in the store that Spark takes it to be in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterations and reused stages read it instead of recomputing, and lost executors don't matter."""
     shared_dir(df.sparkSession)

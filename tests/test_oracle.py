@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 PICKED = [
     "stitch_stats", "bounds", "thread_usage", "design_summary", "polylines", "shift_origin", "thread_list", "unpack_stitches", "with_settings", "roundtrip_diff", "machine_label", "safe_name",
     "rgb_to_lab", "describe_color", "nearest_thread", "carry_choices", "content_box", "background", "majority_filter", "connected_components", "region_target", "adjacency", "boundary_edges",
-    "split_moves", "pec_deltas", "thumbnails", "round_trip", "smooth", "interpolate_at", "resample", "zigzag", "outline_zigzag", "outline_centre", "travel_records", "subdivide", "points_in_mask", "rank_chains", "segments_in_mask", "fill_runs", "nesting_depth", "layered_order",
+    "split_moves", "pec_deltas", "thumbnails", "round_trip", "file_headers", "smooth", "interpolate_at", "resample", "zigzag", "outline_zigzag", "outline_centre", "travel_records", "subdivide", "points_in_mask", "rank_chains", "segments_in_mask", "fill_runs", "nesting_depth", "layered_order",
     "fill_cells", "row_stitches", "nearest_first", "thin_path", "satin_nesting_depth", "satin_layer_weights", "long_blocks_and_moves", "long_absolute_positions", "long_dedupe_stitches", "long_thread_sequence", "long_thread_usage", "long_pec_deltas", "set_difference", "union_catalogues",
 ]
 
