@@ -17,6 +17,8 @@ from seamline.session import Scratch, cut
 
 #: Moves of up to so many mm are sewn straight wherever they lead.
 SHORT = 1.5
+#: Decimals of mm to which lengths count where they meet a limit, so that the last bits of a sum or root don't decide.
+DECIDES = 6
 
 
 def along() -> Window:
@@ -299,9 +301,10 @@ def travel_kind(pieces: DataFrame, trim_mm: float) -> DataFrame:
 
     ``inside`` says whether the straight way stays in the area (see ``segments_in_mask``), ``way`` (see ``ways_in_mask``) is the one round its holes or null; without them only
     short ways are sewn. ``way`` becomes null where it isn't taken: no move or a short one, a straight one that stays inside, a new thread.
+    Lengths count to DECIDES decimals.
     """
     w = Window.partitionBy("design_id").orderBy("seq")
-    d = F.hypot(F.col("x0") - F.lag("x1").over(w), F.col("y0") - F.lag("y1").over(w))
+    d = F.round(F.hypot(F.col("x0") - F.lag("x1").over(w), F.col("y0") - F.lag("y1").over(w)), DECIDES)
     inside = F.coalesce(F.col("inside"), F.lit(False)) if "inside" in pieces.columns else F.lit(False)
     round_it = F.col("way").isNotNull() if "way" in pieces.columns else F.lit(False)
     straight = (d <= min(trim_mm, SHORT)) | inside
