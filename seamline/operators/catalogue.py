@@ -32,6 +32,12 @@ def _shades(threads: DataFrame) -> DataFrame:
     return small(matchable(threads).select("range_id", "ord", "thread_id", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("_q")))
 
 
+def _first_shades(threads: DataFrame) -> DataFrame:
+    """``_shades`` without those that an earlier one of their range has the colour of: in a large catalogue far fewer."""
+    first = matchable(threads).groupBy(*_COLOUR).agg(F.min(F.struct("ord", "thread_id")).alias("_m"))
+    return small(first.select("range_id", "_m.ord", "_m.thread_id", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("_q")))
+
+
 def _distinct_colours(colours: DataFrame) -> DataFrame:
     """Distinct (range_id, r, g, b) with ``_p``, their Lab; dealt out by number once made, as a few MB of them become very many pairs."""
     own = colours.select(*_COLOUR).distinct().withColumn("_p", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
@@ -46,9 +52,10 @@ def distances(colours: DataFrame, threads: DataFrame) -> DataFrame:
 def nearest_thread(colours: DataFrame, threads: DataFrame) -> DataFrame:
     """``colours`` with the nearest ``thread_id`` of their range by CIEDE2000; the earlier in the list of equals; null if the range is unknown.
 
-    The shade nearest in Lab gives a bound: a shade whose lightness alone is further off (LIGHTNESS_SPAN) isn't looked at.
+    The shade nearest in Lab gives a bound: a shade whose lightness alone is further off (LIGHTNESS_SPAN) isn't looked at. Of shades of one colour only the
+    earliest can be taken.
     """
-    shades = _shades(threads)
+    shades = _first_shades(threads)
     far, own = lab_dist2(F.col("_p"), F.col("_q")), _distinct_colours(colours)
     least = own.join(shades, "range_id").groupBy(*_COLOUR, "_p").agg(F.min(far).alias("_least")).repartition(shuffle_partitions(colours.sparkSession))
     like = least.join(shades, "range_id").where(far == F.col("_least"))
