@@ -58,7 +58,7 @@ def lab_dist2(p: Column, q: Column) -> Column:
     return parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2]
 
 
-def _ratio(c: Column) -> Column:
+def chroma_ratio(c: Column) -> Column:
     return F.sqrt(F.pow(c, F.lit(7.0)) / (F.pow(c, F.lit(7.0)) + 25.0**7))
 
 
@@ -72,7 +72,7 @@ def _cos(deg: Column) -> Column:
 
 #: CIEDE2000 step by step: names, and each step's Column from those before it (l1, a1, b1, l2, a2, b2 come first).
 _STEPS: list[tuple[str, Callable[[dict[str, Column]], Column]]] = [
-    ("grow", lambda v: 1.5 - 0.5 * _ratio((F.hypot(v["a1"], v["b1"]) + F.hypot(v["a2"], v["b2"])) / 2)),
+    ("grow", lambda v: 1.5 - 0.5 * chroma_ratio((F.hypot(v["a1"], v["b1"]) + F.hypot(v["a2"], v["b2"])) / 2)),
     ("x1", lambda v: v["grow"] * v["a1"]),
     ("x2", lambda v: v["grow"] * v["a2"]),
     ("c1", lambda v: F.hypot(v["x1"], v["b1"])),
@@ -91,7 +91,7 @@ _STEPS: list[tuple[str, Callable[[dict[str, Column]], Column]]] = [
     ("dc", lambda v: (v["c2"] - v["c1"]) / (1 + 0.045 * v["mid_c"])),
     ("dh", lambda v: 2 * F.sqrt(v["c1"] * v["c2"]) * F.sin(F.radians(v["turn"] / 2)) / (1 + 0.015 * v["mid_c"] * v["t"])),
     ("bend", lambda v: F.exp(-F.pow((v["mid_h"] - 275) / 25, F.lit(2.0))) * 60),
-    ("d", lambda v: F.sqrt(v["dl"] * v["dl"] + v["dc"] * v["dc"] + v["dh"] * v["dh"] - F.sin(F.radians(v["bend"])) * 2 * _ratio(v["mid_c"]) * v["dc"] * v["dh"])),
+    ("d", lambda v: F.sqrt(v["dl"] * v["dl"] + v["dc"] * v["dc"] + v["dh"] * v["dh"] - F.sin(F.radians(v["bend"])) * 2 * chroma_ratio(v["mid_c"]) * v["dc"] * v["dh"])),
 ]
 
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamline.functions.colour import describe_color, lab_dist2, rgb_to_lab, with_delta_e2000
-from seamline.session import shuffle_partitions
+from seamline.functions.colour import chroma_ratio, describe_color, lab_dist2, rgb_to_lab, with_delta_e2000
+from seamline.session import cut, shuffle_partitions
 
 MAX_SHADES = 50_000
 _COLOUR = ["range_id", "r", "g", "b"]
 #: CIEDE2000 is at least the lightness difference over 1 + 0.015 * 50**2 / sqrt(20 + 50**2), its weight's largest value.
 LIGHTNESS_SPAN = 1.7471
+#: Side in Lab of the boxes whose colours share a list of shades.
+BOX = 6
 
 
 def small(df: DataFrame, most: int = MAX_SHADES) -> DataFrame:
@@ -32,10 +34,11 @@ def _shades(threads: DataFrame) -> DataFrame:
     return small(matchable(threads).select("range_id", "ord", "thread_id", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("_q")))
 
 
-def _first_shades(threads: DataFrame) -> DataFrame:
-    """``_shades`` without those that an earlier one of their range has the colour of: in a large catalogue far fewer."""
-    first = matchable(threads).groupBy(*_COLOUR).agg(F.min(F.struct("ord", "thread_id")).alias("_m"))
-    return small(first.select("range_id", "_m.ord", "_m.thread_id", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("_q")))
+def _first_shades(threads: DataFrame, n: int = 1) -> DataFrame:
+    """``_shades`` without those that ``n`` earlier ones of their range have the colour of: in a large catalogue far fewer."""
+    order = Window.partitionBy(*_COLOUR).orderBy("ord", "thread_id")
+    first = matchable(threads).select(*_COLOUR, "ord", "thread_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return small(first.select("range_id", "ord", "thread_id", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("_q")))
 
 
 def _distinct_colours(colours: DataFrame) -> DataFrame:
@@ -49,6 +52,63 @@ def distances(colours: DataFrame, threads: DataFrame) -> DataFrame:
     return with_delta_e2000(_distinct_colours(colours).join(_shades(threads), "range_id"), "_p", "_q", "d").drop("_p", "_q")
 
 
+def _bounds(pairs: DataFrame, key: list[str], value: Column, n: int) -> DataFrame:
+    """``key`` with ``_bound``, which the n least of ``value`` don't pass: the largest of the least values of n disjoint sets of shades (``_k``), without end if a set is empty."""
+    least = pairs.groupBy(*key).agg(*[F.min(F.when(F.col("_k") == k, value)).alias(f"_{k}") for k in range(n)])
+    sets = F.array(*[F.coalesce(f"_{k}", F.lit(float("inf"))) for k in range(n)])
+    return least.select(*key, F.array_max(sets).alias("_bound"))
+
+
+def _plane_weight(chroma: Column) -> Column:
+    """What the terms of chroma and hue of CIEDE2000 are at least, over the squared distance in a and b, for a mean chroma of at most ``chroma``.
+
+    Together they make at least that distance over the largest weight of chroma, times what the turning term leaves: it takes sin(60 degrees) at most.
+    """
+    grown = (1.5 - 0.5 * chroma_ratio(chroma)) * chroma  # grows with the chroma, so the largest one bounds all
+    return (1 - 0.8661 * chroma_ratio(grown)) / F.pow(1 + 0.045 * grown, F.lit(2.0))
+
+
+def _at_least(lo: Column, hi: Column, weight: Column, q: Column) -> Column:
+    """The square of what CIEDE2000 between a shade ``q`` and the colours of a Lab box is at least."""
+    gap = {c: F.greatest(lo[c] - q[c], q[c] - hi[c], F.lit(0.0)) for c in "lab"}
+    return F.pow(gap["l"] / LIGHTNESS_SPAN, F.lit(2.0)) + (F.pow(gap["a"], F.lit(2.0)) + F.pow(gap["b"], F.lit(2.0))) * weight
+
+
+def _nearest(colours: DataFrame, threads: DataFrame, n: int) -> DataFrame:
+    """(range_id, r, g, b, d, ord, thread_id): of each distinct colour the n nearest shades and few others.
+
+    Colours of one box in Lab share a list of shades. The shades nearest to the box's middle bound what its colours look at, so the list
+    leaves out what lies further off (``_at_least``); each colour's distances to its list then bound it anew. Pairs are never sorted: only minima and the pairs within the last bound are kept.
+    """
+    box = ["range_id", "_box"]
+    shades = _first_shades(threads, n).withColumn("_k", F.pmod(F.xxhash64("ord", "thread_id"), F.lit(n)))
+    sides = F.struct(*[F.floor(F.col(f"_p.{c}") / BOX).cast("int").alias(c) for c in "lab"])
+    own = cut(_distinct_colours(colours).withColumn("_box", sides))
+    middle = F.struct(*[((F.col(f"_box.{c}") + 0.5) * BOX).alias(c) for c in "lab"])
+    boxes = own.select(*box).distinct().withColumn("_m", middle).repartition(shuffle_partitions(colours.sparkSession))
+    far = lab_dist2(F.col("_m"), F.col("_q"))
+    close = boxes.join(shades, "range_id").groupBy(*box, "_m", "_k").agg(F.min(far).alias("_least"))
+    guides = close.join(shades, ["range_id", "_k"]).where(far == F.col("_least")).select(*box, "_k", "_q")
+    key = [*_COLOUR, "_box", "_p"]
+    first = cut(_bounds(with_delta_e2000(own.join(guides, box), "_p", "_q", "_d"), key, F.col("_d"), n))
+    ends = [F.struct(*[f(f"_p.{c}").alias(c) for c in "lab"]).alias(name) for name, f in (("_lo", F.min), ("_hi", F.max))]
+    around = first.groupBy(*box).agg(*ends, F.max(F.hypot("_p.a", "_p.b")).alias("_c"), F.max("_bound").alias("_all")).repartition(shuffle_partitions(colours.sparkSession))
+    most = F.pow(F.col("_all") + 1e-6, F.lit(2.0))
+    weight = _plane_weight((F.col("_c") + F.col("_qc")) / 2)
+    met = around.join(shades.withColumn("_qc", F.hypot("_q.a", "_q.b")), "range_id")
+    met = met.where(_at_least(F.col("_lo"), F.col("_hi"), F.lit(0.0), F.col("_q")) <= most).where(_at_least(F.col("_lo"), F.col("_hi"), weight, F.col("_q")) <= most)
+    listed = cut(met.select(*box, "_k", "ord", "thread_id", "_q", weight.alias("_w")))
+
+    def within(bounded: DataFrame) -> DataFrame:
+        near = bounded.join(listed, box).where(_at_least(F.col("_p"), F.col("_p"), F.col("_w"), F.col("_q")) <= F.pow(F.col("_bound") + 1e-6, F.lit(2.0)))
+        return with_delta_e2000(near, "_p", "_q", "_d")
+
+    last = cut(_bounds(within(first), key, F.col("_d"), n))
+    # the filter stays above explode: below it, it would take in all steps of the distance anew for each of their uses
+    found = within(last).withColumn("d", F.explode(F.array("_d")))
+    return found.where(F.col("d") <= F.col("_bound") + 1e-9).select(*_COLOUR, "d", "ord", "thread_id")
+
+
 def nearest_thread(colours: DataFrame, threads: DataFrame) -> DataFrame:
     """``colours`` with the nearest ``thread_id`` of their range by CIEDE2000; the earlier in the list of equals; null if the range is unknown.
 
@@ -68,7 +128,7 @@ def nearest_thread(colours: DataFrame, threads: DataFrame) -> DataFrame:
 def top_threads(colours: DataFrame, threads: DataFrame, n: int) -> DataFrame:
     """(range_id, r, g, b, place, thread_id, d): the n nearest shades of each distinct colour."""
     w = Window.partitionBy("range_id", "r", "g", "b").orderBy("d", "ord")
-    return distances(colours, threads).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("range_id", "r", "g", "b", "place", "thread_id", "d")
+    return _nearest(colours, threads, n).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("range_id", "r", "g", "b", "place", "thread_id", "d")
 
 
 def build_catalogue(raw: DataFrame, machine_threads: DataFrame) -> DataFrame:
