@@ -22,7 +22,7 @@ from seamline.session import cut
 
 def plan_colours(small: DataFrame, grid: DataFrame, threads: DataFrame, range_id: str, colours: int = 8, cell_mm: float = 0.2, min_region_mm2: float = 1.5, rounds: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, clusters, choices) of pixel tables at two resolutions: palette from the small one, labels on the grid, filtered twice, specks and then slivers without a core absorbed, threads matched."""
-    sample = R.opaque(small).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("weight")).withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
+    sample = cut(R.opaque(small).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("weight")).withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))))
     centers = cut(R.kmeans_lloyd(sample, R.image_palette(sample, colours), rounds))
     px = grid.withColumn("lab", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
     near = R.assign_cluster(px, centers).select("image_id", "x", "y", F.when(F.col("a") >= R.OPAQUE, F.col("cluster")).otherwise(-1).alias("label"))
