@@ -56,3 +56,20 @@ def test_holes_across_strips(spark, monkeypatch):
     stats = G.component_stats(runs, 0.2)
     got = G.enclosing(stats, runs).join(stats.select("image_id", "comp_id", "label"), ["image_id", "comp_id"]).groupBy("image_id", "label").agg(F.count("*").alias("n"), F.count("parent").alias("inside"), F.min("parent").alias("p")).collect()
     assert {(r.image_id, r.label): (r.n, r.inside, r.p) for r in got} == {(1, 1): (1, 0, None), (1, 2): (7, 7, 1 << 28), (2, 1): (1, 0, None), (2, 2): (7, 0, None)}
+
+
+def test_shared_sides_across_strips(spark, monkeypatch):
+    """Sides between areas, counted in strips and over their borders, are those of all pairs of neighbouring cells."""
+    monkeypatch.setattr(strips, "BATCH_ROWS", 100)
+    draw = random.Random(5)
+    label = {(i, x, y): draw.randint(-1, 2) for i in range(2) for x in range(4) for y in range(140) if draw.random() < 0.9}
+    comp = {k: k[2] // 3 * 10 + v + 1 for k, v in label.items()}
+    df = spark.createDataFrame([(*k, v, comp[k]) for k, v in label.items()], "image_id long, x int, y int, label int, comp_id long")
+    want = {}
+    for (i, x, y), v in label.items():
+        for dx, dy in FOUR:
+            q = label.get((i, x + dx, y + dy), v)
+            if q != v:
+                want[i, comp[i, x, y], q] = want.get((i, comp[i, x, y], q), 0) + 1
+    got = strips.shared_sides(df).groupBy("image_id", "comp_id", "label").agg(F.sum("n").alias("n")).collect()
+    assert {(r.image_id, r.comp_id, r.label): r.n for r in got} == want
