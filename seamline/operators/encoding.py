@@ -7,7 +7,6 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +17,9 @@ from seamline.operators.stitch import COLOR, JUMP, STITCH, TRIM, bounds, in_orde
 JUMP_FLAG, TRIM_FLAG, REACH = 0x10, 0x20, 2047
 LABEL_SIZE, TABLE_SIZE, HEAD_SIZE, STITCH_HEAD, THUMB_W, THUMB_H = 16, 463, 512, 20, 48, 38
 
+#: Designs whose parts are Python objects at once; those objects are ten times as large as their batch.
+PACK_DESIGNS = 16
+
 
 def pec_hex(v: Column, flag: Column, force_long: Column) -> Column:
     """One coordinate: a byte for -64 to 63, else (or if forced) two, big-endian, with the flag above 12 bits."""
@@ -145,11 +147,13 @@ def write_pes(s: DataFrame, colours: DataFrame, labels: DataFrame) -> DataFrame:
     table = colours.groupBy("design_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "machine_index"))), lambda p: p["machine_index"]).alias("colours"))
     one = pes_header_fields(moved).join(records, "design_id").join(parts, "design_id", "left").join(dots, "design_id", "left").join(table, "design_id", "left").join(labels, "design_id", "left")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"design_id": pdf["design_id"], "pes": [_pack(r) for r in pdf.to_dict("records")]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, PACK_DESIGNS):
+                rows = b.slice(lo, PACK_DESIGNS).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([r["design_id"] for r in rows], pa.int64()), pa.array([_pack(r) for r in rows], pa.binary())], names=["design_id", "pes"])
 
-    return one.mapInPandas(pack, "design_id long, pes binary")
+    return one.mapInArrow(pack, "design_id long, pes binary")
 
 
 def _list(x) -> list:
