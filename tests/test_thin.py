@@ -45,3 +45,25 @@ def test_a_long_diagonal_needs_no_box(spark):
     n = 40_000
     cells = spark.range(n).selectExpr("1L image_id", "1L comp_id", "cast(id as int) x", "cast(id as int) y")
     assert G.thin_areas(cells, 0.2, 1.0).count() == n
+
+
+def test_a_stroke_that_fills_its_box_is_thin(spark):
+    """A winding stroke has any number of cells in its box; a block of as many has a wide square."""
+    n = 60
+    ys, xs = np.nonzero([[y % 2 == 0 or x == (n - 1) * (y // 2 % 2 == 0) for x in range(n)] for y in range(n)])
+    rows = [(1, int(x), int(y)) for x, y in zip(xs, ys, strict=True)] + [(2, x, y) for x in range(n) for y in range(n)]
+    cells = spark.createDataFrame(rows, "comp_id long, x int, y int").selectExpr("1L image_id", "*").repartition(3)
+    mask = np.zeros((n, n), bool)
+    mask[ys, xs] = True
+    got = {(r["x"], r["y"]): r["width"] for r in G.thin_areas(cells, 0.2, 1.0).where("comp_id = 1").collect()}
+    assert got == plainly(mask, 0.2, 1.0, True) and len(got) > 1500
+    assert {r["comp_id"] for r in G.thin_areas(cells, 0.2, 1.0).collect()} == {1}
+
+
+def test_squares_held(spark):
+    masks = list(shapes(3, 120))
+    rows = [(k, int(x) - 5, int(y) - 3) for k, m in enumerate(masks) for y, x in zip(*np.nonzero(m), strict=True)]
+    cells = spark.createDataFrame(rows, "image_id long, x int, y int").selectExpr("image_id", "7L comp_id", "x", "y").repartition(3)
+    for side in (1, 2, 4):
+        got = {r["image_id"] for r in G.holding_squares(cells, side).collect()}
+        assert got == {k for k, m in enumerate(masks) if any(m[y : y + side, x : x + side].all() for y in range(m.shape[0] - side + 1) for x in range(m.shape[1] - side + 1))}
