@@ -18,6 +18,8 @@ _COLOUR = ["range_id", "r", "g", "b"]
 LIGHTNESS_SPAN = 1.7471
 #: Side in Lab of the boxes whose colours share a list of shades.
 BOX = 6
+#: Pieces of a range's shades that meet its boxes apart from each other.
+PIECES = 64
 
 
 def small(df: DataFrame, most: int = MAX_SHADES) -> DataFrame:
@@ -43,8 +45,8 @@ def _first_shades(threads: DataFrame, n: int = 1) -> DataFrame:
 
 def _distinct_colours(colours: DataFrame) -> DataFrame:
     """Distinct (range_id, r, g, b) with ``_p``, their Lab; dealt out by number once made, as a few MB of them become very many pairs."""
-    own = colours.select(*_COLOUR).distinct().withColumn("_p", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
-    return own.repartition(shuffle_partitions(colours.sparkSession))
+    own = colours.select(*_COLOUR).distinct().repartition(shuffle_partitions(colours.sparkSession))
+    return own.withColumn("_p", rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
 
 
 def distances(colours: DataFrame, threads: DataFrame) -> DataFrame:
@@ -52,6 +54,18 @@ def distances(colours: DataFrame, threads: DataFrame) -> DataFrame:
     return with_delta_e2000(_distinct_colours(colours).join(_shades(threads), "range_id"), "_p", "_q", "d").drop("_p", "_q")
 
 
+def _met(boxes: DataFrame, shades: DataFrame, *key: str) -> DataFrame:
+    """``boxes`` with the shades of their range that agree in ``key``: few MB of rows that become very many pairs, so shades are dealt out in pieces and every piece meets all boxes of its range.
+
+    The pieces' number of tasks is given, as adaptive execution would put so few bytes into one or two.
+    """
+    n = shuffle_partitions(shades.sparkSession)
+    on = ["range_id", "_piece"]
+    dealt = shades.withColumn("_piece", F.pmod(F.xxhash64("ord", "thread_id"), F.lit(min(n, PIECES))).cast("int")).repartition(n, *on)
+    each = boxes.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(min(n, PIECES) - 1)))).repartition(n, *on)
+    return each.join(dealt, [*on, *key]).drop("_piece")
+
+
 def _bounds(pairs: DataFrame, key: list[str], value: Column, n: int) -> DataFrame:
     """``key`` with ``_bound``, which the n least of ``value`` don't pass: the largest of the least values of n disjoint sets of shades (``_k``), without end if a set is empty."""
     least = pairs.groupBy(*key).agg(*[F.min(F.when(F.col("_k") == k, value)).alias(f"_{k}") for k in range(n)])
@@ -87,15 +101,15 @@ def _nearest(colours: DataFrame, threads: DataFrame, n: int) -> DataFrame:
     middle = F.struct(*[((F.col(f"_box.{c}") + 0.5) * BOX).alias(c) for c in "lab"])
     boxes = own.select(*box).distinct().withColumn("_m", middle).repartition(shuffle_partitions(colours.sparkSession))
     far = lab_dist2(F.col("_m"), F.col("_q"))
-    close = boxes.join(shades, "range_id").groupBy(*box, "_m", "_k").agg(F.min(far).alias("_least"))
-    guides = close.join(shades, ["range_id", "_k"]).where(far == F.col("_least")).select(*box, "_k", "_q")
+    close = _met(boxes, shades).groupBy(*box, "_m", "_k").agg(F.min(far).alias("_least"))
+    guides = _met(close, shades, "_k").where(far == F.col("_least")).select(*box, "_k", "_q")
     key = [*_COLOUR, "_box", "_p"]
     first = cut(_bounds(with_delta_e2000(own.join(guides, box), "_p", "_q", "_d"), key, F.col("_d"), n))
     ends = [F.struct(*[f(f"_p.{c}").alias(c) for c in "lab"]).alias(name) for name, f in (("_lo", F.min), ("_hi", F.max))]
     around = first.groupBy(*box).agg(*ends, F.max(F.hypot("_p.a", "_p.b")).alias("_c"), F.max("_bound").alias("_all")).repartition(shuffle_partitions(colours.sparkSession))
     most = F.pow(F.col("_all") + 1e-6, F.lit(2.0))
     weight = _plane_weight((F.col("_c") + F.col("_qc")) / 2)
-    met = around.join(shades.withColumn("_qc", F.hypot("_q.a", "_q.b")), "range_id")
+    met = _met(around, shades.withColumn("_qc", F.hypot("_q.a", "_q.b")))
     met = met.where(_at_least(F.col("_lo"), F.col("_hi"), F.lit(0.0), F.col("_q")) <= most).where(_at_least(F.col("_lo"), F.col("_hi"), weight, F.col("_q")) <= most)
     listed = cut(met.select(*box, "_k", "ord", "thread_id", "_q", weight.alias("_w")))
 
@@ -112,16 +126,9 @@ def _nearest(colours: DataFrame, threads: DataFrame, n: int) -> DataFrame:
 def nearest_thread(colours: DataFrame, threads: DataFrame) -> DataFrame:
     """``colours`` with the nearest ``thread_id`` of their range by CIEDE2000; the earlier in the list of equals; null if the range is unknown.
 
-    The shade nearest in Lab gives a bound: a shade whose lightness alone is further off (LIGHTNESS_SPAN) isn't looked at. Of shades of one colour only the
-    earliest can be taken.
+    Colours of one box in Lab share a list of shades, see ``_nearest``; only the pairs within a colour's least distance are sorted.
     """
-    shades = _first_shades(threads)
-    far, own = lab_dist2(F.col("_p"), F.col("_q")), _distinct_colours(colours)
-    least = own.join(shades, "range_id").groupBy(*_COLOUR, "_p").agg(F.min(far).alias("_least")).repartition(shuffle_partitions(colours.sparkSession))
-    like = least.join(shades, "range_id").where(far == F.col("_least"))
-    guess = with_delta_e2000(like, "_p", "_q", "_d").groupBy(*_COLOUR, "_p").agg(F.min("_d").alias("_bound")).repartition(shuffle_partitions(colours.sparkSession))
-    near = guess.join(shades, "range_id").where(F.abs(F.col("_p.l") - F.col("_q.l")) <= F.col("_bound") * LIGHTNESS_SPAN + 1e-6)
-    best = with_delta_e2000(near, "_p", "_q", "d").groupBy(*_COLOUR).agg(F.min(F.struct("d", "ord", "thread_id")).alias("_m"))
+    best = _nearest(colours, threads, 1).groupBy(*_COLOUR).agg(F.min(F.struct("d", "ord", "thread_id")).alias("_m"))
     return colours.join(best.select(*_COLOUR, F.col("_m.thread_id").alias("thread_id"), F.col("_m.d").alias("delta_e")), _COLOUR, "left")
 
 
