@@ -25,7 +25,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def rgb_to_lab(r: Column, g: Column, b: Column) -> Column:
-    """CIE Lab of sRGB 0-255 as struct<l, a, b>."""
+    """CIE Lab of sRGB 0-255 as struct<l, a, b>. Each step is evaluated once (``let``): written out, the thirty powers of a colour can make a stage's method too long for the JVM to compile."""
 
     def linear(c: Column) -> Column:
         v = c / 255
@@ -34,9 +34,14 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> Column:
     def lab_part(t: Column) -> Column:
         return F.when(t > KNEE, F.cbrt(t)).otherwise(F.lit(SLOPE) * t + F.lit(OFFSET))
 
-    rgb = [linear(c) for c in (r, g, b)]
-    fx, fy, fz = (lab_part(_weighted(w, rgb) / n) for w, n in zip(TO_XYZ, WHITE, strict=True))
-    return F.struct((F.lit(116) * fy - 16).alias("l"), (F.lit(500) * (fx - fy)).alias("a"), (F.lit(200) * (fy - fz)).alias("b"))
+    def xyz(rgb: Column) -> Column:
+        return F.struct(*[(_weighted(w, [rgb[c] for c in "rgb"]) / n).alias(c) for c, w, n in zip("xyz", TO_XYZ, WHITE, strict=True)])
+
+    def lab(f: Column) -> Column:
+        return F.struct((F.lit(116) * f["y"] - 16).alias("l"), (F.lit(500) * (f["x"] - f["y"])).alias("a"), (F.lit(200) * (f["y"] - f["z"])).alias("b"))
+
+    parts = let(let(F.struct(*[linear(c).alias(n) for c, n in zip((r, g, b), "rgb", strict=True)]), xyz), lambda t: F.struct(*[lab_part(t[c]).alias(c) for c in "xyz"]))
+    return let(parts, lab)
 
 
 def lab_to_rgb(l: Column, a: Column, b: Column) -> Column:  # noqa: E741
