@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seamline.operators.graph import numbered
-from seamline.operators.regions import boundary_edges
+from seamline.operators.regions import SIDES, boundary_edges
 from seamline.operators.stitch import COLOR, STITCH, TRIM
-from seamline.session import Scratch, cut
+from seamline.operators.strips import changes, in_groups
+from seamline.session import Scratch, cut, kept
 
 #: Moves of up to so many mm are sewn straight wherever they lead.
 SHORT = 1.5
@@ -246,13 +247,93 @@ def _more(reach: DataFrame) -> bool:
     return not reach.where("to is not null").join(ended, "to", "left_semi").isEmpty()
 
 
+#: Cells up to which an image's borders are chained in one task, about 500 bytes each; larger images go by joins, and their paths' numbers begin at LARGE_PATHS.
+IMAGE_CELLS, LARGE_PATHS = 1 << 20, 1 << 62
+
+
 def boundary_chains(cells: DataFrame, cell_mm: float, dedupe: bool = False) -> DataFrame:
     """(image_id, comp_id, path_id, seq, x, y, closed): smoothed and thinned borders of the components of ``cells`` (image_id, x, y, comp_id), in mm.
 
     Sides are chained where one ends and another starts; at a corner that two sides leave, sorted ways in take sorted ways out.
-    With ``dedupe`` a border between two components is kept for the lower number only, which leaves open chains.
+    With ``dedupe`` a border between two components is kept for the lower number only, which leaves open chains. Numbers of paths tell them apart and grow, within an image, with their last sides (component,
+    then place). Images of up to IMAGE_CELLS cells are chained in one task, many at a time.
     """
     key = ["image_id", "comp_id"]
+    cells = kept(cells.select("image_id", "x", "y", "comp_id"))
+    large = cut(cells.groupBy("image_id").count().where(F.col("count") > IMAGE_CELLS).select("image_id"))
+    if large.isEmpty():
+        points = _chained_by_images(cells, cell_mm, dedupe)
+    else:
+        points = _chained_by_images(cells.join(large, "image_id", "left_anti"), cell_mm, dedupe)
+        points = points.unionByName(_chained_by_joins(cells.join(large, "image_id", "left_semi"), cell_mm, dedupe).withColumn("path_id", F.col("path_id") + LARGE_PATHS))
+    points = kept(points)
+    of = points.where("seq = 0").select("path_id", *key, "closed")
+    return thin_path(smooth(points, 2)).join(of, "path_id").select(*key, "path_id", "seq", "x", "y", "closed")
+
+
+def _ranked(next_: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tail, left, closed) of elements with their successors, or their number where there is none: ``rank_chains`` in memory, for chains of up to 2 ** rounds elements."""
+    n = len(next_)
+    to, low = np.append(next_, n), np.arange(n + 1)
+    for _ in range(rounds):
+        low, to = np.minimum(low, low[to]), to[to]
+    closed = to[:n] < n
+    next_ = np.where(closed & (next_ == low[:n]), n, next_)
+    to, left = np.append(next_, n), np.append((next_ < n).astype(np.int64), 0)
+    tail = np.where(next_ < n, next_, np.arange(n))
+    for _ in range(rounds):
+        left, to, tail = left + left[to], to[to], tail[tail]
+    return tail, left[:n], closed
+
+
+def _chained_by_images(cells: DataFrame, cell_mm: float, dedupe: bool) -> DataFrame:
+    """(image_id, comp_id, path_id, seq, x, y, closed): corners along the borders of whole images."""
+
+    def chained(t: pa.Table, base: int) -> pa.Table:
+        image, comp, x, y = (t[c].to_numpy() for c in ("image_id", "comp_id", "x", "y"))
+        begins = changes(image)
+        number, first = np.cumsum(begins) - 1, np.flatnonzero(begins)
+        x0, y0 = (np.minimum.reduceat(v, first).astype(np.int64) for v in (x, y))
+        x, y = x - x0[number], y - y0[number]
+        wide, high = int(x.max()) + 3, int(y.max()) + 3
+        at = (number * high + y + 1) * wide + x + 1
+        edges = []
+        for (dx, dy), a, b in SIDES:
+            there = at + dy * wide + dx
+            place = np.minimum(np.searchsorted(at, there), len(at) - 1)
+            other = np.where(at[place] == there, comp[place], -1)
+            own = np.flatnonzero((other != comp) & ((other < 0) | (other >= comp)) if dedupe else other != comp)
+            edges.append(np.array([number[own], comp[own], y[own] + a[1], x[own] + a[0], y[own] + b[1], x[own] + b[0]]))
+        edges = np.concatenate(edges, axis=1)
+        edges = edges[:, np.lexsort(edges[::-1])]
+        number, comp, ay, ax, by, bx = edges
+        area = np.cumsum(changes(number, comp))
+        starts, ends = ((area * high + v) * wide + u for u, v in ((ax, ay), (bx, by)))
+        out, into = np.lexsort((by, bx, starts)), np.lexsort((ay, ax, ends))
+        starts, ends = starts[out], ends[into]
+        turn = np.arange(len(ends)) - np.searchsorted(ends, ends)  # the how manyth way in, which takes that way out
+        way = np.searchsorted(starts, ends) + turn
+        next_ = np.full(len(ends), len(ends))
+        goes = way < np.searchsorted(starts, ends, "right")
+        next_[into[goes]] = out[way[goes]]
+        tail, left, closed = _ranked(next_, int(np.bincount(area).max()).bit_length())
+        size = np.bincount(tail, minlength=len(tail))[tail]
+        seq = size - 1 - left
+        some = size + ~closed >= 3
+        last = np.flatnonzero(some & ~closed & (left == 0))  # open chains end with their last side's end
+        some = np.flatnonzero(some)
+        both = np.append(some, last)
+        px, py = np.append(ax[some], bx[last]), np.append(ay[some], by[last])
+        out_ = {"image_id": image[first][number[both]], "comp_id": comp[both], "path_id": base + tail[both], "seq": np.append(seq[some], seq[last] + 1).astype(np.int32)}
+        return pa.table(out_ | {"x": (px + x0[number[both]]) * cell_mm, "y": (py + y0[number[both]]) * cell_mm, "closed": closed[both]})
+
+    rows = cells.select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "comp_id", "x", "y")])
+    return in_groups(rows, ["image_id"], ["image_id", "y", "x"], lambda t: [t["image_id"].to_numpy()], chained, "image_id long, comp_id long, path_id long, seq int, x double, y double, closed boolean")
+
+
+def _chained_by_joins(cells: DataFrame, cell_mm: float, dedupe: bool) -> DataFrame:
+    """``_chained_by_images`` of images of any size."""
+    key = ["image_id", "comp_id"]
     e = numbered(boundary_edges(cells, dedupe), *key, "ay", "ax", "by", "bx").withColumnRenamed("node", "edge")
     out, into = (Window.partitionBy(*key, *k) for k in (("ax", "ay"), ("bx", "by")))
     e = e.withColumns({"i": F.row_number().over(out.orderBy("bx", "by")), "o": F.row_number().over(into.orderBy("ax", "ay"))})
@@ -264,9 +345,7 @@ def boundary_chains(cells: DataFrame, cell_mm: float, dedupe: bool = False) -> D
     a, b = (F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in "ab")
     spots = rows.withColumn("_end", ends).select(*key, "path_id", "seq", "closed", F.posexplode(F.when(F.col("_end"), F.array(a, b)).otherwise(F.array(a))).alias("_i", "p"))
     points = spots.select(*key, "path_id", (F.col("seq") + F.col("_i")).alias("seq"), *[(F.col(f"p.{c}") * cell_mm).alias(c) for c in "xy"], "closed")
-    points = cut(points.withColumn("_n", F.count("*").over(Window.partitionBy("path_id"))).where("_n >= 3").drop("_n"))
-    of = points.where("seq = 0").select("path_id", *key, "closed")
-    return thin_path(smooth(points, 2)).join(of, "path_id").select(*key, "path_id", "seq", "x", "y", "closed")
+    return points.withColumn("_n", F.count("*").over(Window.partitionBy("path_id"))).where("_n >= 3").drop("_n")
 
 
 def subdivide(legs: DataFrame, max_len: float) -> DataFrame:
